@@ -2,13 +2,14 @@
 
 A stack automaton follows strings, brackets and escapes of an output and tells whether its object is finished.
 The end of its text must then be a terminator with nothing left open, unless the last line is one of keywords:
-those are learned from all lines that are followed by another, which are complete for certain. How often
-such lines lack a terminator is the baseline of a source.
+those are learned from the lines that are followed by another, which are complete for certain, and from words
+inside sentences that never begin one. How often complete lines lack a terminator is the baseline of a source.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,9 @@ OPENERS = {"(": ")", "“": "”", "[": "]"}
 CLOSERS = set(OPENERS.values())
 ENDS = ".!?。"
 AFTER_END = ")”\"’'»]"
+WORD = re.compile(r"[^\W\d_]+")
+#: Evidence that a task has sent is sent once, as long as so many pieces fit.
+SENT = 500_000
 
 
 def automaton(body: str, name: str) -> tuple[str, str | None]:
@@ -88,31 +92,43 @@ def keywords(line: str) -> list[str]:
     return ["k:" + p.strip().lower() for p in line.split(",")]
 
 
-def examine(raw: str | None, name: str) -> tuple[str, list[str], list[str], int, int]:
-    """(state, parts of the last line to look up, parts of earlier lines, earlier lines, earlier lines without end).
+def evidence(lines: list[str]) -> set[str]:
+    """Keyword parts (k:, t:) of complete lines without an end, first words (o:) and inner words (w:) of sentences."""
+    found = {p for x in lines[:-1] if not ended(x) for p in keywords(x)}
+    for i, line in enumerate(lines):
+        ws = WORD.findall(line)
+        if len(ws) > 2 and line.count(",") < len(ws) - 1:
+            found.update("w:" + w for w in (ws[1:-1] if i == len(lines) - 1 else ws[1:]))
+            if line[0].isalpha() and not line[len(ws[0]) : len(ws[0]) + 2].strip(" ").isdigit():
+                found.add("o:" + ws[0].lower())
+    return found
+
+
+def examine(raw: str | None, name: str) -> tuple[str, list[str], set[str], int, int]:
+    """(state, parts of the last line to look up, evidence, earlier lines, those without end that are long).
 
     state: 'none' (blank), 'whole', 'look' (the last line has no terminator) or why the output is cut.
     """
     body = (raw or "").strip().lstrip("﻿").lstrip()
     if not body:
-        return "none", [], [], 0, 0
+        return "none", [], set(), 0, 0
     if f := FENCE.match(body):
         body = body[f.end() :]
         close = body.rfind("```")
         body = (body[:close] if close >= 0 else body.rstrip("`")).strip()
         if not body:
-            return ("whole" if close >= 0 else "bracket"), [], [], 0, 0
+            return ("whole" if close >= 0 else "bracket"), [], set(), 0, 0
     text = body
     state = "closed"
     if body[0] == "{" and not SYMBOL.match(body):
         state, text = automaton(body, name)
         if state == "closed" and text is None:
-            return "whole", [], [], 0, 0
+            return "whole", [], set(), 0, 0
     lines = [x.strip() for x in (text or "").split("\n")]
     lines = [x for x in lines if x]
     before = lines[:-1]
-    loose = [x for x in before if not ended(x)]
-    seen = sorted({p for x in loose for p in keywords(x)})
+    loose = [x for x in before if not ended(x) and len(WORD.findall(x)) > x.count(",") + 2 and " — " not in x]
+    seen = evidence(lines)
     if state != "closed":
         return state, [], seen, len(before), len(loose)
     bare = OMISSION.sub("", text.rstrip())
@@ -133,24 +149,36 @@ def examine(raw: str | None, name: str) -> tuple[str, list[str], list[str], int,
 def cut_outputs(df: DataFrame, id_col: str, raw_col: str, source_col: str, flag_col: str | None = None, text_name: str = "oracle_text", usual: float = 0.5) -> DataFrame:
     """Each row of `df` with `is_cut`, the reason, its source and flag: (`id`, `source`, `flag`, `is_cut`, `reason`).
 
-    Null, empty and blank texts are no case. A last line without terminator is whole if all its parts occur in
-    earlier lines of any row. Where more than `usual` of a source's earlier lines that are no such keyword lines
+    Null, empty and blank texts are no case. A last line without terminator is whole if each of its parts is known as
+    a keyword from any row. Where more than `usual` of a source's complete lines are sentences that
     lack a terminator, a missing one says nothing about that source. Rows that repeat an id are judged together:
     one is cut if any is.
     """
 
     @F.pandas_udf("state string, parts array<string>, seen array<string>, n int, loose int")
-    def scan(raws: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([examine(r, text_name) for r in raws], columns=["state", "parts", "seen", "n", "loose"])
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        sent: set[str] = set()
+        for raws in batches:
+            made = []
+            for raw in raws:
+                state, parts, seen, n, loose = examine(raw, text_name)
+                made.append((state, parts, list(seen - sent), n, loose))
+                sent |= seen
+            if len(sent) > SENT:
+                sent.clear()
+            yield pd.DataFrame(made, columns=["state", "parts", "seen", "n", "loose"])
 
     flag = F.col(flag_col).cast("boolean") if flag_col else F.lit(None).cast("boolean")
     scanned = materialize(
         df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), flag.alias("flag"), scan(raw_col).alias("s")).select("id", "source", "flag", "s.*"),
         "cutoff",
     )
-    known = scanned.select(F.explode("seen").alias("part")).distinct()
-    asked = scanned.filter("state = 'look'").select("id", F.explode("parts").alias("part"))
-    unknown = asked.join(known, "part", "left_anti").groupBy("id").agg(F.lit("sentence").alias("missing"))
+    kind, word = F.substring("part", 1, 1), F.substring("part", 3, 1 << 30)
+    has = lambda k: F.max(F.col("kind") == k).alias(k)
+    known = scanned.select(F.explode("seen").alias("part")).select(kind.alias("kind"), word.alias("word")).groupBy("word").agg(*map(has, "ktwo"))
+    asked = scanned.filter("state = 'look'").select("id", F.explode("parts").alias("part")).select("id", kind.alias("kind"), word.alias("word"))
+    found = F.when(F.col("kind") == "t", F.col("t")).otherwise(F.col("k") | (F.col("w") & ~F.col("o")))
+    unknown = asked.join(known, "word", "left").filter(~F.coalesce(found, F.lit(False))).groupBy("id").agg(F.lit("sentence").alias("missing"))
     baseline = scanned.groupBy("source").agg((F.sum("loose") / F.sum("n")).alias("loose_share")).withColumnRenamed("source", "s2")
     judged = scanned.join(unknown, "id", "left").join(baseline, F.col("source").eqNullSafe(F.col("s2")), "left")
     lacking = F.col("missing").isNotNull() & ~(F.coalesce(F.col("loose_share"), F.lit(0.0)) > usual)
