@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewright.llm import copies, cutoff, lookalikes
+from sievewright.llm import copies, cutoff, fragments, lookalikes, mixing, overlap, packing, spans, splits
+from sievewright.llm.components import component_pairs, components
+from sievewright.llm.tokens import RANKS, token_count
+from sievewright.sources.shared import materialize
 from sievewright.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +37,58 @@ def p1_copies(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _example_side() -> Column:
+    return F.when(F.col("split") == "train", 0).when(F.col("split").isin("validation", "test"), 1)
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs of rows of train and of a held-out split, with the kind of overlap."""
+    rows, side = table(spark, d, "examples"), _example_side()
+    like = overlap.like_texts(rows, "row_id", side, F.col("description"), likeness=0.6, words=3)
+    same = overlap.same_key(rows, "row_id", side, F.col("example_id"))
+    group = overlap.same_key(rows, "row_id", side, F.lower(F.trim("source_group_id")))
+    kinds = [("description", like), ("example_id", same), ("source_group_id", group)]
+    a, b, c = (x.select("a", "b", F.lit(kind).alias("kind")) for kind, x in kinds)
+    return a.unionByName(b).unionByName(c)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b")).distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out rows per split and origin that recur in train, by kind of overlap."""
+    rows = table(spark, d, "examples").filter("split in ('validation', 'test')").select(F.col("row_id").alias("b"), "split", "origin")
+    hit = _overlaps(spark, d).groupBy("b", "kind").agg(F.countDistinct("a").alias("links"))
+    total = rows.groupBy("split", "origin").agg(F.count(F.lit(1)).alias("rows"))
+    per = rows.join(hit, "b").groupBy("split", "origin", "kind").agg(F.countDistinct("b").alias("overlapping_rows"), F.sum("links").alias("links"))
+    return per.join(total.withColumnsRenamed({"split": "s", "origin": "o"}), (F.col("split") == F.col("s")) & F.col("origin").eqNullSafe(F.col("o"))).drop("s", "o")
+
+
+def _designs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cards = table(spark, d, "custom_cards").select("card_id", "draft.type_line", "draft.oracle_text").filter("trim(oracle_text, ' \t\n\r') <> ''")
+    return fragments.fragment_join(cards, "card_id", F.concat_ws("\n", "type_line", "oracle_text"), likeness=0.6, words=3)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs, members = _designs(spark, d)
+    members = materialize(members, "members")
+    far = overlap.expand(pairs.select("a", "b"), members).select(F.least("a_id", "b_id").alias("card_a"), F.greatest("a_id", "b_id").alias("card_b"))
+    return far.unionByName(fragments.within_classes(members).toDF("card_a", "card_b")).distinct()
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per design that is like another: its group, and how many distinct designs it is like."""
+    pairs, members = _designs(spark, d)
+    pairs, members = materialize(pairs.select("a", "b"), "pairs"), materialize(members, "members")
+    root = components(pairs.toDF("u", "v").unionByName(members.toDF("u", "v")))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    of = members.select(F.col("id").alias("node"), "rep")
+    return root.join(of, "node", "left").withColumn("rep", F.coalesce("rep", "node")).join(links, "rep", "left").select(
+        F.col("node").alias("card_id"), F.col("root").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links")
+    )
+
+
 def _cut(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_outputs(table(spark, d, "candidates"), "candidate_id", "raw", "arm", "hit_token_limit")
 
@@ -62,4 +117,72 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_groups(_forms(spark, d)).select("field_name", "skeleton_key", "originals", "fields", "first_id", "form")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_copies, p4_found, p4_report, p5_found, p5_forms, p5_groups)}
+def _family_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "examples")
+    return components(splits.key_edges(rows, [F.col("source_group_id"), F.col("family_id")]))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    groups = _family_groups(spark, d).filter("node like '0:%'").select(F.substring("node", 3, 1 << 30).alias("node"), "root")
+    return component_pairs(groups).select(F.col("a").alias("group_a"), F.col("b").alias("group_b"))
+
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "examples"), "row_id", [F.col("source_group_id"), F.col("family_id")], table(spark, d, "split_targets"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    return _splits(spark, d).select(F.col("id").alias("row_id"), "split")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    per = _splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("component").alias("components"))
+    total = per.agg(F.sum("rows").alias("all_rows"))
+    wanted = table(spark, d, "split_targets").select("split", F.col("share").alias("target_share"))
+    return per.join(wanted, "split").join(F.broadcast(total)).select("split", "target_share", "rows", "components", F.round(F.col("rows") / F.col("all_rows"), 6).alias("share"))
+
+
+def _items(spark: SparkSession, d: str, ranks: str = RANKS) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return materialize(docs.select(F.col("doc_id").alias("id"), "source", token_count("text", ranks).alias("tokens")), "tokens")
+
+
+def _packed(spark: SparkSession, d: str, ranks: str = RANKS) -> DataFrame:
+    return packing.pack_items(_items(spark, d, ranks), table(spark, d, "pack_plans"))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(_packed(spark, d), table(spark, d, "pack_plans"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.balance(_items(spark, d), table(spark, d, "mix_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.balance(_items(spark, d), table(spark, d, "mix_targets"))[1]
+
+
+def _spans(spark: SparkSession, d: str) -> spans.SharedSpans:
+    return spans.SharedSpans(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).pairs().select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return _spans(spark, d).report().withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_copies, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_forms, p5_groups,
+        p6_found, p6_splits, p6_shares, p7_packed, p7_report, p8_mix, p8_shares, p9_found, p9_report,
+    )
+}
