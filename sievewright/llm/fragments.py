@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.shingles import candidate_pairs, classes, prefixes, shingles, term_sketch
+from sievewright.llm.shingles import candidate_pairs, classes, in_fragments, of_pairs, prefixes, shingles, term_sketch
+from sievewright.sources.shared import materialize
 
 
 def fragment_join(df: DataFrame, id_col: str, text: Column, likeness: float = 0.8, words: int = 5, fragments: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -17,20 +18,19 @@ def fragment_join(df: DataFrame, id_col: str, text: Column, likeness: float = 0.
     members of classes of equal sets (`rep`, `id`). Null, empty and too short texts are like nothing, equal texts
     are one class, an empty table gives no rows.
     """
-    vectors = df.select(F.col(id_col).cast("long").alias("id"), F.lit(0).alias("side"), shingles(text, words).alias("terms")).filter("id is not null and size(terms) > 0")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.lit(0).alias("side"), text.alias("text")).filter("id is not null")
+    vectors = lambda of: of.select("id", "side", shingles(F.col("text"), words).alias("terms")).filter("size(terms) > 0")
     cosine = 2 * likeness / (1 + likeness)
-    kept = prefixes(vectors, term_sketch(vectors, 1), cosine, 1, fragments)
-    reps, members = classes(kept)
+    sketch = term_sketch(vectors(rows), 1)
+    reps, members = classes(prefixes(vectors(rows), sketch, cosine, 1))
     pairs = candidate_pairs(reps, cosine, 1, True)
-    part = F.posexplode(F.transform("cuts", lambda end, f: F.struct(F.coalesce(F.get("cuts", f - 1), F.lit(0)).alias("begin"), end.alias("end"))))
-    segments = reps.select("id", "n", "terms", part.alias("fragment", "at")).select(
-        "id", "n", "fragment", F.slice("terms", F.col("at.begin") + 1, F.col("at.end") - F.col("at.begin")).alias("segment")
-    ).filter("size(segment) > 0")
+    segments = materialize(in_fragments(vectors(of_pairs(rows, pairs)), sketch, fragments), "segments")
     x = segments.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("segment").alias("s_a"))
     y = segments.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("segment").alias("s_b"))
     partial = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("s_a", "s_b")).alias("common"))
     summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
-    return summed.filter(F.col("common") >= F.lit(likeness - 1e-9) * (F.col("n_a") + F.col("n_b") - F.col("common"))), members
+    close = summed.filter(F.col("common") >= F.lit(likeness - 1e-9) * (F.col("n_a") + F.col("n_b") - F.col("common")))
+    return materialize(close, "close"), members
 
 
 def within_classes(members: DataFrame) -> DataFrame:

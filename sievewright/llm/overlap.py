@@ -5,55 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.shingles import candidate_pairs, classes, prefixes, shingles, term_sketch
+from sievewright.llm.shingles import candidate_pairs, classes, expand, of_pairs, prefixes, shingles, term_sketch
+from sievewright.sources.shared import materialize
 
 
-def cosine_join(vectors: DataFrame, threshold: float, unit: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Pairs of one vector of side 0 and one of side 1 whose cosine is at least `threshold`.
+def cosine_join(rows: DataFrame, terms: Column, threshold: float, weights: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of one row of side 0 and one of side 1 whose term vectors have a cosine of at least `threshold`.
 
-    `vectors`: `id` long, `side` 0 or 1, `terms` array of distinct longs and, unless `unit`, `weights` of the same
-    length. Returns the pairs of class representatives (`a`, `b`, `common`, `n_a`, `n_b`, `cosine`) and the further
-    members of their classes (`rep`, `id`); `common` counts the shared terms. Null or empty vectors, and weights
-    that are null or not positive, are like nothing. An empty side gives no pairs.
+    `rows`: `id` long, `side` 0 or 1, and what `terms` (array of distinct longs) and `weights` (of the same length; all
+    one if not given) are computed from. Inverted lists hold only terms before the tail of each vector that neither by
+    its residual norm nor by the other side's maximum weights can reach the threshold; products are then exact.
+    Returns the pairs of class representatives (`a`, `b`, `common`, `n_a`, `n_b`, `cosine`) and the further members of
+    their classes (`rep`, `id`). Null or empty vectors, and weights that are null or not positive, are like nothing.
+    An empty side gives no pairs. Identifiers are taken to be of one row each.
     """
-    columns = ["id", "side", "terms"] + ([] if unit else ["weights"])
-    clean = vectors.select(*columns).filter("id is not null and size(terms) > 0")
-    kept = prefixes(clean, term_sketch(clean, 2), threshold, 2)
-    if unit:
-        reps, members = classes(kept)
-    else:  # equal sets may differ in weight
-        reps, members = kept, kept.select(F.col("id").alias("rep"), "id").limit(0)
+
+    def vectors(of: DataFrame) -> DataFrame:
+        columns = [F.col("id"), F.col("side"), terms.alias("terms")] + ([] if weights is None else [weights.alias("weights")])
+        return of.filter("id is not null and side is not null").select(*columns).filter("size(terms) > 0")
+
+    unit = weights is None
+    kept = prefixes(vectors(rows), term_sketch(vectors(rows), 2), threshold, 2)
+    reps, members = classes(kept) if unit else (kept, kept.select(F.col("id").alias("rep"), "id").limit(0))  # equal sets may differ in weight
     pairs = candidate_pairs(reps, threshold, 2, unit)
-    x = reps.filter("side = 0").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("terms").alias("t_a"), F.col("weights").alias("w_a"))
-    y = reps.filter("side = 1").select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("terms").alias("t_b"), F.col("weights").alias("w_b"))
+    again = materialize(vectors(of_pairs(rows, pairs)), "texts")
+    x = again.filter("side = 0").select(F.col("id").alias("a"), F.col("terms").alias("t_a"), *([] if unit else [F.col("weights").alias("w_a")]))
+    y = again.filter("side = 1").select(F.col("id").alias("b"), F.col("terms").alias("t_b"), *([] if unit else [F.col("weights").alias("w_b")]))
     both = pairs.join(x, "a").join(y, "b").withColumn("both", F.array_intersect("t_a", "t_b"))
+    n_a, n_b = F.size("t_a"), F.size("t_b")
     if unit:
-        dot = F.size("both") / F.sqrt(F.col("n_a").cast("double") * F.col("n_b"))
+        cosine = F.size("both") / F.sqrt(n_a.cast("double") * n_b)
     else:
-        weight = lambda t, w, k: F.element_at(w, F.array_position(t, k).cast("int")).cast("double")
+        weight = lambda t, w, k: F.greatest(F.coalesce(F.element_at(w, F.array_position(t, k).cast("int")).cast("double"), F.lit(0.0)), F.lit(0.0))
         dot = F.aggregate("both", F.lit(0.0), lambda s, k: s + weight(F.col("t_a"), F.col("w_a"), k) * weight(F.col("t_b"), F.col("w_b"), k))
-    found = both.select("a", "b", F.size("both").alias("common"), "n_a", "n_b", dot.alias("cosine"))
+        square = lambda w: F.aggregate(w, F.lit(0.0), lambda s, v: s + F.pow(F.greatest(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(2)))
+        cosine = dot / F.sqrt(square("w_a") * square("w_b"))
+    found = both.select("a", "b", F.size("both").alias("common"), n_a.alias("n_a"), n_b.alias("n_b"), cosine.alias("cosine"))
     return found.filter(F.col("cosine") >= threshold - 1e-6), members
 
 
-def expand(pairs: DataFrame, members: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Pairs of representatives as pairs of all members of their classes."""
-    own = lambda c: pairs.select(F.col(c).alias("rep"), F.col(c).alias("id")).distinct()
-    of = lambda c: own(c).unionByName(members.join(own(c).select("rep"), "rep", "left_semi"))
-    first = of(a).select(F.col("rep").alias(a), F.col("id").alias(f"{a}_id"))
-    second = of(b).select(F.col("rep").alias(b), F.col("id").alias(f"{b}_id"))
-    return pairs.join(first, a).join(second, b)
-
-
 def like_texts(df: DataFrame, id_col: str, side: Column, text: Column, likeness: float = 0.8, words: int = 5) -> DataFrame:
     """Pairs (`a` of side 0, `b` of side 1) of rows whose texts' shingle sets have a Jaccard likeness of at least `likeness`.
 
     A likeness j needs a cosine of at least 2j / (1 + j) of the unit vectors; the exact counts of the join then decide.
     """
-    vectors = df.select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), shingles(text, words).alias("terms")).filter("side is not null")
-    pairs, members = cosine_join(vectors, 2 * likeness / (1 + likeness))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), text.alias("text"))
+    pairs, members = cosine_join(rows, shingles(F.col("text"), words), 2 * likeness / (1 + likeness))
     close = pairs.filter(F.col("common") >= F.lit(likeness - 1e-9) * (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return expand(close.select("a", "b"), members).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return expand(materialize(close.select("a", "b"), "close"), members)
 
 
 def same_key(df: DataFrame, id_col: str, side: Column, key: Column) -> DataFrame:

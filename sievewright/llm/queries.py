@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import copies, cutoff, fragments, lookalikes, mixing, overlap, packing, spans, splits
 from sievewright.llm.components import component_pairs, components
+from sievewright.llm.shingles import expand
 from sievewright.llm.tokens import RANKS, token_count
 from sievewright.sources.shared import materialize
 from sievewright.sources.tables import table
@@ -72,15 +73,14 @@ def _designs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs, members = _designs(spark, d)
-    members = materialize(members, "members")
-    far = overlap.expand(pairs.select("a", "b"), members).select(F.least("a_id", "b_id").alias("card_a"), F.greatest("a_id", "b_id").alias("card_b"))
+    far = expand(pairs.select("a", "b"), members).select(F.least("a", "b").alias("card_a"), F.greatest("a", "b").alias("card_b"))
     return far.unionByName(fragments.within_classes(members).toDF("card_a", "card_b")).distinct()
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per design that is like another: its group, and how many distinct designs it is like."""
     pairs, members = _designs(spark, d)
-    pairs, members = materialize(pairs.select("a", "b"), "pairs"), materialize(members, "members")
+    pairs = pairs.select("a", "b")
     root = components(pairs.toDF("u", "v").unionByName(members.toDF("u", "v")))
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     of = members.select(F.col("id").alias("node"), "rep")

@@ -198,25 +198,21 @@ def term_sketch(vectors: DataFrame, sides: int) -> TermSketch:
     return TermSketch(np.concatenate([p[0] for p in parts], 1), np.concatenate([p[1] for p in parts], 1), sets[1:] if doubled else sets)
 
 
-VECTOR = (
-    "id long, side int, n int, terms array<long>, weights array<float>, cuts array<int>, pterms array<long>, pres array<float>, "
-    "b0 long, b1 long, f0 long, f1 long"
-)
+VECTOR = "id long, side int, n int, pterms array<long>, pres array<float>, b0 long, b1 long, f0 long, f1 long"
 
 
-def prefixes(vectors: DataFrame, sketch: TermSketch, threshold: float, sides: int, fragments: int = 1) -> DataFrame:
+def prefixes(vectors: DataFrame, sketch: TermSketch, threshold: float, sides: int) -> DataFrame:
     """The vectors that can reach the cosine `threshold` with another, each with the terms to meet it by.
 
     A term that the other side lacks adds nothing, so it counts in no bound. The tail of a vector, in the global
     order, from which neither its norm nor its product with the heaviest weights reaches the threshold, needs no
     list: `pterms` are the terms before it, `pres` the norm from each on. `b0`, `b1` are parities of the terms,
-    `f0`, `f1` a digest of the set, `cuts` the ends of the fragments of the global order in `terms`.
+    `f0`, `f1` a digest of the set.
     """
-    spark = vectors.sparkSession
-    held = spark.sparkContext.broadcast((sketch, sketch.pivots(fragments)))
+    held = vectors.sparkSession.sparkContext.broadcast(sketch)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sk, pivots = held.value
+        sk = held.value
         for batch in batches:
             if (b := Batch.of(batch)) is None:
                 continue
@@ -228,56 +224,72 @@ def prefixes(vectors: DataFrame, sketch: TermSketch, threshold: float, sides: in
                 other = 1 - s if sides > 1 else 0
                 member[mine] = in_set(sk.seen[other], b.u[mine])
                 heavy[mine] = sk.heaviest[other][c0[mine]]
-            x2 = np.where(member, b.x * b.x, 0)
-            reach = np.minimum(np.sqrt(np.add.reduceat(x2, b.starts)), np.add.reduceat(np.where(member, b.x * heavy, 0), b.starts))
-            keep = np.flatnonzero(reach >= threshold - SLACK)
+            x2, most = np.where(member, b.x * b.x, 0), np.where(member, b.x * heavy, 0)
+            reach = np.minimum(np.sqrt(np.add.reduceat(x2, b.starts)), np.add.reduceat(most, b.starts))
+            kept = reach >= threshold - SLACK
+            keep = np.flatnonzero(kept)
             if not len(keep):
                 continue
-            of = np.isin(b.row, keep, assume_unique=False) if len(keep) < len(b.lens) else np.ones(len(b.u), bool)
-            row, u, x, xm, hv = b.row[of], b.u[of], b.x[of], x2[of], np.where(member, b.x * heavy, 0)[of]
-            mem = member[of]
-            order = order_value(sk.estimate(u), u)
-            by = np.lexsort((u, order, row))
-            row, u, x, xm, hv, mem, order = (a[by] for a in (row, u, x, xm, hv, mem, order))
+            of = kept[b.row]
+            row, u, xm, hv, mem = b.row[of], b.u[of], x2[of], most[of], member[of]
+            by = np.lexsort((u, order_value(sk.estimate(u), u), row))
+            row, u, xm, hv, mem = (a[by] for a in (row, u, xm, hv, mem))
             lens = b.lens[keep]
-            starts = np.r_[0, np.cumsum(lens)[:-1]]
-            ends = starts + lens
-            left = lambda a: (np.repeat(np.r_[0, np.cumsum(a)][ends], lens) - np.r_[0, np.cumsum(a)][:-1])
+            ends = np.cumsum(lens)
+            starts = ends - lens
+            left = lambda a: np.repeat(np.r_[0, np.cumsum(a)][ends], lens) - np.r_[0, np.cumsum(a)][:-1]
             res = np.sqrt(np.maximum(left(xm), 0))
             pre = mem & (np.minimum(res, left(hv)) >= threshold - SLACK)
-            npre = np.add.reduceat(pre.astype(np.int64), starts)
             h = u * np.uint64(0x9E3779B97F4A7C15)
             bit = h >> np.uint64(57)
             one = np.uint64(1) << (bit & np.uint64(63))
             parity = lambda m: np.bitwise_xor.reduceat(np.where(m, one, np.uint64(0)), starts).view(np.int64)
-            digest = lambda k: np.add.reduceat((u ^ (u >> np.uint64(29))) * np.uint64(k), starts).view(np.int64)
+            f0 = np.add.reduceat((u ^ (u >> np.uint64(29))) * np.uint64(0x94D049BB133111EB), starts).view(np.int64)
             f1 = np.add.reduceat((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), starts).view(np.int64)
-            frag = np.searchsorted(pivots, order, "right") if len(pivots) else np.zeros(len(u), np.int64)
-            cuts = np.cumsum(np.stack([np.add.reduceat((frag == f).astype(np.int32), starts) for f in range(len(pivots) + 1)], 1), 1)
-            offsets = pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32))
-            poff = pa.array(np.r_[0, np.cumsum(npre)].astype(np.int32))
-            coff = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * cuts.shape[1])
+            at = pa.array(np.r_[0, np.cumsum(np.add.reduceat(pre.astype(np.int64), starts))].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(b.ids[keep], pa.int64()),
                     pa.array(b.side[keep], pa.int32()),
                     pa.array(lens.astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(u.view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.float32))),
-                    pa.ListArray.from_arrays(coff, pa.array(cuts.ravel().astype(np.int32))),
-                    pa.ListArray.from_arrays(poff, pa.array(u[pre].view(np.int64))),
-                    pa.ListArray.from_arrays(poff, pa.array(res[pre].astype(np.float32))),
-                    pa.array(parity(bit < 64)),
-                    pa.array(parity(bit >= 64)),
-                    pa.array(digest(0x94D049BB133111EB)),
-                    pa.array(f1),
+                    pa.ListArray.from_arrays(at, pa.array(u[pre].view(np.int64))),
+                    pa.ListArray.from_arrays(at, pa.array(res[pre].astype(np.float32))),
+                    *(pa.array(a) for a in (parity(bit < 64), parity(bit >= 64), f0, f1)),
                 ],
-                names=["id", "side", "n", "terms", "weights", "cuts", "pterms", "pres", "b0", "b1", "f0", "f1"],
+                names=["id", "side", "n", "pterms", "pres", "b0", "b1", "f0", "f1"],
             )
 
     return materialize(vectors.mapInArrow(prune, VECTOR), "vectors")
 
 
+def in_fragments(vectors: DataFrame, sketch: TermSketch, fragments: int) -> DataFrame:
+    """The terms of each vector by fragment of the global order: (`id`, `n`, `fragment`, `segment`)."""
+    held = vectors.sparkSession.sparkContext.broadcast((sketch.counts, sketch.pivots(fragments)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, pivots = held.value
+        sk = TermSketch(counts, np.zeros(0), [])
+        for batch in batches:
+            if (b := Batch.of(batch)) is None:
+                continue
+            fragment = np.searchsorted(pivots, order_value(sk.estimate(b.u), b.u), "right")
+            by = np.lexsort((fragment, b.row))
+            row, fragment, u = b.row[by], fragment[by], b.u[by]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (fragment[1:] != fragment[:-1])])
+            at = pa.array(np.r_[starts, len(u)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(b.ids[row[starts]], pa.int64()),
+                    pa.array(b.lens[row[starts]].astype(np.int32)),
+                    pa.array(fragment[starts].astype(np.int32)),
+                    pa.ListArray.from_arrays(at, pa.array(u.view(np.int64))),
+                ],
+                names=["id", "n", "fragment", "segment"],
+            )
+
+    return vectors.mapInArrow(cut, "id long, n int, fragment int, segment array<long>")
+
+
 def classes(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collapse equal vectors of a side: (representatives with all columns, (`rep`, `id`) of the other members).
 
@@ -285,11 +297,9 @@ def classes(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     all rows may be of one class. Rows that repeat an identifier with the same vector are one member.
     """
     key = ["side", "n", "f0", "f1"]
-    reps = kept.groupBy(*key).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    several = reps.filter("size > 1").select(*key, "rep")
-    members = kept.select("id", *key).join(several, key).filter("id > rep").select("rep", "id").distinct()
-    lesser = kept.select("id", *key).join(several, key).filter("id > rep").select("id", *key)
-    return kept.join(lesser, ["id", *key], "left_anti").dropDuplicates(["id", *key]), members
+    several = kept.groupBy(*key).agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select(*key, "rep")
+    members = materialize(kept.select("id", *key).join(several, key).filter("id > rep").select("rep", "id", *key).distinct(), "members")
+    return kept.join(members.select("id", *key), ["id", *key], "left_anti"), members.select("rep", "id")
 
 
 def candidate_pairs(reps: DataFrame, threshold: float, sides: int, unit: bool) -> DataFrame:
@@ -303,11 +313,24 @@ def candidate_pairs(reps: DataFrame, threshold: float, sides: int, unit: bool) -
     )
     left = posts.filter("side = 0") if sides > 1 else posts
     right = (posts.filter("side = 1") if sides > 1 else posts).select("term", *(F.col(c).alias(f"{c}_r") for c in ("res", "id", "n", "b0", "b1")))
-    met = left.join(right, "term").filter(F.col("res") * F.col("res_r") >= threshold - 1e-4)
+    met = left.drop("side").join(right, "term").filter(F.col("res") * F.col("res_r") >= threshold - 1e-4)
     if sides == 1:
         met = met.filter("id < id_r")
     if unit:
         differ = F.bit_count(F.col("b0").bitwiseXOR(F.col("b0_r"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("b1_r")))
         need = threshold * F.sqrt(F.col("n").cast("double") * F.col("n_r")) - 1e-6
         met = met.filter((F.col("n") + F.col("n_r") - differ) / 2 >= need)
-    return met.select(F.col("id").alias("a"), F.col("id_r").alias("b")).distinct()
+    return materialize(met.select(F.col("id").alias("a"), F.col("id_r").alias("b")).distinct(), "pairs")
+
+
+def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The `rows` that occur in pairs, whose texts are worth reading again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return rows.join(wanted, "id", "left_semi")
+
+
+def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (`a`, `b`) of representatives as pairs of all members of their classes."""
+    more = pairs.join(members, F.col("a") == F.col("rep")).select(F.col("id").alias("a"), "b")
+    first = pairs.unionByName(more)
+    return first.unionByName(first.join(members, F.col("b") == F.col("rep")).select("a", F.col("id").alias("b")))
