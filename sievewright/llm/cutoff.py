@@ -109,7 +109,7 @@ def examine(raw: str | None, name: str) -> tuple[str, list[str], set[str], int,
 
     state: 'none' (blank), 'whole', 'look' (the last line has no terminator) or why the output is cut.
     """
-    body = (raw or "").strip().lstrip("﻿").lstrip()
+    body = (raw or "").strip().lstrip("\ufeff").lstrip()
     if not body:
         return "none", [], set(), 0, 0
     if f := FENCE.match(body):

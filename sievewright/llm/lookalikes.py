@@ -22,7 +22,7 @@ LETTERS = {a: b for a, b in (CYRILLIC | GREEK | OTHER).items() if a != b}
 #: Signs that look like the hyphen. Dashes are signs of their own.
 HYPHENS = set("‐‑⁃˗﹣－")
 #: Invisible though of no format category: fillers and variation selectors.
-FILLERS = {"͏", "ᅟ", "ᅠ", "឴", "឵", "ㅤ", "ﾠ", "⠀"}
+FILLERS = {"\u034f", "\u115f", "\u1160", "\u17b4", "\u17b5", "\u3164", "\uffa0", "\u2800"}
 LINE_AND_TAB = set("\t\n\r")
 #: Kinds of compatibility decomposition that change the look of a character but not what it says.
 WIDTHS = ("<wide>", "<narrow>", "<font>")
