@@ -179,7 +179,7 @@ def cut_outputs(df: DataFrame, id_col: str, raw_col: str, source_col: str, flag_
     asked = scanned.filter("state = 'look'").select("id", F.explode("parts").alias("part")).select("id", kind.alias("kind"), word.alias("word"))
     found = F.when(F.col("kind") == "t", F.col("t")).otherwise(F.col("k") | (F.col("w") & ~F.col("o")))
     unknown = asked.join(known, "word", "left").filter(~F.coalesce(found, F.lit(False))).groupBy("id").agg(F.lit("sentence").alias("missing"))
-    baseline = scanned.groupBy("source").agg((F.sum("loose") / F.sum("n")).alias("loose_share")).withColumnRenamed("source", "s2")
+    baseline = scanned.groupBy("source").agg(F.try_divide(F.sum("loose"), F.sum("n")).alias("loose_share")).withColumnRenamed("source", "s2")
     judged = scanned.join(unknown, "id", "left").join(baseline, F.col("source").eqNullSafe(F.col("s2")), "left")
     lacking = F.col("missing").isNotNull() & ~(F.coalesce(F.col("loose_share"), F.lit(0.0)) > usual)
     reason = F.when(F.col("state").isin("none", "whole"), None).when(F.col("state") != "look", F.col("state")).when(lacking, F.lit("sentence"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,6 +48,22 @@ class Dual:
         self.at = at
 
 
+def diffuse(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Copies of the documents of a bucket: rates rounded down or up, so that the tokens so far stay nearest to what is due.
+
+    Documents go from long to short, so what is off in the end is about half of a short document.
+    """
+    pdf = pdf.sort_values(["tokens", "id"], ascending=[False, True], kind="stable")
+    due, copies = 0.0, []
+    for rate, n in zip(pdf["rate"].to_numpy(), pdf["tokens"].to_numpy()):
+        whole = math.floor(rate + 1e-9)
+        due += (rate - whole) * n
+        up = rate - whole > 1e-9 and due >= n / 2
+        due -= n * up
+        copies.append(whole + up)
+    return pdf[["mix_id", "source", "id", "tokens"]].assign(copies=np.array(copies, dtype="int64"))
+
+
 def balance(items: DataFrame, targets: DataFrame, tolerance: float = 1e-6, most_steps: int = 100) -> tuple[DataFrame, DataFrame]:
     """Copies of items for each mix and the shares reached.
 
@@ -87,14 +105,11 @@ def balance(items: DataFrame, targets: DataFrame, tolerance: float = 1e-6, most_
         for r in terms.groupBy("mix_id", "source").agg(F.sum(mass).alias("value"), F.sum(F.when(F.col("w") < F.col("cap"), mass * x).otherwise(0.0)).alias("slope")).collect():
             duals[r["mix_id"], r["source"]].step(r["value"], r["slope"], tolerance)
     rated = norm.join(F.broadcast(multipliers(False)), "source").withColumn("rate", rate)
-    place = F.pmod(F.xxhash64("id"), F.ceil(F.col("docs") / BUCKET))
+    place = F.pmod(F.xxhash64("id", "tokens"), F.ceil(F.col("docs") / BUCKET))
     rated = rated.select("mix_id", "source", "id", "tokens", "rate", place.alias("bucket"))
-    by = Window.partitionBy("mix_id", "source", "bucket").orderBy(F.desc("tokens"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    part = F.col("rate") - F.floor("rate")
-    start = F.pmod(F.xxhash64("mix_id", "source", "bucket"), F.lit(1 << 20)) / (1 << 20)
-    upto = F.col("upto") + start
-    extra = F.floor(upto) - F.floor(upto - part)
-    copied = rated.withColumn("upto", F.sum(part).over(by)).select("mix_id", "source", "id", "tokens", (F.floor("rate") + extra).cast("long").alias("copies"))
+    kinds = dict(rated.dtypes)
+    shape = f"mix_id {kinds['mix_id']}, source string, id {kinds['id']}, tokens long, copies long"
+    copied = rated.groupBy("mix_id", "source", "bucket").applyInPandas(diffuse, shape)
     used = copied.filter("copies > 0")
     per = used.groupBy("mix_id", "source").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens")

@@ -21,18 +21,17 @@ SHARD_CONTAINERS = 1024
 def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> np.ndarray:
     """The container of each of the `lengths`, which must be in descending order and at most `capacity`.
 
-    As many containers are open at first as the total needs at least; an item without room opens another.
+    Half as many containers as the total needs are open at first; an item without room opens another. More from the
+    start would spread long items over all of them and leave gaps that no short item is left to fill.
     """
-    total = int(lengths.sum())
-    opened = max(1, -(-total // capacity))
+    opened = max(1, int(lengths.sum()) // (2 * capacity))
     room, cost = np.full(opened, capacity, np.int64), np.zeros(opened)
     out = np.empty(len(lengths), np.int64)
     price = linear * lengths + quadratic * lengths.astype(np.float64) ** 2
     for i, n in enumerate(lengths.tolist()):
-        fits = np.flatnonzero(room >= n)
-        if len(fits):
-            k = fits[np.argmin(cost[fits])]
-        else:
+        open_cost = np.where(room >= n, cost, np.inf)
+        k = int(open_cost.argmin())
+        if open_cost[k] == np.inf:
             room, cost, k = np.append(room, capacity), np.append(cost, 0.0), len(room)
         out[i] = k
         room[k] -= n

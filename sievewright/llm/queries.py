@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievewright.llm import copies, cutoff, fragments, lookalikes, mixing, overlap, packing, spans, splits
 from sievewright.llm.components import component_pairs, components
@@ -137,9 +138,9 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     per = _splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("component").alias("components"))
-    total = per.agg(F.sum("rows").alias("all_rows"))
+    total = F.sum("rows").over(Window.partitionBy())  # one row per split
     wanted = table(spark, d, "split_targets").select("split", F.col("share").alias("target_share"))
-    return per.join(wanted, "split").join(F.broadcast(total)).select("split", "target_share", "rows", "components", F.round(F.col("rows") / F.col("all_rows"), 6).alias("share"))
+    return per.join(wanted, "split").select("split", "target_share", "rows", "components", F.round(F.col("rows") / total, 6).alias("share"))
 
 
 def _items(spark: SparkSession, d: str, ranks: str = RANKS) -> DataFrame:
