@@ -146,7 +146,8 @@ def lookalike_forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
         made = []
         for t in texts:
             s = skeleton(t)
-            made.append((s, plain_form(t), s != t and not is_plain(t) or any(map(mixed, words(t)))))
+            suspect = unicodedata.normalize("NFC", s) != t or any(map(mixed, words(t)))
+            made.append((s, plain_form(t), suspect and not is_plain(t)))
         return pd.DataFrame(made, columns=["skeleton", "form", "is_case"])
 
     long = df.select(

@@ -28,6 +28,8 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "Stone", None, "s"), (2, "Stоne", "", "t"), (2, "Stоne", "x" * 100_000 + "é", "t"), (3, None, "ＡＢ", "u")], "card_no long, name string, oracle_text string, skeleton string")
     forms = la.lookalike_forms(df, "card_no", ["name", "oracle_text"])
     assert sorted((r["id"], r["field_name"]) for r in forms.filter("is_case").collect()) == [(2, "name"), (2, "name"), (3, "oracle_text")]
+    one = spark.createDataFrame([(1, "cafe\u0301"), (2, "caf\u00e9"), (3, "\u0436\u0430b")], "n long, t string")
+    assert sorted(r["id"] for r in la.lookalike_forms(one, "n", ["t"]).filter("is_case").collect()) == [1, 3]
     assert forms.filter("field_name = 'name'").select("form").distinct().count() == 1
     g = la.lookalike_groups(forms).filter("field_name = 'name'").first()
     assert (g["originals"], g["fields"], g["first_id"]) == (2, 3, 1)
