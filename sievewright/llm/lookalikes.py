@@ -23,6 +23,8 @@ LETTERS = {a: b for a, b in (CYRILLIC | GREEK | OTHER).items() if a != b}
 HYPHENS = set("‐‑⁃˗﹣－")
 #: Invisible though of no format category: fillers and variation selectors.
 FILLERS = {"\u034f", "\u115f", "\u1160", "\u17b4", "\u17b5", "\u3164", "\uffa0", "\u2800"}
+#: Signs beyond ASCII that stand for themselves.
+PLAIN_SIGNS = "‘’“”–—•…"
 LINE_AND_TAB = set("\t\n\r")
 #: Kinds of compatibility decomposition that change the look of a character but not what it says.
 WIDTHS = ("<wide>", "<narrow>", "<font>")
@@ -137,8 +139,8 @@ def is_plain(text: str) -> bool:
 def lookalike_forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """Skeleton and plain form of each named text column of `df`, one row per row and field that is not null.
 
-    Columns: `id`, `field_name`, `original`, `skeleton`, `form`, `is_case`. A text of printable ASCII, tabs and
-    line ends is its own skeleton and form and never leaves the JVM. Null fields give no row, empty ones are plain.
+    Columns: `id`, `field_name`, `original`, `skeleton`, `form`, `is_case`. A text of printable ASCII, tabs, line ends
+    and the signs of PLAIN_SIGNS is its own skeleton and form and never leaves the JVM. Null fields give no row, empty ones are plain.
     """
 
     @F.pandas_udf("skeleton string, form string, is_case boolean")
@@ -154,7 +156,7 @@ def lookalike_forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
         F.col(id_col).alias("id"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("original")) for f in fields))).alias("x"),
     ).select("id", "x.field_name", "x.original").filter("original is not null")
-    odd = F.col("original").rlike(r"[^\t\n\r\x20-\x7E]")
+    odd = F.col("original").rlike(rf"[^\t\n\r\x20-\x7E{PLAIN_SIGNS}]")
     made = long.filter(odd).withColumn("f", forms("original")).select("id", "field_name", "original", "f.skeleton", "f.form", "f.is_case")
     plain = long.filter(~odd).select("id", "field_name", "original", F.col("original").alias("skeleton"), F.col("original").alias("form"), F.lit(False).alias("is_case"))
     return made.unionByName(plain)
