@@ -39,7 +39,7 @@ def copy_groups(keyed: DataFrame, hot_share: float = 1 / 256, salts: int = 32) -
     """
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = keyed.count()
-    hot = counted.filter(F.col("n") > F.lit(total * hot_share)).select("key")
+    hot = materialize(counted.filter(F.col("n") > F.lit(total * hot_share)).select("key"), "hot")
     hot_rows = keyed.join(F.broadcast(hot), "key", "left_semi")
     rest = keyed.join(F.broadcast(hot), "key", "left_anti")
     first = [F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")]
