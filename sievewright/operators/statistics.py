@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.canon import hash_number
+from sievewright.operators.windows import hash_ranks
 
 #: Vectors of a block in the search; blocks of queries times blocks of the index are multiplied.
 BLOCK = 4096
@@ -25,7 +26,8 @@ def family_bootstrap(paired: DataFrame, family: str, difference: Column, replica
     Spark; only (difference, cases) per family is compact. An empty table gives one row of nulls.
     """
     per = paired.groupBy(family).agg(F.sum(difference).alias("d"), F.count(F.lit(1)).alias("c"))
-    ordered = per.selectExpr(f"row_number() over (order by {family}) - 1 as i", "d", "c")
+    named = per.withColumn("_name", F.coalesce(F.col(family).cast("string"), F.lit("")))
+    ordered = hash_ranks(named, [], "_name", []).select((F.col("place") - 1).alias("i"), "d", "c")
     n = paired.select(family).distinct().count()
     spark = paired.sparkSession
     grid = spark.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))

@@ -23,9 +23,33 @@ def at_most(df: DataFrame, group: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("place", place).filter(F.col("place") <= n)
 
 
-def priority_dedup(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """Each row with `place` 1 for the survivor of its key and more for the duplicates. Null keys are one key."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def priority_dedup(df: DataFrame, key: str, order: list[Column], ident: str) -> tuple[DataFrame, DataFrame]:
+    """(survivors, duplicates) by `key`, the first in `order` surviving.
+
+    Survivors come from one aggregate, duplicates from an anti-join on the identifier, so no key's rows are ever sorted
+    together, however many they are. Null keys are one key; identifiers must be unique.
+    """
+    first = F.min_by(ident, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias(ident)
+    kept = df.groupBy(key).agg(first).select(ident)
+    return df.join(kept, ident, "left_semi"), df.join(kept, ident, "left_anti")
+
+
+def hash_ranks(df: DataFrame, group: list[str], rank: str, ties: list[str], digits: int = 3) -> DataFrame:
+    """Each row with its `place` from 1 in the order of a hex digest, or another string, within its group.
+
+    Rows are numbered inside the ranges of the string's first characters, and ranges by the counts before them, so a
+    group of any size is spread over 16^digits parts. Null groups are groups; the string must not be null.
+    """
+    cut = df.withColumn("_range", F.substring(rank, 1, digits))
+    counts = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")
+    offsets = counts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), before.alias("_before"))
+    on = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    local = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(rank, *ties))
+    numbered = cut.withColumn("_local", local).join(offsets, on)
+    return numbered.withColumn("place", F.col("_before") + F.col("_local")).select(*df.columns, "place")
 
 
 def batches(df: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:

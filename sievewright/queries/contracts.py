@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import canon
 from sievewright.operators import contracts
+from sievewright.operators.windows import hash_ranks
 from sievewright.queries.registry import query
 from sievewright.queries.windows import SHA
 from sievewright.sources.tables import table
@@ -87,10 +88,8 @@ def d27_pilot_coverage(spark, d):
 
 @query(f"""select row_id, row_number() over (partition by split, style order by {SHA.format('example_id')}, row_id) as place from examples where example_id is not null""")
 def f01_hash_shuffle(spark, d):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("split", "style").orderBy(canon.digest_string("example_id"), "row_id")
-    return table(spark, d, "examples").filter("example_id is not null").select("row_id", F.row_number().over(w).alias("place"))
+    rows = table(spark, d, "examples").filter("example_id is not null").select("row_id", "split", "style", canon.digest_string("example_id").alias("h"))
+    return hash_ranks(rows, ["split", "style"], "h", ["row_id"]).select("row_id", "place")
 
 
 @query("""select event_id from events order by sha256(cast(event_id as varchar)), event_id limit 500""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import canon
 from sievewright.operators import joins
+from sievewright.operators.windows import hash_ranks
 from sievewright.queries.registry import query
 from sievewright.sources.tables import table
 
@@ -184,11 +185,9 @@ def c25_recompute_and_keep_changed(spark, d):
 @query("""with l as (select row_id, 'case-' || cast(row_number() over (partition by style order by sha256(to_json(example_id)::varchar), row_id) as varchar) as label, style from examples where example_id is not null)
 select row_id, style, label from l""")
 def c28_opaque_labels(spark, d):
-    from pyspark.sql.window import Window
-
-    rows = table(spark, d, "examples").filter("example_id is not null")
-    n = F.row_number().over(Window.partitionBy("style").orderBy(canon.digest_string("example_id"), "row_id"))
-    return rows.select("row_id", "style", F.concat(F.lit("case-"), n.cast("string")).alias("label"))
+    rows = table(spark, d, "examples").filter("example_id is not null").select("row_id", "style", canon.digest_string("example_id").alias("h"))
+    ranked = hash_ranks(rows, ["style"], "h", ["row_id"])
+    return ranked.select("row_id", "style", F.concat(F.lit("case-"), F.col("place").cast("string")).alias("label"))
 
 
 @query("""select distinct lower(x) as name from (select name as x from cards union all select f.name from (select unnest(card_faces) as f from cards)) where x is not null""")

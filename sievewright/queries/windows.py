@@ -27,7 +27,7 @@ _PRIORITY = "case split when 'test' then 0 when 'validation' then 1 else 2 end"
 def _deduplicated(spark, d):
     priority = F.when(F.col("split") == "test", 0).when(F.col("split") == "validation", 1).otherwise(2)
     rows = table(spark, d, "examples").filter("description is not null").withColumn("key", text.description_key(F.col("description")))
-    return windows.priority_dedup(rows, F.col("key"), [priority, F.col("example_id"), F.col("row_id")])
+    return windows.priority_dedup(rows.select("row_id", "split", "example_id", "key"), "key", [priority, F.col("example_id"), F.col("row_id")], "row_id")
 
 
 _DEDUP = f"with k as (select row_id, split, {KEY_SQL.format('description')} as key, example_id from examples where description is not null), r as (select *, row_number() over (partition by key order by {_PRIORITY}, example_id nulls first, row_id) as place from k)"
@@ -35,12 +35,12 @@ _DEDUP = f"with k as (select row_id, split, {KEY_SQL.format('description')} as k
 
 @query(f"{_DEDUP} select row_id, split from r where place = 1")
 def e02_priority_dedup(spark, d):
-    return _deduplicated(spark, d).filter("place = 1").select("row_id", "split")
+    return _deduplicated(spark, d)[0].select("row_id", "split")
 
 
 @query(f"{_DEDUP} select row_id, split, 'duplicate_normalized_description' as reason from r where place > 1")
 def e02_duplicates_report(spark, d):
-    return _deduplicated(spark, d).filter("place > 1").select("row_id", "split", F.lit("duplicate_normalized_description").alias("reason"))
+    return _deduplicated(spark, d)[1].select("row_id", "split", F.lit("duplicate_normalized_description").alias("reason"))
 
 
 @query("""with r as (select card_id, family_id, row_number() over (partition by family_id order by submitted_at nulls first, card_id) as n from custom_cards where family_id is not null) select family_id, card_id, max(n) over (partition by family_id) - 1 as near_duplicates from r qualify n = 1""".replace("select family_id, card_id, max(n) over (partition by family_id) - 1 as near_duplicates from r qualify n = 1", "select family_id, min(case when n = 1 then card_id end) as card_id, count(*) - 1 as near_duplicates from r group by 1"))
@@ -87,9 +87,9 @@ def e08_moving_mean(spark, d):
 
 @query(f"""select row_id, case when (row_number() over (partition by style order by {SHA.format('example_id')}, row_id) - 1) % 2 = 0 then 'development' else 'release' end as half from examples where example_id is not null""")
 def e09_alternating_halves(spark, d):
-    rows = table(spark, d, "examples").filter("example_id is not null")
-    n = F.row_number().over(Window.partitionBy("style").orderBy(canon.digest_string("example_id"), "row_id")) - 1
-    return rows.select("row_id", F.when(n % 2 == 0, "development").otherwise("release").alias("half"))
+    rows = table(spark, d, "examples").filter("example_id is not null").select("row_id", "style", canon.digest_string("example_id").alias("h"))
+    ranked = windows.hash_ranks(rows, ["style"], "h", ["row_id"])
+    return ranked.select("row_id", F.when(F.col("place") % 2 == 1, "development").otherwise("release").alias("half"))
 
 
 @query("""select row_id, split, cast(floor((row_number() over (partition by split, style order by row_id) - 1) / 12) as bigint) as batch from examples""")
@@ -99,8 +99,9 @@ def e10_batching(spark, d):
 
 @query(f"""select candidate_id, arm, cast(floor((row_number() over (partition by arm order by sha256('["judge", ' || to_json(case_id)::varchar || ']'), candidate_id) - 1) / 9) as bigint) as batch from candidates where case_id is not null""")
 def e11_shuffled_batches(spark, d):
-    rows = table(spark, d, "candidates").filter("case_id is not null")
-    return windows.batches(rows, ["arm"], [canon.digest_list(F.lit("judge"), F.col("case_id")), F.col("candidate_id")], 9).select("candidate_id", "arm", "batch")
+    rows = table(spark, d, "candidates").filter("case_id is not null").select("candidate_id", "arm", canon.digest_list(F.lit("judge"), F.col("case_id")).alias("h"))
+    ranked = windows.hash_ranks(rows, ["arm"], "h", ["candidate_id"])
+    return ranked.select("candidate_id", "arm", F.floor((F.col("place") - 1) / 9).alias("batch"))
 
 
 @query(r"""with l as (select card_no, unnest(string_split(oracle_text, chr(10))) as line, generate_subscripts(string_split(oracle_text, chr(10)), 1) as pos from cards where oracle_text is not null)

@@ -134,3 +134,19 @@ def test_preference_pairs_leave_out_disputed_cases(spark):
     rows = spark.createDataFrame([("c", 1, 0.9, True, False, "x"), ("c", 2, 1.0, True, False, "y"), ("c", 3, None, False, True, "z"), ("d", 4, 1.0, True, False, "s"), ("d", 5, 0.0, False, True, "s"), ("e", 6, 1.0, True, False, "t")], "case string, id int, score double, g boolean, b boolean, t string")
     got = selection.preference_pairs(rows, "case", "id", F.col("score"), F.col("g"), F.col("b"), F.col("t")).collect()
     assert [tuple(r) for r in got] == [("c", 2, 3)]
+
+
+def test_hash_ranks_equal_row_numbers(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(200)] + [(0, None)], "id int, g string").withColumn("h", F.sha2(F.col("id").cast("string"), 256))
+    got = sorted((r["g"] or "", r["place"], r["h"]) for r in windows.hash_ranks(rows, ["g"], "h", ["id"], 1).collect())
+    want = []
+    for g in ("", "a", "b"):
+        hs = sorted(r["h"] for r in rows.collect() if (r["g"] or "") == g)
+        want += [(g, i + 1, h) for i, h in enumerate(hs)]
+    assert got == want
+
+
+def test_priority_dedup_loses_no_row(spark):
+    rows = spark.createDataFrame([(1, "k", 2), (2, "k", 1), (3, None, 1), (4, None, 1), (5, "x", 1)], "id int, k string, p int")
+    kept, dropped = windows.priority_dedup(rows, "k", [F.col("p"), F.col("id")], "id")
+    assert sorted(r["id"] for r in kept.collect()) == [2, 3, 5] and sorted(r["id"] for r in dropped.collect()) == [1, 4]
