@@ -34,11 +34,13 @@ def h02_hash_split(spark, d):
 
 @query()
 def h03_protected_holdout(spark, d):
-    feats = text.features(F.col("layout"), F.lit(None).cast("string"), F.col("oracle_text"), F.col("colors"))
-    rows = table(spark, d, "cards").filter("oracle_id is not null").select(F.col("oracle_id").alias("family"), F.explode(feats).alias("feature"))
-    groups = rows.groupBy("family").agg(F.collect_set("feature").alias("features"))
-    compact = selection.compact(groups.select("family", F.array_sort("features").alias("features"), canon.digest_list(F.lit("seed"), F.col("family")).alias("rank")))
-    taken = selection.choose_protected([(r["family"], 1, r["features"], r["rank"]) for r in compact], max(1, len(compact) // 50))
+    """Families held out so that every colour stratum that has two families at least is on both sides."""
+    feats = F.filter(text.features(F.col("layout"), F.col("type_line"), F.col("oracle_text"), F.col("colors")), lambda f: f.startswith("color"))
+    rows = table(spark, d, "cards").filter("oracle_id is not null").select(F.col("oracle_id").alias("family"), F.explode(feats).alias("feature")).distinct()
+    common = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("feature")
+    groups = rows.join(common, "feature").groupBy("family").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+    compact = selection.compact(groups.select("family", "features", canon.digest_list(F.lit("seed"), F.col("family")).alias("rank")))
+    taken = selection.choose_protected([(r["family"], 1, r["features"], r["rank"]) for r in compact], max(20, len(compact) // 50))
     return spark.createDataFrame([(f,) for f in taken], "family string")
 
 
