@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions import canon, text
+from sievewright.functions import canon, schema, text
 from sievewright.queries.registry import query
 from sievewright.sources.tables import table
 
@@ -252,6 +252,12 @@ def j14_json_validity(spark, d):
     return rows.select("candidate_id", F.try_parse_json("raw").isNotNull().alias("is_json"))
 
 
+@query()
+def j14_schema_checks(spark, d):
+    """Every output that is not null: whether it is JSON, an object and a draft, and where it breaks the schema."""
+    return schema.check_json(table(spark, d, "candidates"), "candidate_id", "raw")
+
+
 @query(r"""with w as (select row_id, len(regexp_extract_all(description, '[^\s]+', 0)) as p, len(regexp_extract_all(target.oracle_text, '[^\s]+', 0)) as c from examples where description is not null and target.oracle_text is not null)
 select row_id, repeat('0', p) || repeat('1', c) as mask, p + c <= 120 as fits from w""")
 def j16_completion_mask(spark, d):
