@@ -5,7 +5,7 @@ Random draws are taken from hashes: draw k of replicate b picks family int(sha25
 
 from __future__ import annotations
 
-
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -51,16 +51,18 @@ def sign_test(gained: Column, lost: Column) -> Column:
     return F.round(F.least(F.lit(1.0), 2 * tail), 9)
 
 
-def top_k_similar(queries: DataFrame, index: DataFrame, k: int, query_id: str = "qid", item_id: str = "id", vector: str = "vector") -> DataFrame:
-    """Exact cosine top-k of every query against all of `index`: (`query`, `item`, `similarity`, `rank`).
+def _unit(df: DataFrame, ident: str, vector: str) -> DataFrame:
+    """(`id`, `v`) of unit vectors; zero and null vectors are left out."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return df.filter(F.col(vector).isNotNull()).withColumn("_n", norm).filter("_n > 0").select(F.col(ident).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double") / F.col("_n")).alias("v"))
 
-    Both sides are cut into blocks of at most BLOCK vectors; each pair of blocks is one matrix product in Arrow batches,
-    keeping k per query, and the blocks' winners are merged by a window. Zero and null vectors are like nothing. Ties go to
-    the smaller item. A query is not its own neighbour.
+
+def _products(queries: DataFrame, index: DataFrame, query_id: str, item_id: str, vector: str, reduce: Callable, columns: dict[str, str]) -> DataFrame:
+    """Rows of `reduce(query ids, item ids, similarities)` for every pair of blocks; the own similarity is NaN.
+
+    Both sides are cut into blocks of at most BLOCK vectors; each pair of blocks is one matrix product in Arrow batches.
     """
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    unit = lambda df, i, name: df.filter(F.col(vector).isNotNull()).withColumn("_n", norm).filter("_n > 0").select(F.col(i).cast("long").alias(name), F.transform(vector, lambda v: v.cast("double") / F.col("_n")).alias("v"))
-    q, x = unit(queries, query_id, "id"), unit(index, item_id, "id")
+    q, x = _unit(queries, query_id, vector), _unit(index, item_id, vector)
     cut = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n).cast("long")))
     nq, nx = -(-max(queries.count(), 1) // BLOCK), -(-max(index.count(), 1) // BLOCK)
     ql = cut(q, nq).select("id", "v", F.col("block").alias("bq"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx - 1).cast("long"))).alias("bx"), F.lit(True).alias("asks"))
@@ -69,20 +71,61 @@ def top_k_similar(queries: DataFrame, index: DataFrame, k: int, query_id: str =
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         asks, has = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
         if asks.empty or has.empty:
-            return pd.DataFrame({"query": [], "item": [], "similarity": []}).astype({"query": "int64", "item": "int64", "similarity": "float64"})
-        a, b = np.stack(asks["v"].to_numpy()), np.stack(has["v"].to_numpy())
-        s = np.round(a @ b.T, 9)
-        ids = has["id"].to_numpy()
-        s[asks["id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(asks)), best.shape[1])
-        out = pd.DataFrame({"query": asks["id"].to_numpy()[rows], "item": ids[best.ravel()], "similarity": s[rows, best.ravel()]})
-        return out[np.isfinite(out["similarity"])]
-
-    won = ql.unionByName(xl).groupBy("bq", "bx").applyInPandas(multiply, "query long, item long, similarity double")
+            return pd.DataFrame({c: [] for c in columns}).astype({c: {"long": "int64", "double": "float64"}[t] for c, t in columns.items()})
+        s = np.round(np.stack(asks["v"].to_numpy()) @ np.stack(has["v"].to_numpy()).T, 9)
+        asking, ids = asks["id"].to_numpy(), has["id"].to_numpy()
+        s[asking[:, None] == ids[None, :]] = np.nan
+        return pd.DataFrame(reduce(asking, ids, s))
+
+    return ql.unionByName(xl).groupBy("bq", "bx").applyInPandas(multiply, ", ".join(f"{c} {t}" for c, t in columns.items()))
+
+
+def top_k_similar(queries: DataFrame, index: DataFrame, k: int, query_id: str = "qid", item_id: str = "id", vector: str = "vector") -> DataFrame:
+    """Exact cosine top-k of every query against all of `index`: (`query`, `item`, `similarity`, `rank`).
+
+    Each pair of blocks keeps k per query, and the blocks' winners are merged by a window. Zero and null vectors are like
+    nothing. Ties go to the smaller item. A query is not its own neighbour.
+    """
+
+    def best(asking: np.ndarray, ids: np.ndarray, s: np.ndarray) -> dict:
+        s = np.where(np.isnan(s), -np.inf, s)
+        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(asking)), at.shape[1])
+        real = np.isfinite(s[rows, at.ravel()])
+        return {"query": asking[rows][real], "item": ids[at.ravel()][real], "similarity": s[rows, at.ravel()][real]}
+
+    won = _products(queries, index, query_id, item_id, vector, best, {"query": "long", "item": "long", "similarity": "double"})
     return won.selectExpr("query", "item", "similarity", "row_number() over (partition by query order by similarity desc, item) as rank").filter(F.col("rank") <= k)
 
 
+def similarity_counts(queries: DataFrame, index: DataFrame, above: float, query_id: str = "qid", item_id: str = "id", vector: str = "vector") -> DataFrame:
+    """Over all of `index`, not the nearest only: (`query`, `items`, `near`, `low`, `most`).
+
+    `near` counts the similarities greater than `above`. Every pair of blocks gives one row per query; these are summed.
+    A query that has no other item gets no row.
+    """
+
+    def part(asking: np.ndarray, ids: np.ndarray, s: np.ndarray) -> dict:
+        own = np.isnan(s)
+        some = ~own.all(axis=1)
+        low, most = np.where(own, np.inf, s).min(axis=1), np.where(own, -np.inf, s).max(axis=1)
+        return {"query": asking[some], "items": (~own).sum(axis=1)[some], "near": (s > above).sum(axis=1)[some], "low": low[some], "most": most[some]}
+
+    parts = _products(queries, index, query_id, item_id, vector, part, {"query": "long", "items": "long", "near": "long", "low": "double", "most": "double"})
+    return parts.groupBy("query").agg(F.sum("items").alias("items"), F.sum("near").alias("near"), F.min("low").alias("low"), F.max("most").alias("most"))
+
+
+def reference_similarity(queries: DataFrame, references: DataFrame, query_id: str = "qid", vector: str = "vector") -> DataFrame:
+    """(`query`, `to_reference`): the cosine of each query to its own reference, both joined on `query_id`.
+
+    `references` has `query_id` and `vector`. Without a reference, or with a zero or null vector, there is no row.
+    """
+    q = _unit(queries, query_id, vector)
+    r = _unit(references, query_id, vector).withColumnRenamed("v", "w")
+    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
+    return q.join(r, "id").select(F.col("id").alias("query"), F.round(dot, 9).alias("to_reference"))
+
+
 def interleave(first: Column, second: Column, n: int = 3) -> Column:
     """Two ranked arrays merged: two of the first, one of the second, the rest of both; the first `n` distinct."""
     merged = F.concat(F.slice(first, 1, 2), F.slice(second, 1, 1), F.slice(first, 3, 3), F.slice(second, 2, 4))

@@ -80,3 +80,45 @@ def f08_interleaved_topk(spark, d):
 def l08_similarity_range(spark, d):
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query"), "label")
     return _neighbours(spark, d, 10).join(labels, "query").groupBy("label").agg(F.round(F.min("similarity"), 6).alias("low"), F.round(F.max("similarity"), 6).alias("high"), F.count_if(F.expr("similarity > 0.9")).alias("above"))
+
+
+def _with_references(spark, d):
+    """All vectors as questions, and for each the first vector of its label as the reference, except for that one itself."""
+    rows = table(spark, d, "embeddings").withColumnsRenamed({"vec_id": "id", "embedding": "vector"})
+    asked = rows.withColumnRenamed("id", "qid")
+    first = rows.groupBy("label").agg(F.min("id").alias("reference"))
+    own = rows.select("id", "label").join(first, "label").filter("id <> reference").select(F.col("id").alias("qid"), "reference")
+    return rows, asked, own.join(rows.select(F.col("id").alias("reference"), "vector"), "reference")
+
+
+_ALL = """u as (select vec_id as id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda w: w::double * w::double))) as size from embeddings),
+n as (select id, label, list_transform(embedding, lambda v: v::double / size) as v from u where size > 0),
+s as (select q.id as query, x.id as item, round(list_dot_product(q.v, x.v), 9) as similarity from n q, n x where x.id <> q.id),
+f as (select label, min(vec_id) as reference from embeddings group by 1),
+o as (select s.query, s.item as reference, s.similarity as to_reference from s join n on n.id = s.query join f on f.label = n.label and f.reference = s.item)"""
+
+
+@query(f"""with {_ALL}, c as (select query, count(*) as items, count_if(similarity > 0.2) as near, min(similarity) as low, max(similarity) as most from s group by 1),
+t as (select query, string_agg(cast(item as varchar), ',' order by rank) as nearest from (select query, item, row_number() over (partition by query order by similarity desc, item) as rank from s) where rank <= 3 group by 1)
+select c.query as query, items, near, round(low, 6) as low, round(most, 6) as most, nearest, round(to_reference, 6) as to_reference, coalesce(to_reference > 0.9, false) as is_above from c join t on t.query = c.query left join o on o.query = c.query""")
+def c21_counts_and_reference(spark, d):
+    rows, asked, references = _with_references(spark, d)
+    counts = statistics.similarity_counts(asked, rows, 0.2)
+    near = statistics.top_k_similar(asked, rows, 3).groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]), ",").alias("nearest"))
+    both = counts.join(near, "query").join(statistics.reference_similarity(asked, references), "query", "left")
+    six = lambda c: F.round(c, 6).alias(c)
+    return both.select("query", "items", "near", six("low"), six("most"), "nearest", six("to_reference"), F.coalesce(F.col("to_reference") > 0.9, F.lit(False)).alias("is_above"))
+
+
+@query(f"""with {_ALL}, c as (select query, count_if(similarity > 0.9) as near, min(similarity) as low, max(similarity) as most from s group by 1)
+select n.label as label, count(*) as queries, round(min(to_reference), 6) as low, round(max(to_reference), 6) as high, count_if(to_reference > 0.9) as above, round(min(c.low), 6) as low_of_all, round(max(c.most), 6) as high_of_all, cast(sum(c.near) as bigint) as above_of_all
+from c join n on n.id = c.query left join o on o.query = c.query group by 1""")
+def l08_reference_range(spark, d):
+    rows, asked, references = _with_references(spark, d)
+    counts = statistics.similarity_counts(asked, rows, 0.9).join(rows.select(F.col("id").alias("query"), "label"), "query")
+    both = counts.join(statistics.reference_similarity(asked, references), "query", "left")
+    six = lambda f, c, name: F.round(f(c), 6).alias(name)
+    return both.groupBy("label").agg(
+        F.count(F.lit(1)).alias("queries"), six(F.min, "to_reference", "low"), six(F.max, "to_reference", "high"), F.count_if(F.expr("to_reference > 0.9")).alias("above"),
+        six(F.min, "low", "low_of_all"), six(F.max, "most", "high_of_all"), F.sum("near").alias("above_of_all"),
+    )
