@@ -32,15 +32,35 @@ def h02_hash_split(spark, d):
     return _families(spark, d).select("card_no", F.when(h == 0, "test").when(h == 1, "validation").otherwise("train").alias("split"))
 
 
+def _families_of_rules(spark, d):
+    """(`family`, `card`) and (`family`, `card`, `feature`): rules text with the faces joined names the family; every face gives features."""
+    rows = table(spark, d, "cards").withColumn("card", F.coalesce("oracle_id", F.concat(F.lit("#"), F.col("card_no").cast("string"))))
+    own = F.array(F.struct("type_line", "oracle_text", "colors"))
+    sides = F.when(F.size("card_faces") > 0, F.transform("card_faces", lambda f: F.struct(f["type_line"].alias("type_line"), f["oracle_text"].alias("oracle_text"), F.coalesce(f["colors"], F.col("colors")).alias("colors")))).otherwise(own)
+    rows = rows.withColumn("sides", sides)
+    joined = F.array_join(F.transform("sides", lambda s: F.coalesce(s["oracle_text"], F.lit(""))), "\nFACE\n")
+    family = canon.digest(text.family_key(F.when(F.size("card_faces") > 0, F.coalesce("layout", F.lit("normal"))).otherwise("single"), joined))
+    colors = F.array_distinct(F.flatten(F.transform("sides", lambda s: F.coalesce(s["colors"], F.array().cast("array<string>")))))
+    rows = rows.select(family.alias("family"), "card", "layout", colors.alias("colors"), "sides")
+    each = rows.select("family", "card", "layout", "colors", F.explode("sides").alias("s"))
+    return rows.select("family", "card"), each.select("family", "card", F.explode(text.features(F.col("layout"), F.col("s.type_line"), F.col("s.oracle_text"), F.col("colors"))).alias("feature"))
+
+
 @query()
 def h03_protected_holdout(spark, d):
-    """Families held out so that every colour stratum that has two families at least is on both sides."""
-    feats = F.filter(text.features(F.col("layout"), F.col("type_line"), F.col("oracle_text"), F.col("colors")), lambda f: f.startswith("color"))
-    rows = table(spark, d, "cards").filter("oracle_id is not null").select(F.col("oracle_id").alias("family"), F.explode(feats).alias("feature")).distinct()
-    common = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("feature")
-    groups = rows.join(common, "feature").groupBy("family").agg(F.array_sort(F.collect_set("feature")).alias("features"))
-    compact = selection.compact(groups.select("family", "features", canon.digest_list(F.lit("seed"), F.col("family")).alias("rank")))
-    taken = selection.choose_protected([(r["family"], 1, r["features"], r["rank"]) for r in compact], max(20, len(compact) // 50))
+    """Families held out so that every feature keeps its families in training and every stratum is on both sides.
+
+    A stratum of one family is in training only. Families that share a card with another stay there too.
+    """
+    cards, rows = _families_of_rules(spark, d)
+    groups = rows.groupBy("family").agg(F.countDistinct("card").alias("cards"), F.array_sort(F.collect_set("feature")).alias("features"))
+    shared = cards.distinct().groupBy("card").agg(F.collect_list("family").alias("f")).filter("size(f) > 1")
+    stay = shared.select(F.explode("f").alias("family")).distinct().withColumn("stays", F.lit(True))
+    ranked = groups.join(stay, "family", "left").select("family", "cards", "features", canon.digest_list(F.lit("seed"), F.col("family")).alias("rank"), "stays")
+    compact = selection.compact(ranked)
+    taken = selection.choose_protected(
+        [tuple(r)[:4] for r in compact], max(20, len(compact) // 50), lone_stays=True, stay=frozenset(r["family"] for r in compact if r["stays"])
+    )
     return spark.createDataFrame([(f,) for f in taken], "family string")
 
 
