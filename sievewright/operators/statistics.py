@@ -5,7 +5,8 @@ Random draws are taken from hashes: draw k of replicate b picks family int(sha25
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,35 @@ def family_bootstrap(paired: DataFrame, family: str, difference: Column, replica
     return total.crossJoin(limits)
 
 
+def class_bootstrap(paired: DataFrame, family: str, difference: Column, replicates: int = 5000, seed: int = 43, low: int = 124, high: int = 4874, most: int = 1_000_000) -> DataFrame:
+    """The row of `family_bootstrap` at a cost that does not grow with the families.
+
+    A replicate depends on its families by their (difference, cases) only. Families alike in both are a class, and how
+    often each class is drawn is multinomial: the same law as that of single draws. The classes, at most `most`, go to the
+    driver; a replicate's stream starts from sha256("seed:replicate").
+    """
+    per = paired.groupBy(family).agg(F.sum(difference).cast("double").alias("d"), F.count(F.lit(1)).alias("c"))
+    classes = sorted((r["c"], r["d"], r["m"]) for r in per.groupBy("c", "d").agg(F.count(F.lit(1)).alias("m")).limit(most + 1).collect())
+    if len(classes) > most:
+        raise ValueError(f"more than {most} classes of families; family_bootstrap draws families one by one")
+    spark = paired.sparkSession
+    shape = "families long, cases long, estimate double"
+    if not classes:
+        return spark.createDataFrame([(0, None, None, None, None)], f"{shape}, lower double, upper double")
+    c, d, m = (np.array(x) for x in zip(*classes))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            streams = (np.random.default_rng(int(hashlib.sha256(f"{seed}:{b}".encode()).hexdigest(), 16)) for b in pdf["id"])
+            drawn = (g.multinomial(m.sum(), m / m.sum()) for g in streams)
+            yield pd.DataFrame({"s": [100.0 * (k @ d) / (k @ c) for k in drawn]})
+
+    place = F.array_sort(F.collect_list("s"))
+    limits = spark.range(replicates).mapInPandas(draw, "s double").agg(F.round(F.get(place, F.lit(low)), 6).alias("lower"), F.round(F.get(place, F.lit(high)), 6).alias("upper"))
+    total = spark.createDataFrame([(int(m.sum()), int(m @ c), round(float(100.0 * (m @ d) / (m @ c)), 6))], shape)
+    return total.crossJoin(limits)
+
+
 def sign_test(gained: Column, lost: Column) -> Column:
     """Exact two-sided sign test: min(1, 2 * sum of C(n, i) / 2^n for i up to the smaller count)."""
     n, k = gained + lost, F.least(gained, lost)

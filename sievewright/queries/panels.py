@@ -8,7 +8,7 @@ from sievewright.functions import canon, text
 from sievewright.operators import gates, selection, statistics
 from sievewright.queries.gates import _CODES, _codes
 from sievewright.queries.registry import query
-from sievewright.queries.statistics import _paired
+from sievewright.queries.statistics import _paired_by_group
 from sievewright.queries.windows import GROUP, SHA
 from sievewright.sources.tables import table
 
@@ -118,20 +118,20 @@ def k23_joint_admission(spark, d):
 
 @query()
 def l02_several_metrics(spark, d):
-    p = _paired(spark, d)
-    both = statistics.family_bootstrap(p, "family", F.col("after") - F.col("before"), 500, 43, 12, 487).withColumn("metric", F.lit("whole"))
-    kept = statistics.family_bootstrap(p, "family", F.col("after") * F.col("before"), 500, 43, 12, 487).withColumn("metric", F.lit("both"))
+    p = _paired_by_group(spark, d)
+    both = statistics.class_bootstrap(p, "family", F.col("after") - F.col("before")).withColumn("metric", F.lit("whole"))
+    kept = statistics.class_bootstrap(p, "family", F.col("after") * F.col("before")).withColumn("metric", F.lit("both"))
     return both.unionByName(kept)
 
 
 @query()
 def l03_panel_interval(spark, d):
-    return statistics.family_bootstrap(_paired(spark, d), "family", F.col("after") - F.col("before"), 500, 71, 12, 487)
+    return statistics.class_bootstrap(_paired_by_group(spark, d), "family", F.col("after") - F.col("before"), seed=71)
 
 
 @query()
 def l04_wide_interval(spark, d):
-    return statistics.family_bootstrap(_paired(spark, d), "family", F.col("after") - F.col("before"), 5000, 1709, 124, 4874)
+    return statistics.class_bootstrap(_paired_by_group(spark, d), "family", F.col("after") - F.col("before"), seed=1709)
 
 
 @query("""select l_orderkey, round(sum(l_quantity) / nullif(count(*), 0), 6) as per_line, sum(l_quantity) < 100 and count(*) < 5 as look_ahead from lineitem group by 1""")

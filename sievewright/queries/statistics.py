@@ -25,6 +25,20 @@ def l01_family_bootstrap(spark, d):
     return statistics.family_bootstrap(_paired(spark, d), "family", F.col("after") - F.col("before"), replicates=500, low=12, high=487)
 
 
+def _paired_by_group(spark, d):
+    """As `_paired`, but the family is the source group of the case's example, else its family, else the case alone."""
+    key = lambda c, kind: F.concat(F.lit(kind), F.min(F.lower(F.trim(c))))
+    known = table(spark, d, "examples").filter("example_id is not null").groupBy(F.col("example_id").alias("case_id"))
+    known = known.agg(F.coalesce(key("source_group_id", "group:"), key("family_id", "family:")).alias("known"))
+    pairs = _paired(spark, d).drop("family").join(known, "case_id", "left")
+    return pairs.withColumn("family", F.coalesce("known", F.concat(F.lit("case:"), "case_id"))).drop("known")
+
+
+@query()
+def l01_group_bootstrap(spark, d):
+    return statistics.class_bootstrap(_paired_by_group(spark, d), "family", F.col("after") - F.col("before"))
+
+
 @query(f"""with {_PAIRED}, t as (select count_if(after > before) as g, count_if(before > after) as l from q)
 select g as gained, l as lost, round(least(1.0, 2 * (select sum(exp(lgamma(g + l + 1) - lgamma(i + 1) - lgamma(g + l - i + 1) - (g + l) * ln(2))) from range(least(g, l) + 1) r(i))), 6) as p from t""")
 def l05_sign_test(spark, d):
