@@ -86,6 +86,21 @@ def h06_round_robin(spark, d):
     return windows.round_robin(_representatives(spark, d), "style", [F.col("h"), F.col("row_id")], 200).select("row_id", "style")
 
 
+@query()
+def h06_stratified_pick(spark, d):
+    """200 training families, or all if there are fewer: every type, colour combination and style, planeswalkers up to a 16th, styles in turn.
+
+    Colours are those of the cost, since a target has none of its own. The cover needs one row a feature, so it is made from
+    minima; the rest is in closed form.
+    """
+    target = table(spark, d, "examples").select("row_id", "target")
+    none = F.lit(None).cast("string")
+    made = text.features(none, F.col("target.type_line"), none, text.colors_of(F.coalesce("target.mana_cost", F.lit(""))))
+    kept = F.filter(made, lambda f: f.startswith("type:") | f.startswith("color_combination:"))
+    rows = _representatives(spark, d).join(target, "row_id").select("row_id", "style", "h", F.concat(kept, F.array(F.concat(F.lit("style:"), F.col("style")))).alias("features"))
+    return selection.stratified(rows, "row_id", "style", "features", [F.col("h"), F.col("row_id")], min(200, rows.count()), "type:planeswalker").select("row_id", "style")
+
+
 @query(f"""{_REP}, e as (select r.*, contains(e.target.type_line, 'Planeswalker') as walker, contains(e.target.name, ' // ') as faces from r join examples e on e.row_id = r.row_id),
 a as (select row_id from e where walker order by h, row_id limit 16), b as (select row_id from e where faces and row_id not in (select row_id from a) order by h, row_id limit 8),
 c as (select row_id from (select row_id, style, h, row_number() over (partition by style order by h, row_id) as turn from e where row_id not in (select row_id from a union all select row_id from b)) order by turn, style, h, row_id limit 128 - (select count(*) from a) - (select count(*) from b))

@@ -1,3 +1,8 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from sievewright.operators import selection
 from sievewright.queries import QUERIES
 
@@ -52,3 +57,27 @@ def test_quota_of_the_holdout():
     walker = lambda i: i in (198, 199, 197, 196)
     groups = [(f"{i:03d}", 1, ["type:planeswalker" if walker(i) else "type:creature", "color:U", "color_bucket:U"], f"{i:03d}") for i in range(200)]
     assert {"196", "197"} == {x for x in selection.choose_protected(groups, 32) if walker(int(x))}  # last in rank, 32 // 16 of them
+
+
+def test_closed_form_of_the_stratified_pick(spark):
+    rng = random.Random(7)
+    rows = [(f"i{i:03d}", rng.choice("abbbcc"), sorted({rng.choice(["type:land", "type:creature", "type:creature"]), f"color_combination:{rng.choice('WUBRGC')}"} | ({"type:planeswalker"} if i % 9 == 0 else set()) | ({f"type:rare{i}"} if i % 40 == 5 else set())), f"{rng.random():.9f}") for i in range(160)]
+    df = spark.createDataFrame(rows, "id string, style string, features array<string>, r string").repartition(5)
+    for count in (20, 64, 160):
+        got = selection.stratified(df, "id", "style", "features", [F.col("r"), F.col("id")], count, "type:planeswalker").collect()
+        assert sorted(r["id"] for r in got) == selection.choose_stratified(rows, count, "type:planeswalker")
+    for count in (5, 161):  # too few for the cover, more than there are
+        with pytest.raises(ValueError):
+            selection.stratified(df, "id", "style", "features", [F.col("r"), F.col("id")], count, "type:planeswalker")
+
+
+def test_rare_features_are_picked(spark, tmp_path):
+    kinds = {3: "Battle", 5: "Conspiracy", 7: "Plane"}
+    costs = {11: "{W}{U}{B}{R}{G}", 13: "{B}{R}{G}"}
+    rows = [(i, f"e{i}", "train", f"g{i}", "plain" if i % 2 else "broad", (f"{kinds.get(i, 'Planeswalker' if i % 10 == 0 else 'Creature')} — X", costs.get(i, "{G}"))) for i in range(2000)]
+    schema = "row_id long, example_id string, split string, source_group_id string, style string, target struct<type_line string, mana_cost string>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/examples.parquet")
+    old = {r["row_id"] for r in QUERIES["h06_round_robin"](spark, str(tmp_path)).collect()}
+    got = {r["row_id"] for r in QUERIES["h06_stratified_pick"](spark, str(tmp_path)).collect()}
+    assert len(got) == 200 and {*kinds, *costs} <= got and not {*kinds, *costs} <= old
+    assert sum(i % 10 == 0 for i in got) >= 12
