@@ -147,9 +147,7 @@ def lookalike_forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     def forms(texts: pd.Series) -> pd.DataFrame:
         made = []
         for t in texts:
-            s = skeleton(t)
-            suspect = unicodedata.normalize("NFC", s) != t or any(map(mixed, words(t)))
-            made.append((s, plain_form(t), suspect and not is_plain(t)))
+            made.append((skeleton(t), plain_form(t), not is_plain(t)))
         return pd.DataFrame(made, columns=["skeleton", "form", "is_case"])
 
     long = df.select(

@@ -34,3 +34,8 @@ def test_table(spark):
     g = la.lookalike_groups(forms).filter("field_name = 'name'").first()
     assert (g["originals"], g["fields"], g["first_id"]) == (2, 3, 1)
     assert la.lookalike_forms(df.limit(0), "card_no", ["name"]).count() == 0
+
+
+def test_marks_without_a_composed_form_are_cases(spark):
+    df = spark.createDataFrame([(1, "x\u0302"), (2, "q\u0301"), (3, "Jalape\u00f1o"), (4, "\u05d0\u05b7")], "n long, t string")  # the last mark is on Hebrew
+    assert sorted(r["id"] for r in la.lookalike_forms(df, "n", ["t"]).filter("is_case").collect()) == [1, 2]
