@@ -67,9 +67,12 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return per.join(total.withColumnsRenamed({"split": "s", "origin": "o"}), (F.col("split") == F.col("s")) & F.col("origin").eqNullSafe(F.col("o"))).drop("s", "o")
 
 
+def _eligible(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "custom_cards").select("card_id", "draft.type_line", "draft.oracle_text").filter("trim(oracle_text, ' \t\n\r') <> ''")
+
+
 def _designs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cards = table(spark, d, "custom_cards").select("card_id", "draft.type_line", "draft.oracle_text").filter("trim(oracle_text, ' \t\n\r') <> ''")
-    return fragments.fragment_join(cards, "card_id", F.concat_ws("\n", "type_line", "oracle_text"), likeness=0.6, words=3)
+    return fragments.fragment_join(_eligible(spark, d), "card_id", F.concat_ws("\n", "type_line", "oracle_text"), likeness=0.6, words=3)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,15 +82,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per design that is like another: its group, and how many distinct designs it is like."""
+    """One row per design whose rules text is not null: its group (itself if it is like no other), how many distinct designs it is like, and the size of its class of equal ones."""
     pairs, members = _designs(spark, d)
-    pairs = pairs.select("a", "b")
-    root = components(pairs.toDF("u", "v").unionByName(members.toDF("u", "v")))
+    return design_groups(_eligible(spark, d).select("card_id").distinct(), pairs.select("a", "b"), members)
+
+
+def design_groups(designs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(`card_id`, `group_id`, `links`, `equals`) of every row of `designs`; pairs and members as `fragment_join` gives them."""
+    root = components(pairs.toDF("u", "v").unionByName(members.select("rep", "id").toDF("u", "v"))).withColumnRenamed("node", "card_id")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    of = members.select(F.col("id").alias("node"), "rep")
-    return root.join(of, "node", "left").withColumn("rep", F.coalesce("rep", "node")).join(links, "rep", "left").select(
-        F.col("node").alias("card_id"), F.col("root").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links")
-    )
+    sizes = members.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("equals"))
+    rows = designs.join(members.select(F.col("id").alias("card_id"), "rep"), "card_id", "left").withColumn("rep", F.coalesce("rep", "card_id"))
+    every = rows.join(root, "card_id", "left").join(links, "rep", "left").join(sizes, "rep", "left")
+    return every.select("card_id", F.coalesce("root", "card_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("equals", F.lit(1)).alias("equals"))
 
 
 def _cut(spark: SparkSession, d: str) -> DataFrame:
