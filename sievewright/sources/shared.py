@@ -32,7 +32,22 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the written table that `materialize` returned as `df`, which nothing reads any more; other tables stay."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _written.remove((df.sparkSession, path))
 
 
 def drop_materialized() -> None:
@@ -40,9 +55,7 @@ def drop_materialized() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone
             pass
 
