@@ -52,6 +52,13 @@ e as (select row_id, {_SIDE} as s, nullif(trim(example_id), '') is not null as h
 p as ({_like("a.s = 0 and b.s = 1")} union select a.row_id, b.row_id from e a join e b on a.s = 0 and b.s = 1 and a.has and a.example_id = b.example_id
 union select a.row_id, b.row_id from e a join e b on a.s = 0 and b.s = 1 and a.g = b.g)
 select distinct least(x, y) as row_a, greatest(x, y) as row_b from p""",
+    "p2_report": f"""with {_shingled(f"select row_id as id, {_SIDE} as s, description as text from examples where split is not null")},
+e as (select row_id, {_SIDE} as s, nullif(trim(example_id), '') is not null as has, example_id, {_GROUP} as g from examples where split is not null),
+p as (select 'description' as kind, y as id, count(*) as links from ({_like("a.s = 0 and b.s = 1")}) group by 2
+union all select 'example_id', b.row_id, count(*) from e a join e b on a.s = 0 and b.s = 1 and a.has and a.example_id = b.example_id group by 2
+union all select 'source_group_id', b.row_id, count(*) from e a join e b on a.s = 0 and b.s = 1 and a.g = b.g group by 2),
+h as (select row_id as id, split, origin, count(*) over (partition by split, origin) as rows from examples where split in ('validation', 'test'))
+select split, origin, kind, count(*) as overlapping_rows, cast(sum(links) as bigint) as links, max(rows) as rows from h join p using (id) group by 1, 2, 3""",
     "p3_found": f"with {_shingled(_CARDS)}, p as ({_like('a.id < b.id')}) select x as card_a, y as card_b from p",
     "p5_found": f"""select card_no, field_name from (select card_no, 'name' as field_name, name as x from cards union all select card_no, 'oracle_text', oracle_text from cards)
 where regexp_matches(x, '{_ODD}') or regexp_matches(x, '{_MIXED}')""",

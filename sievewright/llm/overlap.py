@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.shingles import candidate_pairs, classes, expand, of_pairs, prefixes, shingles, term_sketch
-from sievewright.sources.shared import materialize
+from sievewright.llm.shingles import candidate_pairs, classes, expand, of_pairs, prefixes, readable, term_arrays, term_sketch
+from sievewright.sources.shared import forget, materialize
 
 
-def cosine_join(rows: DataFrame, terms: Column, threshold: float, weights: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def cosine_join(rows: DataFrame, terms: Column | None, threshold: float, weights: Column | None = None, words: int = 5, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Pairs of one row of side 0 and one of side 1 whose term vectors have a cosine of at least `threshold`.
 
     `rows`: `id` long, `side` 0 or 1, and what `terms` (array of distinct longs) and `weights` (of the same length; all
-    one if not given) are computed from. Inverted lists hold only terms before the tail of each vector that neither by
-    its residual norm nor by the other side's maximum weights can reach the threshold; products are then exact.
-    Returns the pairs of class representatives (`a`, `b`, `common`, `n_a`, `n_b`, `cosine`) and the further members of
-    their classes (`rep`, `id`). Null or empty vectors, and weights that are null or not positive, are like nothing.
+    one if not given) are computed from; without `terms`, the terms are the runs of `words` words of the column `text`.
+    Inverted lists hold only terms before the tail of each vector that neither by its residual norm nor by the other
+    side's maximum weights can reach the threshold (nor `share` of its terms, if pairs need that too); products are then
+    exact. Returns the pairs of class representatives (`a`, `b`, `common`, `n_a`, `n_b`, `cosine`) and the further members
+    of their classes (`rep`, `id`). Null or empty vectors, and weights that are null or not positive, are like nothing.
     An empty side gives no pairs. Identifiers are taken to be of one row each.
     """
+    unit = weights is None
 
     def vectors(of: DataFrame) -> DataFrame:
-        columns = [F.col("id"), F.col("side"), terms.alias("terms")] + ([] if weights is None else [weights.alias("weights")])
-        return of.filter("id is not null and side is not null").select(*columns).filter("size(terms) > 0")
+        of = of.filter("id is not null and side is not null")
+        if terms is None:
+            return of.select("id", "side", "text").filter("text <> ''")
+        return of.select("id", "side", terms.alias("terms"), *([] if unit else [weights.alias("weights")])).filter("size(terms) > 0")
 
-    unit = weights is None
-    kept = prefixes(vectors(rows), term_sketch(vectors(rows), 2), threshold, 2)
+    kept = prefixes(vectors(rows), term_sketch(vectors(rows), 2, words), threshold, 2, words, share, unit)
     reps, members = classes(kept) if unit else (kept, kept.select(F.col("id").alias("rep"), "id").limit(0))  # equal sets may differ in weight
     pairs = candidate_pairs(reps, threshold, 2, unit)
-    again = materialize(vectors(of_pairs(rows, pairs)), "texts")
+    if unit:
+        forget(kept)
+    again = vectors(of_pairs(rows, pairs))
+    again = materialize(term_arrays(again, words) if terms is None else again, "terms")
     x = again.filter("side = 0").select(F.col("id").alias("a"), F.col("terms").alias("t_a"), *([] if unit else [F.col("weights").alias("w_a")]))
     y = again.filter("side = 1").select(F.col("id").alias("b"), F.col("terms").alias("t_b"), *([] if unit else [F.col("weights").alias("w_b")]))
     both = pairs.join(x, "a").join(y, "b").withColumn("both", F.array_intersect("t_a", "t_b"))
@@ -44,20 +50,46 @@ def cosine_join(rows: DataFrame, terms: Column, threshold: float, weights: Colum
     return found.filter(F.col("cosine") >= threshold - 1e-6), members
 
 
-def like_texts(df: DataFrame, id_col: str, side: Column, text: Column, likeness: float = 0.8, words: int = 5) -> DataFrame:
-    """Pairs (`a` of side 0, `b` of side 1) of rows whose texts' shingle sets have a Jaccard likeness of at least `likeness`.
+def like_classes(df: DataFrame, id_col: str, side: Column, text: Column, likeness: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Pairs (`a` of side 0, `b` of side 1) of classes of rows with equal shingle sets that have a Jaccard likeness of at least `likeness`.
 
-    A likeness j needs a cosine of at least 2j / (1 + j) of the unit vectors; the exact counts of the join then decide.
+    A likeness j needs a cosine of at least 2j / (1 + j) of the unit vectors, and j of the terms of either; the exact
+    counts of the join then decide. Also returns the further members of the classes (`rep`, `id`).
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), text.alias("text"))
-    pairs, members = cosine_join(rows, shingles(F.col("text"), words), 2 * likeness / (1 + likeness))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), readable(text).alias("text"))
+    pairs, members = cosine_join(rows, None, 2 * likeness / (1 + likeness), words=words, share=likeness)
     close = pairs.filter(F.col("common") >= F.lit(likeness - 1e-9) * (F.col("n_a") + F.col("n_b") - F.col("common")))
-    return expand(materialize(close.select("a", "b"), "close"), members)
+    return materialize(close.select("a", "b"), "close"), members
+
+
+def like_texts(df: DataFrame, id_col: str, side: Column, text: Column, likeness: float = 0.8, words: int = 5) -> DataFrame:
+    """`like_classes` as pairs (`a` of side 0, `b` of side 1) of all rows."""
+    return expand(*like_classes(df, id_col, side, text, likeness, words))
+
+
+def like_counts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(`id`, `links`) of the rows of side 1: how many rows of side 0 each is like, no pair of rows being formed."""
+    sizes = members.groupBy("rep").agg((F.count(F.lit(1)) + 1).alias("size"))
+    per = pairs.join(sizes.withColumnRenamed("rep", "a"), "a", "left").groupBy("b").agg(F.sum(F.coalesce("size", F.lit(1))).alias("links"))
+    return per.select(F.col("b").alias("id"), "links").unionByName(per.join(members, F.col("b") == F.col("rep")).select("id", "links"))
+
+
+def keyed_rows(df: DataFrame, id_col: str, side: Column, key: Column) -> DataFrame:
+    """(`id`, `side`, `key`) of the rows whose key is neither null nor blank."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), key.alias("key"))
+    return rows.filter("id is not null and side is not null and trim(key) <> ''")
 
 
 def same_key(df: DataFrame, id_col: str, side: Column, key: Column) -> DataFrame:
     """Pairs (`a` of side 0, `b` of side 1) of rows with one key. A null or blank key links nothing."""
-    keyed = df.select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), key.alias("key")).filter("id is not null and side is not null and trim(key) <> ''")
+    keyed = keyed_rows(df, id_col, side, key)
     x, y = (keyed.filter(F.col("side") == s).select("key", F.col("id").alias(n)) for s, n in ((0, "a"), (1, "b")))
     shared = y.select("key").distinct()  # what the smaller side lacks never meets
     return x.join(shared, "key", "left_semi").join(y, "key").select("a", "b")
+
+
+def key_counts(df: DataFrame, id_col: str, side: Column, key: Column) -> DataFrame:
+    """(`id`, `links`) of the rows of side 1: how many rows of side 0 have their key, counted before the join."""
+    keyed = keyed_rows(df, id_col, side, key)
+    held = keyed.filter("side = 0").groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+    return keyed.filter("side = 1").join(held, "key").select("id", "links")

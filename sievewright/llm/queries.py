@@ -43,27 +43,32 @@ def _example_side() -> Column:
     return F.when(F.col("split") == "train", 0).when(F.col("split").isin("validation", "test"), 1)
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping pairs of rows of train and of a held-out split, with the kind of overlap."""
-    rows, side = table(spark, d, "examples"), _example_side()
-    like = overlap.like_texts(rows, "row_id", side, F.col("description"), likeness=0.6, words=3)
-    same = overlap.same_key(rows, "row_id", side, F.col("example_id"))
-    group = overlap.same_key(rows, "row_id", side, F.lower(F.trim("source_group_id")))
-    kinds = [("description", like), ("example_id", same), ("source_group_id", group)]
-    a, b, c = (x.select("a", "b", F.lit(kind).alias("kind")) for kind, x in kinds)
-    return a.unionByName(b).unionByName(c)
+def _group_key() -> Column:
+    return F.lower(F.trim("source_group_id"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b")).distinct()
+    rows, side = table(spark, d, "examples"), _example_side()
+    like = overlap.like_texts(rows, "row_id", side, F.col("description"), likeness=0.6, words=3)
+    same = overlap.same_key(rows, "row_id", side, F.col("example_id"))
+    group = overlap.same_key(rows, "row_id", side, _group_key())
+    every = like.unionByName(same).unionByName(group)
+    return every.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b")).distinct()
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out rows per split and origin that recur in train, by kind of overlap."""
-    rows = table(spark, d, "examples").filter("split in ('validation', 'test')").select(F.col("row_id").alias("b"), "split", "origin")
-    hit = _overlaps(spark, d).groupBy("b", "kind").agg(F.countDistinct("a").alias("links"))
-    total = rows.groupBy("split", "origin").agg(F.count(F.lit(1)).alias("rows"))
-    per = rows.join(hit, "b").groupBy("split", "origin", "kind").agg(F.countDistinct("b").alias("overlapping_rows"), F.sum("links").alias("links"))
+    """Held-out rows per split and origin that recur in train, by kind of overlap; links are counted by class and by key."""
+    rows, side = table(spark, d, "examples"), _example_side()
+    held = rows.filter("split in ('validation', 'test')").select(F.col("row_id").alias("id"), "split", "origin")
+    kinds = {
+        "description": overlap.like_counts(*overlap.like_classes(rows, "row_id", side, F.col("description"), likeness=0.6, words=3)),
+        "example_id": overlap.key_counts(rows, "row_id", side, F.col("example_id")),
+        "source_group_id": overlap.key_counts(rows, "row_id", side, _group_key()),
+    }
+    hits = [links.select("id", "links", F.lit(kind).alias("kind")) for kind, links in kinds.items()]
+    hit = hits[0].unionByName(hits[1]).unionByName(hits[2])
+    total = held.groupBy("split", "origin").agg(F.count(F.lit(1)).alias("rows"))
+    per = held.join(hit, "id").groupBy("split", "origin", "kind").agg(F.count(F.lit(1)).alias("overlapping_rows"), F.sum("links").alias("links"))
     return per.join(total.withColumnsRenamed({"split": "s", "origin": "o"}), (F.col("split") == F.col("s")) & F.col("origin").eqNullSafe(F.col("o"))).drop("s", "o")
 
 

@@ -6,7 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievewright.llm import fragments, overlap
-from sievewright.llm.shingles import expand, shingles
+from sievewright.llm import shingles
+from sievewright.llm.shingles import expand, text_terms
 
 
 def sets(texts, k):
@@ -106,9 +107,27 @@ def test_keys_link_only_where_they_are_set(spark):
     assert {tuple(r) for r in overlap.same_key(df, "id", F.col("side"), F.col("key")).collect()} == {(1, 2), (8, 2)}
 
 
-@settings(max_examples=15, deadline=None)
-@given(st.lists(st.sampled_from(["a", "B", "c1", "é", "_", "-", " ", "\n", "ß"]), max_size=30))
-def test_shingles_count_like_python(spark, parts):
-    text = "".join(parts)
-    got = spark.createDataFrame([(text,)], "t string").select(F.size(shingles(F.col("t"), 2))).first()[0]
-    assert got == len(sets([(0, text)], 2)[0])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "c1", "é", "_", "-", " ", "\n", "ß", "İ", "٣", "x" * 40]), max_size=60), st.sampled_from([7, 1 << 20]))
+def test_shingles_count_like_python(parts, piece):
+    text, usual, shingles.PIECE = "".join(parts), shingles.PIECE, piece
+    try:
+        row, u = text_terms([None, text, "", text], 2)
+    finally:
+        shingles.PIECE = usual
+    want = len(sets([(0, text)], 2)[0])
+    assert sorted(row.tolist()) == [1] * want + [3] * want and len(set(u.tolist())) == want
+
+
+def test_long_lists_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "LIST", 4)
+    monkeypatch.setattr(shingles, "FAN", 2)
+    monkeypatch.setattr(shingles, "PICKED", 0)
+    rows = corpus(7)
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in rows], "row_id long, text string, s int").repartition(5)
+    s = sets(rows, 3)
+    want = {(a, b) for a in s for b in s if a % 2 == 0 and b % 2 == 1 and like(s, a, b, 0.6)}
+    assert {tuple(r) for r in overlap.like_texts(df, "row_id", F.col("s"), F.col("text"), 0.6, 3).select("a", "b").collect()} == want
+    assert self_pairs(spark, rows, 0.6, 3) == {(a, b) for a in s for b in s if a < b and like(s, a, b, 0.6)}
+    counted = {r["id"]: r["links"] for r in overlap.like_counts(*overlap.like_classes(df, "row_id", F.col("s"), F.col("text"), 0.6, 3)).collect()}
+    assert counted == {b: sum(y == b for _, y in want) for b in {y for _, y in want}}
