@@ -65,6 +65,9 @@ where regexp_matches(x, '{_ODD}') or regexp_matches(x, '{_MIXED}')""",
     "p6_found": f"""with recursive e as (select distinct {_GROUP} as g, nullif(lower(trim(family_id)), '') as f from examples where {_GROUP} is not null and nullif(trim(family_id), '') is not null),
 n as (select distinct a.g as a, b.g as b from e a join e b on a.f = b.f), r(a, b) as (select a, b from n union select r.a, n.b from r join n on r.b = n.a)
 select a as group_a, b as group_b from r where a < b""",
+    # The rows that the shares ask for, the last and largest split taking the rest, and no key in two splits.
+    "p6_shares": """with n as (select count(*) as n from examples), w as (select split, share as target_share, cast(round_even(n * share / sum(share) over (), 0) as bigint) as r, n, row_number() over (order by share desc, split desc) as k from split_targets, n)
+select split, target_share, case k when 1 then n - sum(case k when 1 then 0 else r end) over () else r end::bigint as rows, round((case k when 1 then n - sum(case k when 1 then 0 else r end) over () else r end) / n, 6) as share, 0::bigint as leaking_keys from w""",
     "p9_found": f"with {_SPANS} select distinct a.doc_id as doc_a, b.doc_id as doc_b from c a join c b on a.h = b.h and a.doc_id < b.doc_id",
     "p9_report": f"""with {_SPANS}, d as (select distinct doc_id, s from c), l as (select doc_id, least(160, coalesce(lead(s) over (partition by doc_id order by s) - s, 160)) as fresh from d)
 select l.doc_id as doc_id, max(length(t.text)) as n_chars, cast(sum(fresh) as bigint) as shared_chars, round(sum(fresh) / max(length(t.text)), 6) as share from l join documents t on t.doc_id = l.doc_id group by 1""",

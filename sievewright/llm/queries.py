@@ -149,10 +149,14 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
-    per = _splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("component").alias("components"))
+    """Per split its wanted share, rows and share reached, and how many keys it shares with another split."""
+    placed = materialize(_splits(spark, d), "splits")
+    per = placed.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
     total = F.sum("rows").over(Window.partitionBy())  # one row per split
     wanted = table(spark, d, "split_targets").select("split", F.col("share").alias("target_share"))
-    return per.join(wanted, "split").select("split", "target_share", "rows", "components", F.round(F.col("rows") / total, 6).alias("share"))
+    leaks = splits.leaking_keys(table(spark, d, "examples"), "row_id", [F.col("source_group_id"), F.col("family_id")], placed)
+    shares = per.withColumn("share", F.round(F.col("rows") / total, 6)).join(wanted, "split").join(leaks, "split", "left")
+    return shares.select("split", "target_share", "rows", "share", F.coalesce("leaking", F.lit(0)).alias("leaking_keys"))
 
 
 def _items(spark: SparkSession, d: str, ranks: str = RANKS) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm.components import components
 from sievewright.sources.shared import materialize
 
-#: Totals are told apart in this many steps; beyond it sizes are measured in larger units.
+#: Steps in which the bitset tells totals apart; larger totals are met in several rounds of finer and finer units.
 STEPS = 1 << 22
 
 
@@ -24,41 +25,60 @@ def key_edges(df: DataFrame, keys: list[Column]) -> DataFrame:
     return rows.select(F.col("k")[0].alias("u"), F.explode(F.slice("k", 2, len(keys))).alias("v"))
 
 
+def nearest_subset(items: list[tuple[int, int]], goal: int, above: bool) -> list[int]:
+    """Places of the items (size, count; as a whole or not at all) whose weights, size * count, sum nearest to `goal`.
+
+    A subset-sum bitset grows by one item at a time; which item reached a total first is all that is kept to walk back.
+    Totals beyond 2 * goal + 1 are never nearest; without `above` neither are those beyond the goal.
+    """
+    cap = (1 << ((2 * goal + 2) if above else goal + 1)) - 1
+    reached, first = 1, np.full(cap.bit_length(), -1, np.int32)
+    for i, (s, k) in enumerate(items):
+        new = (reached << s * k) & cap & ~reached
+        if new:
+            bits = np.frombuffer(new.to_bytes((new.bit_length() + 7) // 8, "little"), np.uint8)
+            byte = np.flatnonzero(bits)
+            at, bit = np.nonzero(np.unpackbits(bits[byte, None], axis=1, bitorder="little"))
+            first[byte[at] * 8 + bit] = i
+            reached |= new
+    below = (reached & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    over = reached >> (goal + 1)
+    over = goal + 1 + (over & -over).bit_length() - 1 if over else None
+    at, used = over if over is not None and over - goal < goal - below else below, []
+    while at:
+        used.append(int(first[at]))
+        at -= items[used[-1]][0] * items[used[-1]][1]
+    return used
+
+
 def choose(multiplicities: dict[int, int], target: int) -> dict[int, int]:
     """How many parts of each size to take so that their total is as near `target` as can be.
 
-    First the same share of each size as of the whole, rounded down; the rest by a subset-sum bitset over the
-    sizes with their multiplicities split into powers of two. Totals beyond STEPS are measured in larger units.
+    First the same share of each size as of the whole, rounded down; the rest by a subset-sum bitset over the sizes with
+    their multiplicities split into powers of two. A rest beyond STEPS is first measured in larger units, rounded so that
+    it is never overshot, and what is left of it then in smaller ones down to 1.
     """
     total = sum(s * m for s, m in multiplicities.items())
     if target <= 0 or not total:
         return {}
     taken = {s: m * target // total for s, m in multiplicities.items()}
-    rest = target - sum(s * m for s, m in taken.items())
-    unit = max(1, -(-rest // STEPS))
-    goal, items = rest // unit, []
-    for s, m in sorted(multiplicities.items(), reverse=True):
-        spare, k = min(m - taken[s], 2 * rest // s), 1
-        while spare > 0:
-            k = min(k, spare)
-            items.append((s, k, max(1, round(s * k / unit))))
-            spare -= k
-            k *= 2
-    cap = (1 << (2 * goal + 2)) - 1
-    stages = [1]
-    for _, _, w in items:
-        stages.append((stages[-1] | stages[-1] << w) & cap)
-    sums = stages[-1]
-    below = (sums & ((1 << (goal + 1)) - 1)).bit_length() - 1
-    above = sums >> (goal + 1)
-    above = goal + 1 + (above & -above).bit_length() - 1 if above else None
-    at = above if above is not None and above - goal < goal - below else below
-    for i in range(len(items) - 1, -1, -1):
-        if not stages[i] >> at & 1:
-            s, k, w = items[i]
-            taken[s] += k
-            at -= w
-    return {s: m for s, m in taken.items() if m}
+    while True:
+        rest = target - sum(s * m for s, m in taken.items())
+        unit = max(1, -(-rest // STEPS))
+        whole, items = [], []
+        for s, m in sorted(multiplicities.items(), reverse=True):
+            spare, k = min(m - taken[s], (2 if unit == 1 else 1) * rest // s), 1
+            while spare > 0:
+                k = min(k, spare)
+                whole.append((s, k))
+                items.append((s, k) if unit == 1 else (-(-s * k // unit), 1))
+                spare -= k
+                k *= 2
+        used = nearest_subset(items, rest // unit, unit == 1)
+        for i in used:
+            taken[whole[i][0]] += whole[i][1]
+        if unit == 1 or not used:
+            return {s: m for s, m in taken.items() if m}
 
 
 def plan_splits(multiplicities: dict[int, int], shares: dict[str, float]) -> list[tuple[int, str, int, int]]:
@@ -103,3 +123,12 @@ def assign_splits(df: DataFrame, id_col: str, keys: list[Column], targets: DataF
     ranked = ranked.select("component", "n", (F.col("before") + F.col("r")).alias("rank"))
     chosen = ranked.join(F.broadcast(plan), "n").filter("rank >= low and rank < high").select("component", "split")
     return placed.join(chosen, "component").select("id", "component", "split")
+
+
+def leaking_keys(df: DataFrame, id_col: str, keys: list[Column], assigned: DataFrame) -> DataFrame:
+    """(`split`, `leaking`): per split of `assigned` (`id`, `split`) how many keys also occur in another split; none should."""
+    named = F.array(*(F.concat(F.lit(f"{i}:"), plain_key(k)) for i, k in enumerate(keys)))
+    rows = df.select(F.col(id_col).alias("id"), F.explode(named).alias("key")).filter("key is not null").join(assigned.select("id", "split"), "id")
+    per = rows.groupBy("key", "split").agg(F.lit(1).alias("n"))
+    apart = per.groupBy("key").agg(F.min("split").alias("x"), F.max("split").alias("y")).withColumn("leaks", F.col("x") != F.col("y"))
+    return per.join(apart, "key").groupBy("split").agg(F.count_if("leaks").alias("leaking"))

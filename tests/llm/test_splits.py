@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from sievewright.llm.components import component_pairs, components
+from sievewright.llm import splits
 from sievewright.llm.splits import assign_splits, choose, plan_splits
 
 TARGETS = [("train", 0.8), ("validation", 0.1), ("test", 0.1)]
@@ -52,6 +54,23 @@ def test_subset_sums_come_as_near_as_they_can(spark):
     assert sum(s * (b - a) for s, n, a, b in plan if n == "test") == 20
 
 
+def test_large_totals_are_met_in_little_memory(monkeypatch):
+    rng = random.Random(6)
+    sizes = {rng.randint(2, 900): rng.randint(1, 4) for _ in range(400)} | {1: 30}
+    target = sum(s * m for s, m in sizes.items()) // 3
+    monkeypatch.setattr(splits, "STEPS", 64)
+    got = choose(sizes, target)
+    assert sum(s * m for s, m in got.items()) == target and all(got[s] <= sizes[s] for s in got)
+    monkeypatch.undo()
+    tracemalloc.start()
+    sizes = {s: 3 for s in rng.sample(range(1, 20_000), 1000)}
+    target = sum(s * m for s, m in sizes.items()) // 10
+    got = choose(sizes, target)
+    assert sum(s * m for s, m in got.items()) == target
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_what_hangs_together_stays_together(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["G", " g", "g "]) if i % 3 == 0 else f"g{rng.randrange(150)}", f"f{rng.randrange(60)}" if rng.random() < 0.2 else None) for i in range(600)]
@@ -64,6 +83,8 @@ def test_what_hangs_together_stays_together(spark):
     for i, g, f in rows:
         for key in filter(None, [g and g.strip() and "g" + g.strip().lower(), f and "f" + f]):
             assert seen.setdefault(key, of[i]) == of[i]
+    leaks = splits.leaking_keys(df, "id", [F.col("g"), F.col("fam")], assign_splits(df, "id", [F.col("g"), F.col("fam")], spark.createDataFrame(TARGETS, "split string, share double")))
+    assert {r["leaking"] for r in leaks.collect()} == {0}
     n = sum(s == "test" for s in of.values())
     assert abs(n - 60) <= 2
 
