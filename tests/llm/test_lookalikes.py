@@ -1,5 +1,7 @@
+import unicodedata
+
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sievewright.llm import lookalikes as la
@@ -14,7 +16,37 @@ from sievewright.llm import lookalikes as la
     ],
 )
 def test_forms(text, plain, form):
-    assert la.is_plain(text) == plain and la.plain_form(text) == form and la.is_plain(la.plain_form(text))
+    assert (la.plain_form(text) == text) == plain and la.plain_form(text) == form and la.plain_form(form) == form
+
+
+def is_plain(text):
+    """The definition, character by character and word by word."""
+    if unicodedata.normalize("NFC", text) != text or any(la.simple(ch) != ch for ch in text):
+        return False
+    if any(unicodedata.category(ch) == "Mn" and text[i - 1 : i].isalpha() and la.alphabet(text[i - 1]) in ("LATIN", "CYRILLIC", "GREEK") for i, ch in enumerate(text)):
+        return False
+    return not any(la.mixed(w) for w in la.words(text))
+
+
+@settings(max_examples=400)
+@given(st.text(alphabet=st.sampled_from("aеοxйѕMЅКᎠⲞꓐ-‑ \u00a0\u200bＡﬁé\u0301\u0302ж1ω한क\u093cא\u05b7②㎏½"), max_size=10))
+def test_forms_decide_as_the_definition_does(text):
+    form = la.plain_form(text)
+    mixed_for_good = any(la.mixed(w) for w in la.words(form))  # letters of two alphabets that have no look-alikes
+    assert (form == text and not mixed_for_good) == is_plain(text)
+
+
+def test_prototypes_are_single_and_files_add_to_them(tmp_path):
+    assert all(len(b) == 1 and la.alphabet(a) != "" for a, b in la.LETTERS.items())
+    file = tmp_path / "table.txt"
+    file.write_text("\ufeff# a comment\n0531 ;\t0055 ;\tMA\t# letter\n0030 ;\t004F ;\tMA\n", encoding="utf-8")
+    assert la.read_table(str(file)) == {"\u0531": "U"}
+
+
+def test_groups_hold_what_looks_alike(spark):
+    df = spark.createDataFrame([(1, "Iron"), (2, "lron"), (3, "Irоn"), (4, "Iran"), (5, "modern"), (6, "modem")], "n long, t string")
+    groups = la.lookalike_groups(la.lookalike_forms(df, "n", ["t"])).collect()
+    assert sorted((r["first_id"], r["originals"]) for r in groups) == [(1, 3), (5, 2)]
 
 
 @given(st.text(alphabet=st.sampled_from("aеοxй-‑ \u00a0\u200bＡﬁé\u0301ж1"), max_size=12))
