@@ -18,15 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievewright.llm.fragments import within_classes
+from sievewright.llm.shingles import Batch, characters, expand, in_set, mix, picking, powers, readable, term_sketch
 from sievewright.sources.shared import materialize
 
 WINDOW, SPAN = 64, 160
 REACH = (SPAN + 1 - WINDOW) // 2
-#: Characters that are hashed at once.
-BLOCK = 400_000
+#: Characters that are hashed at once; their arrays fit a processor's cache.
+BLOCK = 65_536
 #: Chunks in more places than this are told apart by all spans around them instead of pair by pair.
 FEW = 64
-LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A second numbering of characters, for digests of 128 bits.
+OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def gear(codes: np.ndarray) -> np.ndarray:
@@ -85,12 +88,17 @@ def blocks(texts: list[str]) -> Iterator[tuple[list[int], list[int], str]]:
         yield ids, offs, parts
 
 
-def chunk_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks of each text: (index of the text, first cut, last cut, digest as pairs of int64)."""
-    import xxhash
+def rolled(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """Digests of codes[begins[i] : ends[i]], by differences of rolling sums; `other` is a second, independent one."""
+    numbers = characters()[1][codes]
+    up, down = powers(1 << max(len(codes) - 1, 1).bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum((mix(numbers ^ OTHER) if other else numbers) * up[: len(codes)])]
+    return mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
+
 
-    who, first, last, digests = [], [], [], []
-    seen: set[tuple[int, int]] = set()  # places in the overlap of two blocks
+def chunk_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of each text: (index of the text, first cut, last cut, digest)."""
+    made, long = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)], False
     for ids, offs, parts in blocks(texts):
         lens = np.array([len(p) for p in parts])
         ends = np.cumsum(lens)
@@ -98,35 +106,28 @@ def chunk_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
         at = cuts(codes, begins, ends)
         part = np.searchsorted(ends, at, "right")
-        for a, b, p, q in zip(at[:-1].tolist(), at[1:].tolist(), part[:-1].tolist(), part[1:].tolist()):
-            if p != q or b - a > REACH:
-                continue
-            base = a - int(begins[p])
-            if offs[p] or len(parts[p]) == BLOCK:
-                if (ids[p], offs[p] + base) in seen:
-                    continue
-                seen.add((ids[p], offs[p] + base))
-            piece = parts[p][base - WINDOW + 1 : base + b - a + 1]
-            who.append(ids[p])
-            first.append(offs[p] + base)
-            last.append(offs[p] + base + b - a)
-            digests.append(xxhash.xxh3_128_digest(piece.encode("utf-8", "surrogatepass")))
-    return np.array(who, np.int64), np.array(first, np.int32), np.array(last, np.int32), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """Every chunk of every text of `docs` (`id` long, `text`): (`k0`, `k1`, `id`, `a`, `b`)."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            who, first, last, d = chunk_rows(batch.column("text").to_pylist())
-            if len(who):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(ids[who], pa.int64()), pa.array(first), pa.array(last)], names=["k0", "k1", "id", "a", "b"]
-                )
-
-    return docs.mapInArrow(scan, "k0 long, k1 long, id long, a int, b int")
+        one = (part[:-1] == part[1:]) & (np.diff(at) <= REACH)
+        a, b, part = at[:-1][one], at[1:][one], part[:-1][one]
+        off = np.array(offs, np.int64)[part] - begins[part]
+        made.append((np.array(ids, np.int64)[part], a + off, b + off, rolled(codes, a - WINDOW + 1, b + 1)))
+        long = long or any(offs)
+    who, first, last, digest = map(np.concatenate, zip(*made))
+    if long:  # places in the overlap of two blocks
+        _, once = np.unique(np.stack([who, first]), axis=1, return_index=True)
+        who, first, last, digest = who[once], first[once], last[once], digest[once]
+    return who, first, last, digest
+
+
+def chunk_batch(batch: pa.RecordBatch) -> Batch | None:
+    """The distinct chunk digests of each text of a batch (`id`, `text`)."""
+    who, _, _, digest = chunk_rows(batch.column("text").to_pylist())
+    if not len(who):
+        return None
+    by = np.lexsort((digest, who))
+    who, digest = who[by], digest[by]
+    new = np.r_[True, (who[1:] != who[:-1]) | (digest[1:] != digest[:-1])]
+    none = np.zeros(0, np.int64)
+    return Batch(none, np.zeros(batch.num_rows, np.int64), none, none, who[new], digest[new], np.ones(int(new.sum())))
 
 
 def common(x: str, y: str) -> int:
@@ -146,18 +147,43 @@ def common(x: str, y: str) -> int:
 class SharedSpans:
     """What texts of `df` share: spans of at least SPAN characters (code points, as stored) that occur in two rows.
 
-    Null and shorter texts share nothing; rows that repeat an identifier are one text to each other. A span in any
-    number of rows is found: chunks in few places are compared pair by pair inside a group of at most FEW, others by
-    the digests of all spans of SPAN characters around them, which are grouped with partial aggregation.
+    Null and shorter texts share nothing; rows that repeat an identifier are one text to each other. Equal texts are one
+    class, searched once. A first reading marks in a set of bounded size which chunk digests may occur twice; a second
+    sends only those chunks, each with the characters around it that can matter. A span in any number of rows is found:
+    chunks in at most FEW places are compared pair by pair, others by the digests of all spans of SPAN characters around
+    them, which are grouped with partial aggregation.
     """
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str) -> None:
-        self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(f"id is not null and length(text) >= {SPAN}")
-        posts = materialize(chunks(self.docs), "chunks")
-        keys = posts.groupBy("k0", "k1").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("k0", "k1", "n")
-        shared = posts.join(keys, ["k0", "k1"])
-        places = shared.groupBy("id").agg(F.collect_list(F.struct("k0", "k1", "n", "a", "b")).alias("places"))
-        self.places = materialize(self.docs.join(places, "id"), "places")
+        self.docs = df.select(F.col(id_col).cast("long").alias("id"), readable(F.col(text_col)).alias("text")).filter(f"id is not null and length(text) >= {SPAN}")
+        keyed = materialize(self.docs.select("id", F.unhex(F.sha2("text", 256)).alias("key"), F.xxhash64("text").alias("hash"), F.length("text").alias("n_chars")), "texts")
+        self.sizes = keyed
+        classes = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").select("key", "rep")
+        members = materialize(keyed.join(classes, "key").filter("id > rep").select("rep", "id", "hash").distinct(), "members")
+        self.members = members.select("rep", "id")
+        repeats = members.select("id", "hash").distinct()
+        firsts = self.docs.withColumn("hash", F.xxhash64("text")).join(picking(repeats), ["id", "hash"], "left_anti").select("id", "text")
+        held = df.sparkSession.sparkContext.broadcast(term_sketch(firsts, 1, read=chunk_batch, wide=2).seen[0])
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            twice = held.value
+            for batch in batches:
+                ids, texts = batch.column("id").to_numpy(), batch.column("text").to_pylist()
+                who, first, last, digest = chunk_rows(texts)
+                at = np.flatnonzero(in_set(twice, digest))
+                for some in np.array_split(at, max(1, len(at) // 50_000)):
+                    begin = first[some] - WINDOW + 1
+                    need = SPAN - (last[some] + 1 - begin)
+                    start = np.maximum(begin - need, 0)
+                    around = [texts[w][s:e] for w, s, e in zip(who[some].tolist(), start.tolist(), (last[some] + 1 + need).tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(digest[some].view(np.int64)), pa.array(ids[who[some]], pa.int64()), *(pa.array(x.astype(np.int32)) for x in (start, begin - start, last[some] + 1 - start)), pa.array(around, pa.string())],
+                        names=["k", "id", "start", "begin", "end", "around"],
+                    )
+
+        self.posts = materialize(firsts.mapInArrow(send, "k long, id long, start int, begin int, end int, around string"), "chunks")
+        keys = self.posts.groupBy("k").agg(F.count(F.lit(1)).alias("places"), F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y")
+        self.keys = materialize(keys.select("k", "places"), "keys")
         self._few: DataFrame | None = None
         self._many: DataFrame | None = None
 
@@ -166,51 +192,32 @@ class SharedSpans:
         if self._few is not None:
             return self._few
 
-        def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for i, text, places in zip(pdf["id"], pdf["text"], pdf["places"]):
-                    for p in places:
-                        if p["n"] <= FEW:
-                            need = SPAN - (p["b"] - p["a"] + WINDOW)
-                            s = p["a"] - WINDOW + 1
-                            out.append((p["k0"], p["k1"], i, s, p["b"] + 1, text[max(0, s - need) : s][::-1], text[p["b"] + 1 : p["b"] + 1 + need]))
-                yield pd.DataFrame(out, columns=["k0", "k1", "id", "s", "e", "before", "after"])
-
-        def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            group: list = []
-            key = None
-
-            def compared(rows: list) -> Iterator[tuple]:
-                found: dict[int, list] = {}
-                for i in range(len(rows)):
-                    for j in range(i):
-                        x, y = rows[i], rows[j]
-                        if x[2] == y[2]:
-                            continue
-                        left, right = common(x[5], y[5]), common(x[6], y[6])
-                        if left + right + x[4] - x[3] >= SPAN:
-                            for k, other in ((i, y[2]), (j, x[2])):
-                                f = found.setdefault(k, [0, 0, set()])
-                                f[0], f[1] = max(f[0], left), max(f[1], right)
-                                f[2].add(other)
-                for k, (left, right, others) in found.items():
-                    yield rows[k][2], rows[k][3] - left, rows[k][4] + right, [o for o in others if o > rows[k][2]]
-
-            for pdf in batches:
-                out = []
-                for row in pdf.itertuples(index=False, name=None):
-                    if row[:2] != key:
-                        out += compared(group)
-                        group, key = [], row[:2]
-                    group.append(row)
-                yield pd.DataFrame(out, columns=["id", "begin", "end", "others"])
-            yield pd.DataFrame(list(compared(group)), columns=["id", "begin", "end", "others"])
-
-        held = self.places.filter(F.exists("places", lambda p: p["n"] <= FEW))
-        rows = held.mapInPandas(around, "k0 long, k1 long, id long, s int, e int, before string, after string")
-        sorted_rows = rows.repartition("k0", "k1").sortWithinPartitions("k0", "k1")
-        self._few = materialize(sorted_rows.mapInPandas(meet, "id long, begin int, end int, others array<long>"), "few")
+        def compared(group: list) -> Iterator[tuple]:
+            rows = [(p["id"], p["start"] + p["begin"], p["start"] + p["end"], p["around"][: p["begin"]][::-1], p["around"][p["begin"] : p["end"]], p["around"][p["end"] :]) for p in group]
+            found: dict[int, list] = {}
+            for i, x in enumerate(rows):
+                for j, y in enumerate(rows[:i]):
+                    if x[0] == y[0] or x[4] != y[4]:
+                        continue
+                    left, right = common(x[3], y[3]), common(x[5], y[5])
+                    if left + right + len(x[4]) >= SPAN:
+                        for k, other in ((i, y[0]), (j, x[0])):
+                            f = found.setdefault(k, [0, 0, set()])
+                            f[0], f[1] = max(f[0], left), max(f[1], right)
+                            f[2].add(other)
+            for k, (left, right, others) in found.items():
+                yield rows[k][0], rows[k][1] - left, rows[k][2] + right, [o for o in others if o > rows[k][0]]
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = [r for group in batch.column("group").to_pylist() for r in compared(group)]
+                columns = list(zip(*out)) if out else [[]] * 4
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "begin", "end", "others"])
+
+        near = self.posts.join(self.keys.filter(F.col("places") <= FEW).select("k"), "k")
+        groups = near.groupBy("k").agg(F.collect_list(F.struct("id", "start", "begin", "end", "around")).alias("group")).select("group")  # at most FEW each
+        self._few = materialize(groups.mapInArrow(meet, "id long, begin int, end int, others array<long>"), "few")
         return self._few
 
     def many(self) -> DataFrame:
@@ -221,30 +228,32 @@ class SharedSpans:
         if self._many is not None:
             return self._many
 
-        def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import xxhash
-
-            for pdf in batches:
-                out = []
-                for i, text, places in zip(pdf["id"], pdf["text"], pdf["places"]):
-                    begins: set[int] = set()
-                    for p in places:
-                        if p["n"] > FEW:
-                            begins.update(range(max(0, p["b"] + 1 - SPAN), min(p["a"] - WINDOW + 1, len(text) - SPAN) + 1))
-                    for s in begins:
-                        d = xxhash.xxh3_128_intdigest(text[s : s + SPAN].encode("utf-8", "surrogatepass"))
-                        out.append(((d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), i, s, text[s - 1] if s - 1 in begins else ""))
-                    if len(out) > 200_000:
-                        yield pd.DataFrame(out, columns=["d0", "d1", "id", "begin", "mark"])
-                        out = []
-                yield pd.DataFrame(out, columns=["d0", "d1", "id", "begin", "mark"])
-
-        held = self.places.filter(F.exists("places", lambda p: p["n"] > FEW))
-        self._many = materialize(held.mapInPandas(spans, "d0 long, d1 long, id long, begin int, mark string"), "many")
+        def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    part = batch.slice(at, 1000)
+                    around = part.column("around").to_pylist()
+                    lens = np.array([len(t) for t in around])
+                    count = np.maximum(lens - SPAN + 1, 0)
+                    if not count.sum():
+                        continue
+                    joined = "".join(around)
+                    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    row = np.repeat(np.arange(len(lens)), count)
+                    inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                    begin = (np.cumsum(lens) - lens)[row] + inside
+                    mark = [joined[b - 1] if i else "" for b, i in zip(begin.tolist(), inside.tolist())]
+                    digests = (rolled(codes, begin, begin + SPAN, other).view(np.int64) for other in (False, True))
+                    ids, start = part.column("id").to_numpy()[row], part.column("start").to_numpy()[row]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, digests), pa.array(ids, pa.int64()), pa.array((start + inside).astype(np.int32)), pa.array(mark, pa.string())], names=["d0", "d1", "id", "begin", "mark"])
+
+        held = self.posts.join(self.keys.filter(F.col("places") > FEW).select("k"), "k").select("id", "start", "around")
+        found = held.mapInArrow(spans, "d0 long, d1 long, id long, begin int, mark string")
+        self._many = materialize(found.groupBy("d0", "d1", "id", "begin").agg(F.max("mark").alias("mark")), "many")
         return self._many
 
-    def pairs(self) -> DataFrame:
-        """Pairs (`a` < `b`) of rows that share a span."""
+    def class_pairs(self) -> DataFrame:
+        """Pairs (`a` < `b`) of rows, the first of their classes, that share a span."""
         near = self.few().select(F.col("id").alias("a"), F.explode("others").alias("b"))
         # Two rows meet first at a span before which their characters differ, or where the spans kept begin.
         spans = self.many().select("d0", "d1", "id", "mark").distinct()
@@ -255,13 +264,23 @@ class SharedSpans:
         far = x.join(y, ["d0", "d1"]).filter("a < b and (mark_a <> mark_b or mark_a = '')").select("a", "b")
         return near.unionByName(far).distinct()
 
+    def pairs(self) -> DataFrame:
+        """Pairs (`a` < `b`) of all rows that share a span."""
+        every = expand(self.class_pairs(), self.members).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return every.unionByName(within_classes(self.members)).distinct()
+
     def report(self) -> DataFrame:
-        """Per row that shares a span: (`id`, `n_chars`, `shared_chars`, `share`), no pair being formed for frequent spans."""
+        """Per row that shares a span: (`id`, `n_chars`, `shared_chars`, `share`), no pair being formed for frequent spans.
+
+        A row whose text another row has too is shared as a whole.
+        """
         repeated = self.many().groupBy("d0", "d1").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y").select("d0", "d1")
         far = self.many().join(repeated, ["d0", "d1"]).select("id", "begin", (F.col("begin") + SPAN).alias("end"))
         parts = self.few().select("id", "begin", "end").unionByName(far)
         before = Window.partitionBy("id").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
         fresh = F.greatest(F.col("end") - F.greatest("begin", F.coalesce(F.max("end").over(before), F.lit(0))), F.lit(0))
-        covered = parts.withColumn("fresh", fresh).groupBy("id").agg(F.sum("fresh").alias("shared_chars"))
-        size = self.places.select("id", F.length("text").cast("long").alias("n_chars")).groupBy("id").agg(F.max("n_chars").alias("n_chars"))
-        return covered.join(size, "id").select("id", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("share"))
+        covered = parts.withColumn("fresh", fresh).groupBy("id").agg(F.sum("fresh").alias("covered"))
+        whole = self.members.select("id").unionByName(self.members.select(F.col("rep").alias("id"))).distinct().withColumn("whole", F.lit(True))
+        size = self.sizes.groupBy("id").agg(F.max("n_chars").cast("long").alias("n_chars"))
+        every = size.join(covered, "id", "left").join(whole, "id", "left").withColumn("shared_chars", F.when(F.col("whole"), F.col("n_chars")).otherwise(F.col("covered")))
+        return every.filter("shared_chars is not null").select("id", "n_chars", "shared_chars", F.round(F.col("shared_chars") / F.col("n_chars"), 6).alias("share"))

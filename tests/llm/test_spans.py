@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sievewright.llm import spans
+from sievewright.llm import shingles, spans
 from sievewright.llm.spans import SPAN, SharedSpans
 
 
@@ -65,7 +65,7 @@ def test_long_texts_are_cut_alike_in_blocks(monkeypatch):
     whole = [a.tolist() for a in spans.chunk_rows(t)]
     monkeypatch.setattr(spans, "BLOCK", 5_000)
     parts = [a.tolist() for a in spans.chunk_rows(t)]
-    key = lambda x: sorted(zip(x[1], x[2], map(tuple, x[3])))
+    key = lambda x: sorted(zip(x[1], x[2], x[3]))
     assert key(whole) == key(parts)
 
 
@@ -74,4 +74,18 @@ def test_empty_table_repeats_and_clashing_columns(spark):
     assert SharedSpans(spark.createDataFrame([], schema), "id", "text").pairs().count() == 0
     t = "".join(random.Random(1).choices("abcdefgh", k=400))
     df = spark.createDataFrame([(1, t, "a", 1, "x"), (1, t, "a", 1, "x"), (None, t, "a", 1, "x"), (2, "z" + t, "b", 2, "y")], schema)
-    assert [tuple(r) for r in SharedSpans(df, "id", "text").pairs().collect()] == [(1, 2)]
+    found = SharedSpans(df, "id", "text")
+    assert [tuple(r) for r in found.pairs().collect()] == [(1, 2)]
+    assert {r["id"]: r["shared_chars"] for r in found.report().collect()} == {1: 400, 2: 400}
+
+
+def test_a_third_of_the_texts_may_be_copies(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "PICKED", 3)
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    one = text(500)
+    rows = [(i, one) for i in range(30)] + [(100 + i, text(300)) for i in range(30)] + [(200, text(50) + one[100:300]), (200, text(400))]
+    found = SharedSpans(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {tuple(r) for r in found.pairs().collect()} == {(a, b) for a in range(30) for b in [*range(a + 1, 30), 200]}
+    cover = {r["id"]: r["shared_chars"] for r in found.report().collect()}
+    assert cover == {**dict.fromkeys(range(30), 500), 200: 200}
