@@ -5,36 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm.shingles import candidate_pairs, classes, expand, of_pairs, prefixes, readable, term_arrays, term_sketch
+from sievewright.llm.shingles import Batch, Reader, candidate_pairs, classes, expand, of_pairs, prefixes, readable, term_arrays, term_sketch
 from sievewright.sources.shared import forget, materialize
 
 
-def cosine_join(rows: DataFrame, terms: Column | None, threshold: float, weights: Column | None = None, words: int = 5, share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def cosine_join(
+    rows: DataFrame, terms: Column | None, threshold: float, weights: Column | None = None, words: int = 5, share: float = 0.0, corpus: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Pairs of one row of side 0 and one of side 1 whose term vectors have a cosine of at least `threshold`.
 
     `rows`: `id` long, `side` 0 or 1, and what `terms` (array of distinct longs) and `weights` (of the same length; all
-    one if not given) are computed from; without `terms`, the terms are the runs of `words` words of the column `text`.
-    Inverted lists hold only terms before the tail of each vector that neither by its residual norm nor by the other
-    side's maximum weights can reach the threshold (nor `share` of its terms, if pairs need that too); products are then
-    exact. Returns the pairs of class representatives (`a`, `b`, `common`, `n_a`, `n_b`, `cosine`) and the further members
-    of their classes (`rep`, `id`). Null or empty vectors, and weights that are null or not positive, are like nothing.
-    An empty side gives no pairs. Identifiers are taken to be of one row each.
+    one if not given) are computed from; without `terms`, the terms are the runs of `words` words of the column `text`, and
+    with `corpus` their weights come from how many rows have them. Inverted lists hold only terms before the tail of each
+    vector that neither by its residual norm nor by the other side's maximum weights can reach the threshold (nor `share`
+    of its terms, if pairs need that too); products are then exact. Returns the pairs of class representatives (`a`, `b`,
+    `common`, `n_a`, `n_b`, `cosine`) and the further members of their classes (`rep`, `id`). Null or empty vectors, and
+    weights that are null or not positive, are like nothing. An empty side gives no pairs. Identifiers are taken to be of
+    one row each.
     """
-    unit = weights is None
+    unit = weights is None and not corpus
 
     def vectors(of: DataFrame) -> DataFrame:
         of = of.filter("id is not null and side is not null")
         if terms is None:
             return of.select("id", "side", "text").filter("text <> ''")
-        return of.select("id", "side", terms.alias("terms"), *([] if unit else [weights.alias("weights")])).filter("size(terms) > 0")
-
-    kept = prefixes(vectors(rows), term_sketch(vectors(rows), 2, words), threshold, 2, words, share, unit)
-    reps, members = classes(kept) if unit else (kept, kept.select(F.col("id").alias("rep"), "id").limit(0))  # equal sets may differ in weight
+        return of.select("id", "side", terms.alias("terms"), *([] if weights is None else [weights.alias("weights")])).filter("size(terms) > 0")
+
+    every = vectors(rows)
+    read: Reader = lambda batch: Batch.of(batch, words)
+    if corpus:
+        counted, n = rows.sparkSession.sparkContext.broadcast(term_sketch(every, 1, words)), every.count()
+        read = lambda batch: b.weighed(counted.value, n) if (b := Batch.of(batch, words)) else None
+    kept = prefixes(every, term_sketch(every, 2, read=read), threshold, 2, words, share, unit, read)
+    alike = weights is None  # equal sets of terms have equal weights
+    reps, members = classes(kept) if alike else (kept, kept.select(F.col("id").alias("rep"), "id").limit(0))
     pairs = candidate_pairs(reps, threshold, 2, unit)
-    if unit:
+    if alike:
         forget(kept)
     again = vectors(of_pairs(rows, pairs))
-    again = materialize(term_arrays(again, words) if terms is None else again, "terms")
+    again = materialize(term_arrays(again, read) if terms is None else again, "terms")
     x = again.filter("side = 0").select(F.col("id").alias("a"), F.col("terms").alias("t_a"), *([] if unit else [F.col("weights").alias("w_a")]))
     y = again.filter("side = 1").select(F.col("id").alias("b"), F.col("terms").alias("t_b"), *([] if unit else [F.col("weights").alias("w_b")]))
     both = pairs.join(x, "a").join(y, "b").withColumn("both", F.array_intersect("t_a", "t_b"))
@@ -50,6 +59,17 @@ def cosine_join(rows: DataFrame, terms: Column | None, threshold: float, weights
     return found.filter(F.col("cosine") >= threshold - 1e-6), members
 
 
+def weighted_classes(df: DataFrame, id_col: str, side: Column, text: Column, cosine: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Pairs (`a` of side 0, `b` of side 1) of classes of rows whose shingles, weighted by rarity, have a cosine of at least `cosine`.
+
+    A shingle weighs ln(1 + rows / rows that have it), the latter as a count-min sketch of the corpus has them: exact while
+    its cells are many, never too few. Also returns the further members of the classes (`rep`, `id`).
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), side.cast("int").alias("side"), readable(text).alias("text"))
+    pairs, members = cosine_join(rows, None, cosine, words=words, corpus=True)
+    return materialize(pairs.select("a", "b"), "close"), members
+
+
 def like_classes(df: DataFrame, id_col: str, side: Column, text: Column, likeness: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
     """Pairs (`a` of side 0, `b` of side 1) of classes of rows with equal shingle sets that have a Jaccard likeness of at least `likeness`.
 

@@ -56,20 +56,37 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return every.select(F.least("a", "b").alias("row_a"), F.greatest("a", "b").alias("row_b")).distinct()
 
 
+def _overlap_counts(held: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """Per split, origin and kind: held-out rows with links, their links, and all rows of the split and origin."""
+    hit = None
+    for kind, links in kinds.items():
+        part = links.select("id", "links", F.lit(kind).alias("kind"))
+        hit = part if hit is None else hit.unionByName(part)
+    total = held.groupBy("split", "origin").agg(F.count(F.lit(1)).alias("rows"))
+    per = held.join(hit, "id").groupBy("split", "origin", "kind").agg(F.count(F.lit(1)).alias("overlapping_rows"), F.sum("links").alias("links"))
+    return per.join(total.withColumnsRenamed({"split": "s", "origin": "o"}), (F.col("split") == F.col("s")) & F.col("origin").eqNullSafe(F.col("o"))).drop("s", "o")
+
+
+def _held_out(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "examples").filter("split in ('validation', 'test')").select(F.col("row_id").alias("id"), "split", "origin")
+
+
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Held-out rows per split and origin that recur in train, by kind of overlap; links are counted by class and by key."""
     rows, side = table(spark, d, "examples"), _example_side()
-    held = rows.filter("split in ('validation', 'test')").select(F.col("row_id").alias("id"), "split", "origin")
     kinds = {
         "description": overlap.like_counts(*overlap.like_classes(rows, "row_id", side, F.col("description"), likeness=0.6, words=3)),
         "example_id": overlap.key_counts(rows, "row_id", side, F.col("example_id")),
         "source_group_id": overlap.key_counts(rows, "row_id", side, _group_key()),
     }
-    hits = [links.select("id", "links", F.lit(kind).alias("kind")) for kind, links in kinds.items()]
-    hit = hits[0].unionByName(hits[1]).unionByName(hits[2])
-    total = held.groupBy("split", "origin").agg(F.count(F.lit(1)).alias("rows"))
-    per = held.join(hit, "id").groupBy("split", "origin", "kind").agg(F.count(F.lit(1)).alias("overlapping_rows"), F.sum("links").alias("links"))
-    return per.join(total.withColumnsRenamed({"split": "s", "origin": "o"}), (F.col("split") == F.col("s")) & F.col("origin").eqNullSafe(F.col("o"))).drop("s", "o")
+    return _overlap_counts(_held_out(spark, d), kinds)
+
+
+def p2_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """As p2_report, for descriptions alone, by the cosine of runs of five words weighted by their rarity in the corpus."""
+    rows, side = table(spark, d, "examples"), _example_side()
+    links = overlap.like_counts(*overlap.weighted_classes(rows, "row_id", side, F.col("description")))
+    return _overlap_counts(_held_out(spark, d), {"weighted description": links})
 
 
 def _eligible(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +216,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_copies, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_forms, p5_groups,
+        p1_found, p1_copies, p2_found, p2_report, p2_weighted, p3_found, p3_groups, p4_found, p4_report, p5_found, p5_forms, p5_groups,
         p6_found, p6_splits, p6_shares, p7_packed, p7_report, p8_mix, p8_shares, p9_found, p9_report,
     )
 }

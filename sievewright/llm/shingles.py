@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -150,6 +150,16 @@ class Batch:
         return cls(batch.column("id").to_numpy()[full], batch.column("side").to_numpy()[full], lens, starts, row, u, w / np.maximum(norm, 1e-300)[row])
 
 
+    def weighed(self, sketch: "TermSketch", rows: int) -> "Batch":
+        """With weights from the corpus: ln(1 + rows / places) of each term, places as the sketch counts them."""
+        w = np.log1p(rows / np.maximum(sketch.estimate(self.u), 1))
+        norm = np.sqrt(np.add.reduceat(w * w, self.starts))
+        return replace(self, x=w / norm[self.row])
+
+
+Reader = Callable[[pa.RecordBatch], Batch | None]
+
+
 @dataclass
 class TermSketch:
     """`counts`: two rows of term counts; `heaviest`: per side the largest weight in a cell; `seen`: per side a bit set."""
@@ -252,7 +262,7 @@ def _merge(blobs: Iterator[bytes], size: tuple[int, int], sides: int, doubled: b
     return _pack(total)
 
 
-def term_sketch(vectors: DataFrame, sides: int, words: int = 5, read: Callable[[pa.RecordBatch], Batch | None] | None = None, wide: int = 1) -> TermSketch:
+def term_sketch(vectors: DataFrame, sides: int, words: int = 5, read: Reader | None = None, wide: int = 1) -> TermSketch:
     """Count the terms of all `vectors` (`id`, `side` 0 or 1, and `text`, or `terms` and perhaps `weights`; or what `read` takes).
 
     With two sides `seen` has one set per side, with one side the terms that occur in more than one place. Each task
@@ -362,7 +372,7 @@ class Ordered:
 VECTOR = "id long, side int, n int, m int, pterms array<long>, pres array<float>, spread array<int>, b0 long, b1 long, f0 long, f1 long"
 
 
-def prefixes(vectors: DataFrame, sketch: TermSketch, threshold: float, sides: int, words: int = 5, share: float = 0.0, unit: bool = True) -> DataFrame:
+def prefixes(vectors: DataFrame, sketch: TermSketch, threshold: float, sides: int, words: int = 5, share: float = 0.0, unit: bool = True, read: Reader | None = None) -> DataFrame:
     """The vectors that can reach the cosine `threshold` with another, each with the terms to meet it by.
 
     `pterms` are the terms before the tail (see `Ordered`), of `n` in all and `m` that others have; `pres` the norm from
@@ -370,11 +380,12 @@ def prefixes(vectors: DataFrame, sketch: TermSketch, threshold: float, sides: in
     the terms, `f0`, `f1` a digest of the set.
     """
     held = vectors.sparkSession.sparkContext.broadcast(sketch)
+    read = read or (lambda batch: Batch.of(batch, words))
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sk = held.value
         for batch in batches:
-            if (b := Batch.of(batch, words)) is None or (o := Ordered.of(b, sk, threshold, sides, share)) is None:
+            if (b := read(batch)) is None or (o := Ordered.of(b, sk, threshold, sides, share)) is None:
                 continue
             h = o.u * np.uint64(STEP)
             bit = h >> np.uint64(57)
@@ -471,16 +482,17 @@ def of_pairs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(picking(wanted), "id", "left_semi")
 
 
-def term_arrays(rows: DataFrame, words: int = 5) -> DataFrame:
-    """(`id`, `side`, `terms`) of the rows (`id`, `side`, `text`) that have terms."""
+def term_arrays(rows: DataFrame, read: Reader) -> DataFrame:
+    """(`id`, `side`, `terms`, `weights`) of the rows (`id`, `side`, `text`) that have terms; the weights make a vector of length 1."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if (b := Batch.of(batch, words)) is not None:
-                terms = pa.ListArray.from_arrays(pa.array(np.r_[b.starts, len(b.u)].astype(np.int32)), pa.array(b.u.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.side, pa.int32()), terms], names=["id", "side", "terms"])
+            if (b := read(batch)) is not None:
+                at = pa.array(np.r_[b.starts, len(b.u)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (b.u.view(np.int64), b.x)]
+                yield pa.RecordBatch.from_arrays([pa.array(b.ids, pa.int64()), pa.array(b.side, pa.int32()), *lists], names=["id", "side", "terms", "weights"])
 
-    return rows.select("id", "side", "text").mapInArrow(shingle, "id long, side int, terms array<long>")
+    return rows.select("id", "side", "text").mapInArrow(shingle, "id long, side int, terms array<long>, weights array<double>")
 
 
 def readable(text: Column) -> Column:

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -79,6 +81,21 @@ def test_weighted_cosine_is_exact(spark):
     assert want and got == want
 
 
+def test_weights_of_the_corpus_equal_brute_force(spark):
+    rows = corpus(11)
+    df = spark.createDataFrame([(i, t, i % 2) for i, t in rows], "row_id long, description string, s int")
+    pairs, members = overlap.weighted_classes(df, "row_id", F.col("s"), F.col("description"), 0.7, 3)
+    got = {tuple(r) for r in expand(pairs, members).collect()}
+    s = sets(rows, 3)
+    n = sum(bool(t) for _, t in rows)
+    places = Counter(t for x in s.values() for t in x)
+    weight = {t: math.log1p(n / k) for t, k in places.items()}
+    norm = {i: math.sqrt(sum(weight[t] ** 2 for t in x)) for i, x in s.items()}
+    cosine = lambda a, b: sum(weight[t] ** 2 for t in s[a] & s[b]) / (norm[a] * norm[b]) if s[a] and s[b] else 0
+    want = {(a, b) for a in s for b in s if a % 2 == 0 and b % 2 == 1 and cosine(a, b) >= 0.7 - 1e-6}
+    assert want and got == want
+
+
 def test_a_third_of_the_rows_may_be_copies(spark):
     rows = [(i, "the same text of several words in every copy") for i in range(40)] + [(100 + i, f"text {i} alone w{i} x{i} y{i} z{i}") for i in range(40)]
     got = self_pairs(spark, rows, 0.8, 5)
