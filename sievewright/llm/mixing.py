@@ -72,7 +72,7 @@ def balance(items: DataFrame, targets: DataFrame, tolerance: float = 1e-6, most_
     items get nothing and the others keep their proportions. Items without tokens or source, and sources that a mix
     does not name, are not used. Returns (`mix_id`, `source`, `id`, `tokens`, `copies`) of items used, and per mix and
     named source its target share, documents, copies, most copies of one, tokens and share of all tokens. The driver
-    sees one row per target.
+    sees one row per target. An error if the dual is not solved to `tolerance` within `most_steps`.
     """
     key = F.lower(F.trim("source"))
     spark = items.sparkSession
@@ -104,6 +104,8 @@ def balance(items: DataFrame, targets: DataFrame, tolerance: float = 1e-6, most_
         mass = F.col("n") * F.col("tokens") * F.col("w")
         for r in terms.groupBy("mix_id", "source").agg(F.sum(mass).alias("value"), F.sum(F.when(F.col("w") < F.col("cap"), mass * x).otherwise(0.0)).alias("slope")).collect():
             duals[r["mix_id"], r["source"]].step(r["value"], r["slope"], tolerance)
+    if open_ := sorted(str(k) for k, d in duals.items() if not d.done):
+        raise ArithmeticError(f"no solution within {most_steps} steps for {', '.join(open_)}")
     rated = norm.join(F.broadcast(multipliers(False)), "source").withColumn("rate", rate)
     place = F.pmod(F.xxhash64("id", "tokens"), F.ceil(F.col("docs") / BUCKET))
     rated = rated.select("mix_id", "source", "id", "tokens", "rate", place.alias("bucket"))
