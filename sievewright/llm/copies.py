@@ -31,15 +31,16 @@ def canonical_key(fields: list[Column], kept: str = KEPT) -> Column:
     return F.unhex(F.sha2(F.concat_ws(FIELD_END, *(canonical_text(c, kept) for c in fields)), 256))
 
 
-def copy_groups(keyed: DataFrame, hot_share: float = 1 / 256, salts: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
+def copy_groups(keyed: DataFrame, hot_share: float = 1 / 256, salts: int = 32, hot_rows_at_most: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Representatives of the rows of `keyed` (`id` long, `key` binary), as (all, hot keys, hot rows' representatives).
 
-    A key is hot if it holds more than `hot_share` of the rows, so there are fewer than 1 / `hot_share` hot
-    keys: that bounds what is broadcast. Result rows: `key`, `first_id`, `copies`. An empty table gives no rows.
+    A key is hot if it holds more than `hot_share` of the rows, or more than `hot_rows_at_most`. So there are fewer than
+    1 / `hot_share` hot keys and one for each million rows, of 32 bytes each: that bounds what is broadcast. Result rows:
+    `key`, `first_id`, `copies`. An empty table gives no rows.
     """
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = keyed.count()
-    hot = materialize(counted.filter(F.col("n") > F.lit(total * hot_share)).select("key"), "hot")
+    hot = materialize(counted.filter(F.col("n") > F.lit(min(total * hot_share, hot_rows_at_most))).select("key"), "hot")
     hot_rows = keyed.join(F.broadcast(hot), "key", "left_semi")
     rest = keyed.join(F.broadcast(hot), "key", "left_anti")
     first = [F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies")]
