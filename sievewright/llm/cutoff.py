@@ -147,11 +147,11 @@ def examine(raw: str | None, name: str) -> tuple[str, list[str], set[str], int,
 
 
 def cut_outputs(df: DataFrame, id_col: str, raw_col: str, source_col: str, flag_col: str | None = None, text_name: str = "oracle_text", usual: float = 0.5) -> DataFrame:
-    """Each row of `df` with `is_cut`, the reason, its source and flag: (`id`, `source`, `flag`, `is_cut`, `reason`).
+    """Each row of `df` with `is_cut`, the reason, its source and flag: (`id`, `source`, `flag`, `is_blank`, `reason`, `is_cut`, `ends_untold`).
 
     Null, empty and blank texts are no case. A last line without terminator is whole if each of its parts is known as
     a keyword from any row. Where more than `usual` of a source's complete lines are sentences that
-    lack a terminator, a missing one says nothing about that source. Rows that repeat an id are judged together:
+    lack a terminator, a missing one says nothing about that source (`ends_untold`). Rows that repeat an id are judged together:
     one is cut if any is.
     """
 
@@ -183,11 +183,12 @@ def cut_outputs(df: DataFrame, id_col: str, raw_col: str, source_col: str, flag_
     judged = scanned.join(unknown, "id", "left").join(baseline, F.col("source").eqNullSafe(F.col("s2")), "left")
     lacking = F.col("missing").isNotNull() & ~(F.coalesce(F.col("loose_share"), F.lit(0.0)) > usual)
     reason = F.when(F.col("state").isin("none", "whole"), None).when(F.col("state") != "look", F.col("state")).when(lacking, F.lit("sentence"))
-    return judged.select("id", "source", "flag", (F.col("state") == "none").alias("is_blank"), reason.alias("reason"), reason.isNotNull().alias("is_cut"))
+    silent = F.coalesce(F.col("loose_share"), F.lit(0.0)) > usual
+    return judged.select("id", "source", "flag", (F.col("state") == "none").alias("is_blank"), reason.alias("reason"), reason.isNotNull().alias("is_cut"), silent.alias("ends_untold"))
 
 
 def cut_report(judged: DataFrame) -> DataFrame:
-    """Per source: outputs, cut ones, their share, and how the flag agrees. Blank outputs are counted apart."""
+    """Per source: outputs, cut ones, their share, how the flag agrees, and whether missing terminators told nothing. Blank outputs are counted apart."""
     told = F.coalesce(F.col("flag"), F.lit(False))
     return judged.groupBy("source").agg(
         F.count(F.lit(1)).alias("outputs"),
@@ -196,4 +197,5 @@ def cut_report(judged: DataFrame) -> DataFrame:
         F.round(F.try_divide(F.count_if("is_cut"), F.count_if(~F.col("is_blank"))), 6).alias("cut_share"),
         F.count_if(F.col("is_cut") & ~told).alias("cut_not_flagged"),
         F.count_if(~F.col("is_cut") & told).alias("flagged_not_cut"),
+        F.bool_or("ends_untold").alias("ends_untold"),
     )
