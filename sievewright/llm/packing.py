@@ -18,13 +18,13 @@ from sievewright.sources.shared import materialize
 SHARD_CONTAINERS = 1024
 
 
-def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> np.ndarray:
+def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048, opened_share: float = 0.5) -> np.ndarray:
     """The container of each of the `lengths`, which must be in descending order and at most `capacity`.
 
-    Half as many containers as the total needs are open at first; an item without room opens another. More from the
-    start would spread long items over all of them and leave gaps that no short item is left to fill.
+    `opened_share` of the containers that the total needs are open at first; an item without room opens another. More from
+    the start even out the costs, but spread long items over all of them and leave gaps that no short item is left to fill.
     """
-    opened = max(1, int(lengths.sum()) // (2 * capacity))
+    opened = max(1, int(int(lengths.sum()) * opened_share / capacity))
     room, cost = np.full(opened, capacity, np.int64), np.zeros(opened)
     out = np.empty(len(lengths), np.int64)
     price = linear * lengths + quadratic * lengths.astype(np.float64) ** 2
@@ -39,7 +39,7 @@ def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: flo
     return out
 
 
-def pack_items(items: DataFrame, plans: DataFrame, linear: float = 1.0, quadratic: float = 1 / 2048) -> DataFrame:
+def pack_items(items: DataFrame, plans: DataFrame, linear: float = 1.0, quadratic: float = 1 / 2048, opened_share: float = 0.5) -> DataFrame:
     """Place every item of each plan: (`plan_id`, `container`, `id`, `piece`, `first_token`, `tokens`).
 
     `items`: `id`, `source`, `tokens`; `plans`: `plan_id`, `capacity_tokens`, `source` (null: all items, else those
@@ -67,7 +67,7 @@ def pack_items(items: DataFrame, plans: DataFrame, linear: float = 1.0, quadrati
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "id", "piece"], ascending=[False, True, True], kind="stable")
-        made = pack(pdf["n"].to_numpy(), int(pdf["capacity"].iloc[0]), linear, quadratic)
+        made = pack(pdf["n"].to_numpy(), int(pdf["capacity"].iloc[0]), linear, quadratic, opened_share)
         pdf["container"] = [f"s-{s}-{k}" for s, k in zip(pdf["shard"], made)]
         return pdf[["plan_id", "container", "id", "piece", "first_token", "n"]].rename(columns={"n": "tokens"})
 
