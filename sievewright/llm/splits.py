@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from sievewright.llm.components import components
 from sievewright.sources.shared import materialize
 
+#: A key of more than this share of the rows is joined by a broadcast; there are fewer than one by it.
+HOT_SHARE = 1 / 256
 #: Steps in which the bitset tells totals apart; larger totals are met in several rounds of finer and finer units.
 STEPS = 1 << 22
 
@@ -99,6 +101,14 @@ def plan_splits(multiplicities: dict[int, int], shares: dict[str, float]) -> lis
     return plan
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Left join of `rows` with `values` (one row a key), the rows of the few `hot` keys in place by a broadcast, others by a shuffle."""
+    keys = hot.select(key)
+    few = values.join(F.broadcast(keys), key, "left_semi")
+    here = rows.join(F.broadcast(keys), key, "left_semi").join(F.broadcast(few), key, "left")
+    return here.unionByName(rows.join(F.broadcast(keys), key, "left_anti").join(values, key, "left"))
+
+
 def assign_splits(df: DataFrame, id_col: str, keys: list[Column], targets: DataFrame) -> DataFrame:
     """(`id`, `component`, `split`) of every row of `df`; rows that share a key, or a chain of keys, stay together.
 
@@ -109,8 +119,10 @@ def assign_splits(df: DataFrame, id_col: str, keys: list[Column], targets: DataF
     root = components(key_edges(df, keys))
     named = [F.concat(F.lit(f"{i}:"), plain_key(k)) for i, k in enumerate(keys)]
     own = F.coalesce(*named, F.concat(F.lit("row:"), F.col(id_col).cast("string"), F.lit("")), F.lit("row:"))
-    rows = df.select(F.col(id_col).alias("id"), own.alias("node")).join(root, "node", "left").select("id", F.coalesce("root", "node").alias("component"))
-    placed = materialize(rows, "placed")
+    named_rows = materialize(df.select(F.col(id_col).alias("id"), own.alias("node")), "nodes")
+    bound = F.lit(named_rows.count() * HOT_SHARE)
+    hot = materialize(named_rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("node"), "hot")
+    placed = materialize(spread_join(named_rows, root, "node", hot).select("id", F.coalesce("root", "node").alias("component")), "placed")
     sizes = materialize(placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
     counted = {r["n"]: r["m"] for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
     shares = {r["split"]: float(r["share"]) for r in targets.select("split", "share").collect() if r["split"] is not None and (r["share"] or 0) > 0}
@@ -122,7 +134,7 @@ def assign_splits(df: DataFrame, id_col: str, keys: list[Column], targets: DataF
     ranked = cut.selectExpr("component", "n", "bucket", "row_number() over (partition by n, bucket order by component) - 1 as r").join(offsets, ["n", "bucket"])
     ranked = ranked.select("component", "n", (F.col("before") + F.col("r")).alias("rank"))
     chosen = ranked.join(F.broadcast(plan), "n").filter("rank >= low and rank < high").select("component", "split")
-    return placed.join(chosen, "component").select("id", "component", "split")
+    return spread_join(placed, materialize(chosen, "chosen"), "component", sizes.filter(F.col("n") > bound)).select("id", "component", "split")
 
 
 def leaking_keys(df: DataFrame, id_col: str, keys: list[Column], assigned: DataFrame) -> DataFrame:
