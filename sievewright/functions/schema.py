@@ -78,12 +78,14 @@ def validator(schema: dict) -> Callable[[object], list[str]]:
     return lambda v: sorted(errors(v, schema, ""))
 
 
-def check_json(df: DataFrame, key: str, value: str, schema: dict = DRAFT) -> DataFrame:
-    """(`key`, `is_json`, `is_object`, `schema_valid`, `schema_errors`) of every row whose `value` is not null.
+def check_json(df: DataFrame, key: str, value: str, schema: dict = DRAFT, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(`key`, `is_json`, `is_object`, `schema_valid`, `schema_errors`) and the text `fields` of every row whose `value` is not null.
 
-    What is JSON is what `json.loads` reads; text that it does not read has no schema errors, and is not valid.
+    What is JSON is what `json.loads` reads; text that it does not read has no schema errors, and is not valid. A field is
+    null unless it is a string of an object.
     """
     kind = dict(df.dtypes)[key]
+    names = ["is_json", "is_object", "schema_valid", "schema_errors", *fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         check = validator(schema)
@@ -93,12 +95,14 @@ def check_json(df: DataFrame, key: str, value: str, schema: dict = DRAFT) -> Dat
                 v = json.loads(raw)
                 found = check(v)
             except (ValueError, RecursionError):
-                return False, False, False, None
-            return True, isinstance(v, dict), not found, ",".join(found)
+                return (False, False, False, None, *(None for _ in fields))
+            texts = (v.get(f) if isinstance(v, dict) else None for f in fields)
+            return (True, isinstance(v, dict), not found, ",".join(found), *(t if isinstance(t, str) else None for t in texts))
 
         for pdf in batches:
-            out = pd.DataFrame([one(t) for t in pdf[value]], columns=["is_json", "is_object", "schema_valid", "schema_errors"])
+            out = pd.DataFrame([one(t) for t in pdf[value]], columns=names)
             yield out.assign(**{key: pdf[key].to_numpy()})[[key, *out.columns]]
 
-    rows = df.filter(F.col(value).isNotNull()).select(key, value)
-    return rows.mapInPandas(run, f"{key} {kind}, is_json boolean, is_object boolean, schema_valid boolean, schema_errors string")
+    rows = df.filter(F.col(value).isNotNull()).select(key, F.make_valid_utf8(value).alias(value))
+    shape = ", ".join(f"{n} {'boolean' if n in names[:3] else 'string'}" for n in names)
+    return rows.mapInPandas(run, f"{key} {kind}, {shape}")

@@ -21,23 +21,6 @@ def ladder(steps: list[tuple[str, Column, float | None]], otherwise: tuple[str,
     return gate.otherwise(otherwise[0]), reward.otherwise(F.lit(None).cast("double") if otherwise[1] is None else otherwise[1])
 
 
-def combined_reward(decided: Column, verdict: Column, confidence: Column, style: Column, syntax: Column) -> Column:
-    """A reward from a judgment: what is decided stays, abstention is null and not zero.
-
-    fail -0.6, style 0 -0.5, else 0.75 + 0.15 * style / 2 + 0.10 * syntax, to six places.
-    """
-    abstains = verdict.isNull() | (F.coalesce(confidence, F.lit("")) != "high") | (verdict == "uncertain")
-    full = F.round(F.lit(0.75) + F.lit(0.15) * style / 2 + F.lit(0.10) * syntax, 6)
-    return F.when(decided.isNotNull(), decided).when(abstains, None).when(verdict == "fail", F.lit(-0.6)).when(style == 0, F.lit(-0.5)).otherwise(full)
-
-
-def usable_groups(df: DataFrame, group: str, reward: Column, faithful: Column) -> DataFrame:
-    """Groups in which every reward is known, one row at least is faithful and two rewards differ."""
-    return df.groupBy(group).agg(
-        (F.bool_and(reward.isNotNull()) & F.bool_or(F.coalesce(faithful, F.lit(False))) & (F.countDistinct(reward) >= 2)).alias("usable")
-    )
-
-
 def route(codes: Column, blocked: Column) -> Column:
     """accepted, blocked or quarantined."""
     return F.when(F.coalesce(blocked, F.lit(False)), "blocked").when(F.size(codes) > 0, "quarantined").otherwise("accepted")

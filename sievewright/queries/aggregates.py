@@ -6,36 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievewright.functions import text
-from sievewright.operators import aggregates, joins
+from sievewright.operators import aggregates
 from sievewright.queries.registry import query
 from sievewright.sources.tables import table
 
-_STATUS = "case when c.case_id is null then 'missing' when raw is null or raw = '' then 'generation_error' when hit_token_limit then 'rejected' else 'parsed' end"
-_SCORED = f"with c as (select case_id, arm, max(raw) as raw, bool_or(hit_token_limit) as hit_token_limit from candidates where arm = 'sft' group by 1, 2), s as (select e.style as style, e.origin as origin, {_STATUS} as status, ({_STATUS}) = 'parsed' and length(raw) > 100 as accepted from examples e left join c on c.case_id = e.example_id where e.split in ('validation', 'test'))"
-_ROLL = "count(*) as cases, count_if(status in ('parsed', 'rejected')) as attempted, count_if(accepted) as accepted, count_if(status = 'missing') as missing, round(count_if(accepted) / count(*), 6) as rate_all, round(count_if(accepted) / nullif(count_if(status in ('parsed', 'rejected')), 0), 6) as rate_attempted"
-
-
-def _scored(spark, d):
-    cases = table(spark, d, "examples").filter("split in ('validation', 'test')").select(F.col("example_id").alias("case_id"), "style", "origin")
-    c = table(spark, d, "candidates").filter("arm = 'sft'").groupBy("case_id").agg(F.max("raw").alias("raw"), F.bool_or("hit_token_limit").alias("hit"))
-    status = F.when(F.col("raw").isNull() | (F.col("raw") == ""), "generation_error").when(F.col("hit"), "rejected").otherwise("parsed")
-    kept = joins.keep_cases(cases, c.withColumn("status", status), "case_id")
-    return kept.withColumn("accepted", (F.col("status") == "parsed") & (F.length("raw") > 100))
-
-
-@query(f"{_SCORED} select 'sft' as arm, {_ROLL} from s")
-def d01_eval_rollup(spark, d):
-    return aggregates.evaluation_rollup(_scored(spark, d).withColumn("arm", F.lit("sft")), ["arm"])
-
-
-@query(f"{_SCORED} select style, origin, count(*) as cases, count_if(accepted) as accepted, round(count_if(accepted) / count(*), 6) as rate from s group by grouping sets ((), (style), (origin))")
-def d02_grouping_sets(spark, d):
-    rows = _scored(spark, d)
-    return rows.groupingSets([[], [F.col("style")], [F.col("origin")]], F.col("style"), F.col("origin")).agg(
-        F.count(F.lit(1)).alias("cases"), F.count_if("accepted").alias("accepted"), aggregates.rate(F.count_if("accepted"), F.count(F.lit(1))).alias("rate")
-    )
-
-
 @query("""select arm, count(*) as n, count_if(raw is null or raw = '') as blank, count_if(hit_token_limit) as limited, round(avg(output_tokens), 6) as mean_tokens from candidates group by 1""")
 def d03_assay_rollup(spark, d):
     return table(spark, d, "candidates").groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("raw is null or raw = ''")).alias("blank"), F.count_if("hit_token_limit").alias("limited"), F.round(F.avg("output_tokens"), 6).alias("mean_tokens"))

@@ -131,15 +131,6 @@ def h13_explicit_subset(spark, d):
     return rows.groupBy("rarity").agg(F.count(F.lit(1)).alias("n"), F.count_if("explicit").alias("explicit"))
 
 
-@query("""with b as (select case_id, candidate_id, raw, row_number() over (partition by case_id order by candidate_id) as n from candidates where hit_token_limit and case_id is not null and arm <> 'teacher'),
-g as (select e.example_id as case_id, min(e.row_id) as row_id from examples e where e.example_id is not null group by 1)
-select b.case_id as case_id, g.row_id as reference, b.candidate_id as rejected from b join g on g.case_id = b.case_id where b.n = 1""")
-def h18_reference_positive_pairs(spark, d):
-    bad = table(spark, d, "candidates").filter("hit_token_limit and case_id is not null and arm <> 'teacher'").groupBy("case_id").agg(F.min("candidate_id").alias("rejected"))
-    good = table(spark, d, "examples").filter("example_id is not null").groupBy(F.col("example_id").alias("case_id")).agg(F.min("row_id").alias("reference"))
-    return bad.join(good, "case_id")
-
-
 @query("""select card_no, replace(coalesce(oracle_text, ''), name, 'this card') as shown from cards where name <> ''""")
 def i16_display_binding(spark, d):
     return table(spark, d, "cards").filter("name <> ''").select("card_no", F.replace(F.coalesce("oracle_text", F.lit("")), "name", F.lit("this card")).alias("shown"))
@@ -207,29 +198,11 @@ def k08_control_pattern(spark, d):
     return rows.groupBy("case_id").agg(((F.count_if(~cut) == 3) & (F.count_if(cut) == 1)).alias("valid"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with c as (select case_id, min(raw) as raw from candidates where arm = 'repair' and case_id is not null group by 1), r as (select case_id, min(raw) as raw from candidates where arm = 'base' and case_id is not null group by 1)
-select c.case_id as case_id, c.raw is distinct from r.raw as changed, coalesce(contains(c.raw, 'oracle_text'), false) as has_text from c join r on c.case_id = r.case_id""")
-def k13_repair_matrix(spark, d):
-    rows = table(spark, d, "candidates").filter("case_id is not null")
-    of = lambda arm, name: rows.filter(F.col("arm") == arm).groupBy("case_id").agg(F.min("raw").alias(name))
-    both = of("repair", "c").join(of("base", "r"), "case_id")
-    return both.select("case_id", (~F.col("c").eqNullSafe(F.col("r"))).alias("changed"), F.coalesce(F.contains("c", F.lit("oracle_text")), F.lit(False)).alias("has_text"))
-
-
 @query("""select row_id from examples where split in ('train', 'validation') and coalesce(origin, '') <> 'replay'""")
 def k21_never_the_test_split(spark, d):
     return table(spark, d, "examples").filter("split in ('train', 'validation') and coalesce(origin, '') <> 'replay'").select("row_id")
 
 
-@query("""with j as (select case_id, max(case when arm = 'teacher' and not coalesce(hit_token_limit, true) then candidate_id end) as chosen, min(case when arm = 'base' and hit_token_limit then candidate_id end) as rejected from candidates where case_id is not null group by 1)
-select case_id, chosen, rejected from j where chosen is not null and rejected is not null""")
-def k22_pair_approval(spark, d):
-    chosen = F.max(F.when((F.col("arm") == "teacher") & ~F.coalesce("hit_token_limit", F.lit(True)), F.col("candidate_id")))
-    rejected = F.min(F.when((F.col("arm") == "base") & F.col("hit_token_limit"), F.col("candidate_id")))
-    j = table(spark, d, "candidates").filter("case_id is not null").groupBy("case_id").agg(chosen.alias("chosen"), rejected.alias("rejected"))
-    return j.filter("chosen is not null and rejected is not null")
-
-
 @query("""select candidate_id, coalesce(p.raw, c.raw) as raw_kept, p.candidate_id is not null as adopted from candidates c left join (select candidate_id, raw from candidates where raw <> '' and candidate_id % 4 = 0) p using (candidate_id)""".replace("select candidate_id, coalesce", "select c.candidate_id as candidate_id, coalesce").replace("using (candidate_id)", "on p.candidate_id = c.candidate_id"))
 def m07_adopt_prior(spark, d):
     rows = table(spark, d, "candidates").select("candidate_id", "raw")

@@ -64,55 +64,6 @@ def k07_triage(spark, d):
     return table(spark, d, "custom_cards").select("card_id", state.alias("state"))
 
 
-def _gate():
-    return gates.ladder(
-        [
-            ("truncated_generation", F.coalesce("hit_token_limit", F.lit(False)), -1.0),
-            ("no_output", F.coalesce("raw", F.lit("")) == "", -1.0),
-            ("not_an_object", ~F.col("raw").rlike(r"^\s*\{.*\}\s*$".replace(".*", r"[\s\S]*")), -1.0),
-            ("missing_text", ~F.contains("raw", F.lit("oracle_text")), -0.8),
-        ],
-        ("needs_judge", None),
-    )
-
-
-_GATE = r"""case when coalesce(hit_token_limit, false) then 'truncated_generation' when coalesce(raw, '') = '' then 'no_output' when not regexp_matches(raw, '^\s*\{[\s\S]*\}\s*$') then 'not_an_object' when not contains(raw, 'oracle_text') then 'missing_text' else 'needs_judge' end"""
-
-
-@query(f"select candidate_id, gate, case gate when 'missing_text' then -0.8::double when 'needs_judge' then null else -1.0::double end as reward from (select candidate_id, {_GATE} as gate from candidates)")
-def k09_gate_ladder(spark, d):
-    gate, reward = _gate()
-    return table(spark, d, "candidates").select("candidate_id", gate.alias("gate"), reward.alias("reward"))
-
-
-_REWARD = f"""(select candidate_id, case_id, case when gate = 'missing_text' then -0.8::double when gate <> 'needs_judge' then -1.0::double when v is null or c <> 'high' or v = 'uncertain' then null when v = 'fail' then -0.6::double when st = 0 then -0.5::double
-else round(0.75::double + 0.15::double * st / 2 + 0.10::double * 0.5, 6) end as reward from (select candidate_id, case_id, {_GATE} as gate, case when output_tokens % 5 = 0 then 'fail' when output_tokens % 7 = 0 then 'uncertain' when output_tokens is not null then 'pass' end as v, case when output_tokens % 4 = 0 then 'low' else 'high' end as c, output_tokens % 3 as st from candidates))"""
-
-
-def _rewards(spark, d):
-    t = F.col("output_tokens")
-    verdict = F.when(t % 5 == 0, "fail").when(t % 7 == 0, "uncertain").when(t.isNotNull(), "pass")
-    confidence = F.when(t % 4 == 0, "low").otherwise("high")
-    return table(spark, d, "candidates").select("candidate_id", "case_id", gates.combined_reward(_gate()[1], verdict, confidence, t % 3, F.lit(0.5)).alias("reward"))
-
-
-@query(f"select candidate_id, reward from {_REWARD}")
-def k10_reward_combine(spark, d):
-    return _rewards(spark, d).select("candidate_id", "reward")
-
-
-@query(f"select case_id, bool_and(reward is not null) and bool_or(coalesce(reward > 0.7, false)) and count(distinct reward) >= 2 as usable from {_REWARD} where case_id is not null group by 1")
-def k11_group_usable(spark, d):
-    return gates.usable_groups(_rewards(spark, d).filter("case_id is not null"), "case_id", F.col("reward"), F.col("reward") > 0.7)
-
-
-@query("""select candidate_id, output_tokens >= 0.9 * max_tokens and coalesce(hit_token_limit, false) as wrong, output_tokens < 0.9 * max_tokens and not coalesce(hit_token_limit, true) as faithful from candidates where output_tokens is not null and max_tokens is not null""")
-def k12_predicates(spark, d):
-    near = F.col("output_tokens") >= F.lit(0.9) * F.col("max_tokens")
-    rows = table(spark, d, "candidates").filter("output_tokens is not null and max_tokens is not null")
-    return rows.select("candidate_id", (near & F.coalesce("hit_token_limit", F.lit(False))).alias("wrong"), (~near & ~F.coalesce("hit_token_limit", F.lit(True))).alias("faithful"))
-
-
 @query("""select e.row_id, c.card_no, e.target.rarity is not distinct from c.rarity and e.target.power is not distinct from c.power and e.target.toughness is not distinct from c.toughness as preserved from examples e join cards c on e.source.oracle_id = c.oracle_id""")
 def k14_metadata_preserved(spark, d):
     rows = table(spark, d, "examples").select("row_id", "target", F.col("source.oracle_id").alias("oracle_id"))

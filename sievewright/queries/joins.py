@@ -85,15 +85,6 @@ def c09_every_baseline(spark, d):
     return ours.join(theirs, "case_id").groupBy("candidate", "baseline").agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.expr("ours > t")).alias("longer"))
 
 
-@query("""with r as (select arm, min(max_tokens) as lo, max(max_tokens) as hi, count(*) as n from candidates group by 1)
-select x.arm as left_arm, y.arm as right_arm, x.lo is not distinct from y.lo and x.hi is not distinct from y.hi as compatible from r x join r y on x.arm < y.arm""")
-def c10_identity_compatibility(spark, d):
-    r = table(spark, d, "candidates").groupBy("arm").agg(F.min("max_tokens").alias("lo"), F.max("max_tokens").alias("hi"))
-    x, y = (r.select(F.col("arm").alias(f"{s}_arm"), F.col("lo").alias(f"{s}_lo"), F.col("hi").alias(f"{s}_hi")) for s in ("left", "right"))
-    same = F.col("left_lo").eqNullSafe(F.col("right_lo")) & F.col("left_hi").eqNullSafe(F.col("right_hi"))
-    return x.join(y, F.col("left_arm") < F.col("right_arm")).select("left_arm", "right_arm", same.alias("compatible"))
-
-
 @query("""select c.card_no, count(*) as printings, count(distinct w.set_code) as sets from printed_wordings w join cards c on w.oracle_id = c.oracle_id where lower(trim(w.lang)) in ('en', 'english') group by 1""")
 def c11_printings_by_source(spark, d):
     printed = table(spark, d, "printed_wordings").filter("lower(trim(lang)) in ('en', 'english')").select("oracle_id", "set_code")

@@ -20,11 +20,6 @@ def c23_zip_content_equality(spark, d):
     return a.join(b, "card_no").select("card_no", (F.col("name").eqNullSafe(F.col("n2")) & F.col("type_line").eqNullSafe(F.col("t2"))).alias("equal"))
 
 
-@query("""select arm, count(*) as verdicts, count(distinct case_id) as cases, count_if(case_id is null) as unlabelled from candidates group by 1""")
-def c27_align_judgments(spark, d):
-    return table(spark, d, "candidates").groupBy("arm").agg(F.count(F.lit(1)).alias("verdicts"), F.countDistinct("case_id").alias("cases"), F.count_if(F.expr("case_id is null")).alias("unlabelled"))
-
-
 @query("""select coalesce(max_tokens, -1) as condition, count(*) as n, count_if(hit_token_limit) as limited, round(count_if(hit_token_limit) / count(*), 6) as share from candidates group by 1""")
 def d25_rescore_by_condition(spark, d):
     return table(spark, d, "candidates").groupBy(F.coalesce("max_tokens", F.lit(-1)).alias("condition")).agg(
@@ -104,12 +99,6 @@ def k04_combined_checks(spark, d):
     return rows.groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == 0).alias("clean"), F.sum("k").alias("issues"))
 
 
-@query("""select case_id, count(distinct arm) = 6 and count_if(raw is null) = 0 and bool_and(coalesce(not hit_token_limit, true)) as valid from candidates where case_id is not null group by 1""")
-def k17_reply_validity(spark, d):
-    valid = (F.countDistinct("arm") == 6) & (F.count_if(F.expr("raw is null")) == 0) & F.bool_and(F.coalesce(~F.col("hit_token_limit"), F.lit(True)))
-    return table(spark, d, "candidates").filter("case_id is not null").groupBy("case_id").agg(valid.alias("valid"))
-
-
 @query("""select count(*) as cards, count_if(validation.parse_complete) as target_pass, count_if(draft.rarity is not null) as style_pass, count_if(validation.parse_complete and draft.rarity is not null) as admitted from custom_cards""")
 def k23_joint_admission(spark, d):
     n = lambda e: F.count_if(F.expr(e))

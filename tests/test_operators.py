@@ -28,26 +28,6 @@ def test_overlay_patches_only_what_it_has(spark):
     assert got == {1: ("a", "x", False), 2: ("B", "y", True)}
 
 
-def test_protected_holdout():
-    groups = []
-    for i in range(100):
-        fs = ["type:creature", "color:U", "color_bucket:U", "keyword:flying"] + (["keyword:rare"] if i < 3 else []) + (["type:battle"] if i in (8, 9) else [])
-        groups.append((str(i), 1, fs, f"{(i * 37) % 100:03d}"))
-    taken = selection.choose_protected(groups, 5)
-    assert len(taken) == 5 and not {"0", "1", "2"} & set(taken) and {"8", "9"} & set(taken)
-    assert taken == selection.choose_protected(groups[::-1], 5)
-    with pytest.raises(ValueError):
-        selection.choose_protected([(i, n, fs + (["type:lone"] if i == "50" else []), r) for i, n, fs, r in groups], 5)
-
-
-def test_stratified_pick_is_independent_of_order():
-    rows = [(f"f{i}", ["broad", "complete", "shorthand"][i % 3], [f"color_combination:{'WUBRGC'[i % 6]}", "type:creature" if i % 2 else "type:land"], f"{(i * 17) % 40:03d}") for i in range(40)]
-    a = selection.choose_stratified(rows, 20)
-    assert len(set(a)) == 20 and a == selection.choose_stratified(rows[::-1], 20)
-    by = {r[0]: r for r in rows}
-    assert len({by[x][2][0] for x in a}) == 6 and len({by[x][1] for x in a}) == 3
-
-
 def test_compact_refuses_more_than_it_may_hold(spark):
     with pytest.raises(ValueError):
         selection.compact(spark.range(20), 10)
@@ -86,12 +66,6 @@ def test_vector_search_is_exact(spark):
     assert [r["item"] for r in got] == [2, 3]
 
 
-def test_reward_ladder(spark):
-    df = spark.createDataFrame([(None, "pass", "high", 2, 0.0), (None, "pass", "high", 2, 0.5), (None, "pass", "high", 2, 1.0), (None, None, None, None, 1.0), (None, "uncertain", "high", 2, 1.0), (None, "fail", "high", 2, 1.0), (-1.0, "pass", "high", 2, 1.0)], "d double, v string, c string, s int, y double")
-    got = [r[0] for r in df.select(gates.combined_reward(F.col("d"), F.col("v"), F.col("c"), F.col("s"), F.col("y"))).collect()]
-    assert got == [0.9, 0.95, 1.0, None, None, -0.6, -1.0]
-
-
 def test_round_robin_and_priority(spark):
     rows = spark.createDataFrame([(i, "ab"[i > 2]) for i in range(6)], "id int, style string")
     assert sorted(r["id"] for r in windows.round_robin(rows, "style", [F.col("id")], 4).collect()) == [0, 1, 3, 4]
