@@ -28,14 +28,16 @@ def whitespace_key(text: Column) -> Column:
 
 
 def compatibility_key(text: Column) -> Column:
-    """NFKC, case folded, punctuation dropped, blanks collapsed; null stays null."""
+    """NFKC, case folded, punctuation dropped, blanks collapsed; null stays null. ASCII texts stay in the JVM."""
 
     @F.pandas_udf("string")
     def key(texts: pd.Series) -> pd.Series:
         drop = re.compile(r"[^\w{}/*+\- ]+")
         return texts.map(lambda t: None if t is None else " ".join(drop.sub(" ", unicodedata.normalize("NFKC", t).casefold()).split()), na_action="ignore")
 
-    return key(text)
+    ascii_only = text.rlike(r"^[\x00-\x7F]*$")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_{}/*+\- ]+", " "), " +", " "))
+    return F.when(ascii_only, plain).otherwise(key(F.when(~ascii_only, text)))
 
 
 def strip_lines(text: Column) -> Column:
@@ -75,26 +77,29 @@ def mentioned(word: Column, joined: Column) -> Column:
     return F.exists(forms, lambda f: holds_phrase(joined, f))
 
 
-def self_reference(text: Column, name: Column, placeholder: str = "CARDNAME") -> Column:
-    """A record's own name, full or short, replaced in its text; what follows `named` stays.
+def bind_names(text: Column, own: Column, others: Column | None = None, placeholder: str = "CARDNAME") -> Column:
+    """A record's own name, full or short, and the names of its other sides replaced in its text; what follows `named` stays.
 
-    The pattern differs by row, so this is one Arrow UDF. Longer names win; a name inside a longer word stays.
+    `others`: array of (`name`, `alias`). Longer names go first, one after another, and a name inside a longer word stays. The
+    short form of a name is what comes before its first comma. The short form of another side's name counts as the own one
+    if the own name begins with it. Null texts stay null, null and empty names name nothing; the characters U+0001 and
+    U+0002 are dropped.
     """
-
-    @F.pandas_udf("string")
-    def bind(texts: pd.Series, names: pd.Series) -> pd.Series:
-        clause = re.compile(r"(\bnamed\s+[^.\n;]+)")
-        out = []
-        for t, n in zip(texts, names):
-            if t is None or not n:
-                out.append(t)
-                continue
-            forms = sorted({n, n.split(",")[0]} - {""}, key=len, reverse=True)
-            own = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, forms)) + r")(?!\w)")
-            out.append("".join(p if i % 2 else own.sub(placeholder, p) for i, p in enumerate(clause.split(t))))
-        return pd.Series(out, dtype=object)
-
-    return bind(text, name)
+    pair = lambda name, alias: F.struct(name.alias("name"), alias.alias("alias"))
+    short = lambda name: F.split(name, ",")[0]
+    pairs = F.array(pair(own, F.lit(placeholder)), pair(short(own), F.lit(placeholder)))
+    if others is not None:
+        begins = lambda n: F.contains(n, F.lit(",")) & (F.startswith(own, F.concat(short(n), F.lit(" "))) | F.startswith(own, F.concat(short(n), F.lit(","))))
+        shared = F.transform(F.filter(others, lambda o: begins(o["name"])), lambda o: pair(short(o["name"]), F.lit(placeholder)))
+        pairs = F.concat(pairs, F.coalesce(others, F.array().cast("array<struct<name:string,alias:string>>")), F.coalesce(shared, F.array().cast("array<struct<name:string,alias:string>>")))
+    named = F.filter(pairs, lambda p: F.coalesce(p["name"], F.lit("")) != "")
+    ordered = F.array_sort(F.transform(named, lambda p: F.struct((-F.length(p["name"])).alias("n"), p["name"].alias("name"), p["alias"].alias("alias"))))
+    pattern = lambda name: F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    replaced = lambda part: F.aggregate(ordered, part, lambda t, p: F.regexp_replace(t, pattern(p["name"]), p["alias"]))
+    # Clauses that stay are put between two signs, so that each part holds at most one, at its beginning.
+    marked = F.regexp_replace(F.translate(text, "\x01\x02", ""), r"(?U)(\bnamed\s+[^.\n;]+)", "\x01$1\x02")
+    parts = F.transform(F.split(marked, "\x01"), lambda p: F.when(F.contains(p, F.lit("\x02")), F.concat(F.substring_index(p, "\x02", 1), replaced(F.substring_index(p, "\x02", -1)))).otherwise(replaced(p)))
+    return F.array_join(parts, "")
 
 
 # Older wordings and their present form.
@@ -123,20 +128,45 @@ def wording_signature(text: Column, type_line: Column) -> Column:
     return F.trim(t)
 
 
-#: Ordered wording rules: name, pattern, replacement.
+# The wording rules in their order, by name, pattern and replacement; the one without a pattern is `renowned_self`.
 WORDING_RULES = [
     ("enters", r"\b([Ee]nters?) the battlefield\b", "$1"),
     ("quotes", "[“”]", '"'),
     ("loyalty-minus", r"(?m)^(\[?)-([0-9X]+\]?:)", "$1−$2"),
+    ("renowned-self", None, None),
+    (
+        "sacrifice-choice",
+        r"\b((?:[Ee]ach (?:player|opponent)|[Tt]arget (?:player|opponent)|[Tt]hat player) sacrifices (?:a (?:nonland permanent|creature or planeswalker|creature|permanent|land)|an (?:artifact|enchantment)))([.,])",
+        "$1 of their choice$2",
+    ),
+    (
+        "owner-choice",
+        r"((?:[Tt]he owner of target (?:nonland permanent|permanent|creature)|[Ii]ts owner) puts it on) the top or bottom of their library",
+        "$1 their choice of the top or bottom of their library",
+    ),
 ]
 
 
-def normalize_wording(text: Column, rules: list[tuple[str, str, str]] = WORDING_RULES) -> tuple[Column, Column]:
-    """The text after all rules in order, and the names of the rules that changed it."""
+def renowned_self(text: Column, name: Column, type_line: Column) -> Column:
+    """A creature's own name at the start of a line outside quotes, where it is said to be renowned."""
+    lines = F.split(text, "\n")
+    quotes = lambda before: F.length(F.regexp_replace(F.array_join(before, ""), "[^\"“”]", ""))
+    prefix = F.concat(F.lit("As long as "), name, F.lit(" is renowned,"))
+    changed = lambda line: F.concat(F.lit("As long as this creature is renowned,"), F.substring(line, F.length(prefix) + 1, F.length(line)))
+    made = F.transform(lines, lambda line, i: F.when(F.startswith(line, prefix) & (quotes(F.slice(lines, F.lit(1), i)) % 2 == 0), changed(line)).otherwise(line))
+    creature = F.array_contains(F.split(F.split(type_line, "—")[0], " "), "Creature")
+    return F.when(F.coalesce(creature & (name != ""), F.lit(False)), F.array_join(made, "\n")).otherwise(text)
+
+
+def normalize_wording(text: Column, rules: list[tuple] = WORDING_RULES, name: Column | None = None, type_line: Column | None = None) -> tuple[Column, Column]:
+    """The text after all rules in order, and the names of the rules that changed it. Null texts are changed by none."""
     steps, at = [], text
-    for name, pattern, replacement in rules:
-        after = F.regexp_replace(at, pattern, replacement)
-        steps.append(F.when(after != at, F.lit(name)))
+    for rule, pattern, replacement in rules:
+        if pattern is None:
+            after = at if name is None or type_line is None else renowned_self(at, name, type_line)
+        else:
+            after = F.regexp_replace(at, pattern, replacement)
+        steps.append(F.when(after != at, F.lit(rule)))
         at = after
     return at, F.array_compact(F.array(*steps))
 
@@ -188,34 +218,53 @@ FEATURE_PATTERNS = {
 }
 
 
-def features(layout: Column, type_line: Column, text: Column, colors: Column) -> Column:
-    """Tagged features of a record: layout, types, rule patterns, colours."""
+def features(layout: Column, type_line: Column, text: Column, colors: Column, keywords: Column | None = None) -> Column:
+    """Tagged features of a side of a record: keywords, layout, types, ability words, rule patterns, colours.
+
+    Headings before a dash are ability words only if they are among the `keywords`.
+    """
+    none = F.array().cast("array<string>")
+    words = F.transform(F.coalesce(keywords, none), F.lower) if keywords is not None else none
+    headings = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^([A-Za-z][A-Za-z ,'-]{1,45}) — "), F.lit(1)), F.lower)
     kinds = F.filter(F.split(F.lower(F.split(type_line, "—")[0]), r"\s+"), lambda w: w.isin(CARD_TYPES))
     found = [F.when(text.rlike(p), F.lit(f"pattern:{k}")) for k, p in FEATURE_PATTERNS.items()]
-    ordered = F.filter(F.array(*map(F.lit, "WUBRG")), lambda c: F.array_contains(F.coalesce(colors, F.array().cast("array<string>")), c))
+    ordered = F.filter(F.array(*map(F.lit, "WUBRG")), lambda c: F.array_contains(F.coalesce(colors, none), c))
     bucket = F.when(F.size(ordered) == 0, "colorless").when(F.size(ordered) > 1, "multicolor").otherwise(F.get(ordered, F.lit(0)))
     combination = F.when(F.size(ordered) == 0, "C").otherwise(F.array_join(ordered, ""))
+    tagged = lambda tag, values: F.transform(F.coalesce(values, none), lambda w: F.concat(F.lit(tag), w))
     single = F.array(
         F.concat(F.lit("layout:"), F.coalesce(layout, F.lit("normal"))), *found, F.concat(F.lit("color_bucket:"), bucket), F.concat(F.lit("color_combination:"), combination)
     )
-    parts = [F.array_compact(single), F.transform(F.coalesce(kinds, F.array().cast("array<string>")), lambda w: F.concat(F.lit("type:"), w)), F.transform(ordered, lambda c: F.concat(F.lit("color:"), c))]
+    parts = [tagged("keyword:", words), F.array_compact(single), tagged("type:", kinds), tagged("ability_word:", F.array_intersect(F.coalesce(headings, none), words)), tagged("color:", ordered)]
     return F.array_distinct(F.concat(*parts))
 
 
-#: Corruptions of a text: kind, pattern (its groups count from $2), replacement of the first match.
+# Corruptions of a text in their order: kind, pattern (its groups count from $2), replacement of the first match.
 CORRUPTIONS = [
     ("trigger_comma", r"\b((?:When|Whenever)[^\n,.]+), ", "$2 "),
     ("activation_colon", r"(\}): ", "$2 "),
+    ("flying_typo", r"\bFlying\b", "Flyng"),
+    ("vigilance_typo", r"\bVigilance\b", "Vigilence"),
+    ("draw_grammar", r"\b[Dd]raw a card\b", "draws one card"),
+    ("old_enters_wording", r"\b(CARDNAME) enters\b", "$2 comes into play"),
     ("tap_words", r"\{T\}", "Tap"),
-    ("loyalty_colon", r"((?:^|\n)[+−-]?[0-9]+): ", "$2 "),
+    ("loyalty_colon", r"(?m)^([+−-]?[0-9]+): ", "$2 "),
+    ("loyalty_words", r"(?m)^\+([0-9]+): ", "plus $2: "),
+    ("scry_grammar", r"\b[Ss]cry ([0-9]+)\b", "look at the top $2 cards and scry them"),
+    ("counter_grammar", r"\ba \+1/\+1 counter\b", "one +1/+1 counters"),
     ("create_grammar", r"\b[Cc]reate (a|two)\b", "make $2"),
-    ("draw_grammar", r"\b[Dd]raw a card\b", "draws one card"),
 ]
 
 
-def corruptions(text: Column, kinds: list[tuple[str, str, str]] = CORRUPTIONS) -> Column:
-    """Every corruption that changes the text, as an array of (kind, text)."""
+def corruptions(text: Column, name: Column | None = None, kinds: list[tuple[str, str, str]] = CORRUPTIONS) -> Column:
+    """Every corruption that changes the text, as an array of (kind, text); with a `name` also the first word of it for the placeholder.
+
+    A name of one word, or with a comma, is not shortened.
+    """
     made = [F.struct(F.lit(k).alias("kind"), replace_first(text, p, r).alias("text")) for k, p, r in kinds]
+    if name is not None:
+        short = F.when(F.contains(name, F.lit(" ")) & ~F.contains(name, F.lit(",")), F.replace(text, F.lit("CARDNAME"), F.substring_index(name, " ", 1)))
+        made.append(F.struct(F.lit("short_self_reference").alias("kind"), short.alias("text")))
     return F.filter(F.array(*made), lambda m: m["text"] != text)
 
 

@@ -1,6 +1,6 @@
 """Paired statistics clustered by family (inventory L) and exact vector search (C20, C21, F08).
 
-Random draws are taken from hashes: draw k of replicate b picks family int(sha256("seed:b:k")[:8], 16) mod families.
+The random stream of a replicate starts from sha256("seed:replicate"), so results repeat.
 """
 
 from __future__ import annotations
@@ -13,44 +13,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.canon import hash_number
-from sievewright.operators.windows import hash_ranks
 
 #: Vectors of a block in the search; blocks of queries times blocks of the index are multiplied.
 BLOCK = 4096
 
 
-def family_bootstrap(paired: DataFrame, family: str, difference: Column, replicates: int = 5000, seed: int = 43, low: int = 124, high: int = 4874) -> DataFrame:
-    """Ratio of sums over families drawn with replacement: one row (`families`, `cases`, `estimate`, `lower`, `upper`), in percent points.
-
-    The limits are the sorted replicates at the 0-based places `low` and `high`. The grid of draws is made and joined in
-    Spark; only (difference, cases) per family is compact. An empty table gives one row of nulls.
-    """
-    per = paired.groupBy(family).agg(F.sum(difference).alias("d"), F.count(F.lit(1)).alias("c"))
-    named = per.withColumn("_name", F.coalesce(F.col(family).cast("string"), F.lit("")))
-    ordered = hash_ranks(named, [], "_name", []).select((F.col("place") - 1).alias("i"), "d", "c")
-    n = paired.select(family).distinct().count()
-    spark = paired.sparkSession
-    grid = spark.range(replicates).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k"))
-    draw = hash_number(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string")), 256)) % max(n, 1)
-    sums = grid.select("b", draw.alias("i")).join(ordered, "i").groupBy("b").agg((F.lit(100.0) * F.sum("d") / F.sum("c")).alias("s"))
-    place = F.array_sort(F.collect_list("s"))  # as many values as replicates
-    limits = sums.agg(F.round(F.get(place, F.lit(low)), 6).alias("lower"), F.round(F.get(place, F.lit(high)), 6).alias("upper"))
-    total = per.agg(F.count(F.lit(1)).alias("families"), F.sum("c").alias("cases"), F.round(F.lit(100.0) * F.sum("d") / F.sum("c"), 6).alias("estimate"))
-    return total.crossJoin(limits)
-
-
 def class_bootstrap(paired: DataFrame, family: str, difference: Column, replicates: int = 5000, seed: int = 43, low: int = 124, high: int = 4874, most: int = 1_000_000) -> DataFrame:
-    """The row of `family_bootstrap` at a cost that does not grow with the families.
+    """Ratio of sums over families drawn with replacement: one row (`families`, `cases`, `estimate`, `lower`, `upper`), in percent points.
 
-    A replicate depends on its families by their (difference, cases) only. Families alike in both are a class, and how
+    The limits are the sorted replicates at the 0-based places `low` and `high`; an empty table gives no limits. The cost
+    does not grow with the families: a replicate depends on its families by their (difference, cases) only. Families alike in both are a class, and how
     often each class is drawn is multinomial: the same law as that of single draws. The classes, at most `most`, go to the
     driver; a replicate's stream starts from sha256("seed:replicate").
     """
     per = paired.groupBy(family).agg(F.sum(difference).cast("double").alias("d"), F.count(F.lit(1)).alias("c"))
     classes = sorted((r["c"], r["d"], r["m"]) for r in per.groupBy("c", "d").agg(F.count(F.lit(1)).alias("m")).limit(most + 1).collect())
     if len(classes) > most:
-        raise ValueError(f"more than {most} classes of families; family_bootstrap draws families one by one")
+        raise ValueError(f"more than {most} classes of families")
     spark = paired.sparkSession
     shape = "families long, cases long, estimate double"
     if not classes:

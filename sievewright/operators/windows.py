@@ -40,22 +40,36 @@ def hash_ranks(df: DataFrame, group: list[str], rank: str, ties: list[str], digi
     Rows are numbered inside the ranges of the string's first characters, and ranges by the counts before them, so a
     group of any size is spread over 16^digits parts. Null groups are groups; the string must not be null.
     """
-    cut = df.withColumn("_range", F.substring(rank, 1, digits))
+    return _ranked(df.withColumn("_range", F.substring(rank, 1, digits)), group, rank, ties).select(*df.columns, "place")
+
+
+def _ranked(cut: DataFrame, group: list[str], order: str, ties: list[str]) -> DataFrame:
+    """`place` of each row: its number inside its `_range` and the counts of the ranges before."""
     counts = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")
     offsets = counts.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_range").alias("_r"), before.alias("_before"))
     on = F.col("_range") == F.col("_r")
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    local = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(rank, *ties))
-    numbered = cut.withColumn("_local", local).join(offsets, on)
-    return numbered.withColumn("place", F.col("_before") + F.col("_local")).select(*df.columns, "place")
+    local = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(order, *ties))
+    return cut.withColumn("_local", local).join(offsets, on).withColumn("place", F.col("_before") + F.col("_local"))
 
 
-def batches(df: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
-    """Rows numbered within their group and cut into batches of `size`."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("place", place).withColumn("batch", F.floor((F.col("place") - 1) / size))
+def range_ranks(df: DataFrame, group: list[str], number: str, ties: list[str], parts: int = 1024) -> DataFrame:
+    """Each row with its `place` from 1 in the order of a whole number within its group, as `hash_ranks` has it.
+
+    The numbers between the least and the greatest are cut into `parts` ranges of one width, so a group of any size is
+    spread over them. Null numbers come first.
+    """
+    ends = df.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()
+    low, width = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // parts))
+    bucket = F.coalesce(F.floor((F.col(number) - low) / width), F.lit(-1))
+    return _ranked(df.withColumn("_range", bucket), group, number, ties).select(*df.columns, "place")
+
+
+def batches(df: DataFrame, group: list[str], number: str, size: int) -> DataFrame:
+    """Rows numbered within their group in the order of a whole number and cut into batches of `size`."""
+    return range_ranks(df, group, number, []).withColumn("batch", F.floor((F.col("place") - 1) / size))
 
 
 def trailing(group: list[str], order: list[Column], rows: int):
@@ -71,6 +85,6 @@ def round_robin(df: DataFrame, style: str, order: list[Column], n: int, head_sta
     start = F.lit(0)
     for name, c in (head_start or {}).items():
         start = F.when(F.col(style) == name, c).otherwise(start)
-    turn = F.row_number().over(Window.partitionBy(style).orderBy(*order)) - 1 + start
-    ranked = df.withColumn("turn", turn).orderBy("turn", style, *order).limit(n)
-    return ranked
+    # Of a style at most n rows count, so Spark keeps no more of each before the shuffle.
+    first = at_most(df, [style], order, max(n, 0))
+    return first.withColumn("turn", F.col("place") - 1 + start).drop("place").orderBy("turn", style, *order).limit(n)

@@ -28,13 +28,6 @@ def d05_coverage_histogram(spark, d):
 _FEATURES = "with f as (select card_no, oracle_id, unnest(list_filter([" + ", ".join(f"case when regexp_matches(oracle_text, '{p.replace(chr(39), chr(39) * 2)}') then 'pattern:{k}' end" for k, p in text.FEATURE_PATTERNS.items()) + "], lambda x: x is not null)) as feature from cards)"
 
 
-@query(f"{_FEATURES} select feature, count(*) as cards, count(distinct oracle_id) as families from f group by 1")
-def d06_feature_totals(spark, d):
-    made = text.features(F.col("layout"), F.col("type_line"), F.col("oracle_text"), F.col("colors"))
-    rows = table(spark, d, "cards").select("card_no", "oracle_id", F.explode(made).alias("feature")).filter("feature like 'pattern:%'")
-    return rows.groupBy("feature").agg(F.count(F.lit(1)).alias("cards"), F.countDistinct("oracle_id").alias("families"))
-
-
 @query("""select style as feature, count(distinct source_group_id) as total, count(distinct case when split = 'train' then source_group_id end) as train, count(distinct case when split in ('validation', 'test') then source_group_id end) as held_out from examples where style is not null group by 1""")
 def d07_coverage_by_side(spark, d):
     of = lambda cond: F.countDistinct(F.when(F.expr(cond), F.col("source_group_id")))

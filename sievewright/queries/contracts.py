@@ -142,18 +142,6 @@ def i17_bind_every_leaf(spark, d):
     return table(spark, d, "examples").filter("target.name <> ''").select("row_id", bound(F.col("description")).alias("description"), bound(F.col("target.oracle_text")).alias("oracle_text"))
 
 
-@query("""select row_id, unnest(['broad', 'casual']) as task, target.type_line as type_line from examples where style = 'complete'""")
-def j03_broad_tasks(spark, d):
-    rows = table(spark, d, "examples").filter("style = 'complete'")
-    return rows.select("row_id", F.explode(F.array(F.lit("broad"), F.lit("casual"))).alias("task"), "target.type_line")
-
-
-@query("""select card_no, power, toughness, case when contains(type_line, 'Creature') then coalesce(power, '0') else power end as adjusted from cards where type_line is not null""")
-def j06_adjust_and_keep(spark, d):
-    adjusted = F.when(F.contains("type_line", F.lit("Creature")), F.coalesce("power", F.lit("0"))).otherwise(F.col("power"))
-    return table(spark, d, "cards").filter("type_line is not null").select("card_no", "power", "toughness", adjusted.alias("adjusted"))
-
-
 @query("""select card_id, draft.name as name, upper(substr(draft.rarity, 1, 1)) as rarity_code, draft.set_code || '-' || cast(card_id as varchar) as code from custom_cards where draft.name is not null""")
 def j08_convert_export(spark, d):
     code = F.concat("draft.set_code", F.lit("-"), F.col("card_id").cast("string"))

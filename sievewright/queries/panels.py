@@ -54,12 +54,12 @@ def g13_reusable_baseline(spark, d):
 
 @query()
 def h04_release_panel(spark, d):
+    """Of the first 400 held-out groups one row each, styles balanced, and all other rows in reserve."""
     rows = table(spark, d, "examples").filter("split = 'test' and example_id is not null and style is not null and source_group_id is not null")
     rank = canon.digest_list(F.lit("panel"), F.col("example_id"), F.col("row_id").cast("string"))
-    compact = selection.compact(rows.select(F.lower(F.trim("source_group_id")).alias("g"), F.col("row_id").cast("string").alias("i"), "style", rank.alias("r")))
-    taken = selection.balanced_panel([tuple(r) for r in compact])
-    panel = spark.createDataFrame([(int(x), "panel") for x in taken], "row_id long, sink string")
-    return rows.select("row_id").join(panel, "row_id", "left").select("row_id", F.coalesce("sink", F.lit("reserve")).alias("sink"))
+    ranked = rows.select(F.lower(F.trim("source_group_id")).alias("group"), F.col("row_id").alias("id"), "style", rank.alias("rank"))
+    panel = spark.createDataFrame([(int(x), "panel") for x in selection.balanced_panel(ranked, 400)], "row_id long, sink string")
+    return rows.select("row_id").join(F.broadcast(panel), "row_id", "left").select("row_id", F.coalesce("sink", F.lit("reserve")).alias("sink"))
 
 
 @query(f"""with f as (select family_id, min_by(row_id, row(h, row_id)) as row_id, min(h) as h from (select family_id, row_id, {SHA.format('example_id')} as h from examples where family_id is not null and example_id is not null and origin in ('official', 'custom')) group by 1)
@@ -70,20 +70,6 @@ def h10_one_to_one_replay(spark, d):
     return first.select("f.h", "f.row_id").orderBy("h", "row_id").limit(192).select("row_id")
 
 
-@query("""select card_id, array_to_string(list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(lower(string_split(draft.type_line, '—')[1]), '[a-z]+', 0), lambda w: 'type:' || w), ['layout:' || coalesce(draft.layout, 'normal')]))), ',') as coverage from custom_cards where draft.type_line is not null""")
-def h15_candidate_coverage(spark, d):
-    kinds = F.transform(F.regexp_extract_all(F.lower(F.split("draft.type_line", "—")[0]), F.lit("[a-z]+"), F.lit(0)), lambda w: F.concat(F.lit("type:"), w))
-    layout = F.array(F.concat(F.lit("layout:"), F.coalesce("draft.layout", F.lit("normal"))))
-    rows = table(spark, d, "custom_cards").filter("draft.type_line is not null")
-    return rows.select("card_id", F.array_join(F.array_sort(F.array_distinct(F.concat(kinds, layout))), ",").alias("coverage"))
-
-
-@query()
-def i25_normalized_faces(spark, d):
-    faces = table(spark, d, "cards").select("card_no", F.posexplode("card_faces").alias("face", "f"))
-    return faces.select("card_no", "face", text.self_reference(F.col("f.oracle_text"), F.col("f.name")).alias("rules"))
-
-
 @query(r"""with m as (select row_id, description as prompt, target.oracle_text as chosen, target.name as rejected from examples where split = 'train')
 select row_id, coalesce(prompt <> '' and chosen <> '' and rejected <> '' and chosen <> rejected and len(regexp_extract_all(prompt || ' ' || chosen, '[^\s]+', 0)) <= 160, false) as usable from m""")
 def j18_preference_rows(spark, d):

@@ -6,70 +6,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievewright.functions import canon, text
-from sievewright.operators import selection, windows
+from sievewright.operators import projection, selection, windows
+from sievewright.queries.cards import card_features, design_coverage
 from sievewright.queries.registry import query
 from sievewright.queries.windows import GROUP, SHA
+from sievewright.sources.shared import materialize
 from sievewright.sources.tables import table
 
-_FAMILY = r"""with t as (select card_no, coalesce(layout, 'single') as layout, trim(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(oracle_text, ''), '\{[^}]+\}|[0-9]+|\b(?:one|two|three|four|five|six|seven|eight|nine|ten)\b', '#', 'g'), '\b(?:white|blue|black|red|green)\b', 'COLOR', 'g')), '\s+', ' ', 'g')) as t from cards),
-f as (select card_no, sha256('[' || to_json(layout)::varchar || ', ' || to_json(t)::varchar || ']') as family from t)"""
-
-
-def _families(spark, d):
-    rows = table(spark, d, "cards")
-    key = text.family_key(F.coalesce("layout", F.lit("single")), F.coalesce("oracle_text", F.lit("")))
-    return rows.select("card_no", canon.digest(key).alias("family"))
-
-
-@query(f"{_FAMILY} select card_no, family from f")
-def h01_family_digest(spark, d):
-    return _families(spark, d)
-
-
-@query(f"{_FAMILY} select card_no, case ('0x' || substr(family, 1, 8))::bigint % 10 when 0 then 'test' when 1 then 'validation' else 'train' end as split from f")
-def h02_hash_split(spark, d):
-    h = canon.hash_bucket(F.col("family"), 10)
-    return _families(spark, d).select("card_no", F.when(h == 0, "test").when(h == 1, "validation").otherwise("train").alias("split"))
+def _families_of_rules(spark, d):
+    """(`family`, `card`) of every delivery of a card, and (`family`, `card`, `feature`) of all its sides."""
+    rows = table(spark, d, "cards").withColumn("card", F.coalesce("oracle_id", F.concat(F.lit("#"), F.col("card_no").cast("string")))).withColumn("family", projection.family())
+    return rows.select("family", "card"), card_features(rows, ["family", "card"])
 
 
-def _families_of_rules(spark, d):
-    """(`family`, `card`) and (`family`, `card`, `feature`): rules text with the faces joined names the family; every face gives features."""
-    rows = table(spark, d, "cards").withColumn("card", F.coalesce("oracle_id", F.concat(F.lit("#"), F.col("card_no").cast("string"))))
-    own = F.array(F.struct("type_line", "oracle_text", "colors"))
-    sides = F.when(F.size("card_faces") > 0, F.transform("card_faces", lambda f: F.struct(f["type_line"].alias("type_line"), f["oracle_text"].alias("oracle_text"), F.coalesce(f["colors"], F.col("colors")).alias("colors")))).otherwise(own)
-    rows = rows.withColumn("sides", sides)
-    joined = F.array_join(F.transform("sides", lambda s: F.coalesce(s["oracle_text"], F.lit(""))), "\nFACE\n")
-    family = canon.digest(text.family_key(F.when(F.size("card_faces") > 0, F.coalesce("layout", F.lit("normal"))).otherwise("single"), joined))
-    colors = F.array_distinct(F.flatten(F.transform("sides", lambda s: F.coalesce(s["colors"], F.array().cast("array<string>")))))
-    rows = rows.select(family.alias("family"), "card", "layout", colors.alias("colors"), "sides")
-    each = rows.select("family", "card", "layout", "colors", F.explode("sides").alias("s"))
-    return rows.select("family", "card"), each.select("family", "card", F.explode(text.features(F.col("layout"), F.col("s.type_line"), F.col("s.oracle_text"), F.col("colors"))).alias("feature"))
+def _holdout_groups(spark, d):
+    """Families with their distinct cards, features and rank, and whether they share a card with another."""
+    cards, rows = _families_of_rules(spark, d)
+    distinct = materialize(cards.distinct(), "cards")
+    feats = rows.select("family", "feature").distinct().groupBy("family").agg(F.array_sort(F.collect_list("feature")).alias("features"))  # bounded by the kinds
+    shared = distinct.groupBy("card").agg(F.min("family").alias("a"), F.max("family").alias("b")).filter("a <> b").select("card")
+    stay = distinct.join(shared, "card", "left_semi").select("family").distinct().withColumn("stays", F.lit(True))
+    sizes = distinct.groupBy("family").agg(F.count(F.lit(1)).alias("cards"))
+    groups = sizes.join(feats, "family").join(stay, "family", "left")
+    return materialize(groups.select(F.col("family").alias("id"), "cards", "features", canon.digest_list(F.lit("seed"), F.col("family")).alias("rank"), "stays"), "groups")
 
 
 @query()
 def h03_protected_holdout(spark, d):
-    """Families held out so that every feature keeps its families in training and every stratum is on both sides.
+    """Families held out so that every feature keeps its families in training and every stratum is on both sides, each with the card that represents it.
 
     A stratum of one family is in training only. Families that share a card with another stay there too.
     """
-    cards, rows = _families_of_rules(spark, d)
-    groups = rows.groupBy("family").agg(F.countDistinct("card").alias("cards"), F.array_sort(F.collect_set("feature")).alias("features"))
-    shared = cards.distinct().groupBy("card").agg(F.collect_list("family").alias("f")).filter("size(f) > 1")
-    stay = shared.select(F.explode("f").alias("family")).distinct().withColumn("stays", F.lit(True))
-    ranked = groups.join(stay, "family", "left").select("family", "cards", "features", canon.digest_list(F.lit("seed"), F.col("family")).alias("rank"), "stays")
-    compact = selection.compact(ranked)
-    taken = selection.choose_protected(
-        [tuple(r)[:4] for r in compact], max(20, len(compact) // 50), lone_stays=True, stay=frozenset(r["family"] for r in compact if r["stays"])
-    )
-    return spark.createDataFrame([(f,) for f in taken], "family string")
+    groups = _holdout_groups(spark, d)
+    taken = selection.protected_holdout(groups, max(20, groups.count() // 50), lone_stays=True)
+    chosen = spark.createDataFrame([(f,) for f in taken], "family string")
+    first = _families_of_rules(spark, d)[0].groupBy("family").agg(F.min("card").alias("card"))
+    return first.join(F.broadcast(chosen), "family")  # `count` rows
 
 
 @query()
 def h05_covering_pick(spark, d):
-    feats = text.features(F.col("layout"), F.col("type_line"), F.col("oracle_text"), F.col("colors"))
-    by_id = table(spark, d, "cards").filter("oracle_id is not null").groupBy("oracle_id").agg(F.min_by(F.array_sort(feats), "card_no").alias("features"))
-    rows = selection.compact(by_id.select("oracle_id", "features", canon.digest_string("oracle_id").alias("rank")))
-    return spark.createDataFrame([(x,) for x in selection.choose_covering([tuple(r) for r in rows], 64)], "oracle_id string")
+    """64 designs, one per family, that cover colours and types with as few as can be, then by rank."""
+    d0 = table(spark, d, "custom_cards").filter("family_id is not null and draft.type_line is not null")
+    one = d0.groupBy("family_id").agg(F.min_by(F.struct("card_id", design_coverage().alias("features")), "card_id").alias("r"))
+    rows = one.select(F.col("r.card_id").alias("id"), "r.features", canon.digest_list(F.lit("cover"), F.col("family_id")).alias("rank"))
+    return spark.createDataFrame([(int(x),) for x in selection.covering_pick(rows, 64)], "card_id long")
 
 
 _REP = f"with r as (select g, style, row_id, h from (select {GROUP} as g, style, row_id, {SHA.format('example_id')} as h, row_number() over (partition by {GROUP} order by {SHA.format('example_id')}, row_id) as k from examples where split = 'train' and example_id is not null and style is not null and source_group_id is not null) where k = 1)"
@@ -143,15 +124,6 @@ def h12_composed_variation(spark, d):
     return rows.selectExpr("row_id", "array('Amber', 'Birch', 'Cinder', 'Dawn')[int(n % 4)] || ' ' || array('Path', 'Gate', 'Watch', 'Hold')[int((n div 16) % 4)] as name")
 
 
-@query("""with f as (select card_no, len(list_filter([case when regexp_matches(oracle_text, '(?i)\\bcopy\\b') then 1 end, case when regexp_matches(oracle_text, '(?i)\\bcounter\\b') then 1 end, case when regexp_matches(oracle_text, '(?i)\\btoken\\b') then 1 end], lambda x: x is not null)) as mechanics,
-'color_combination:' || case when len(colors) = 0 or colors is null then 'C' else array_to_string(list_filter(['W','U','B','R','G'], lambda c: list_contains(colors, c)), '') end as combination from cards) select * from f""".replace("\\\\", "\\"))
-def h14_feature_extraction(spark, d):
-    made = text.features(F.col("layout"), F.col("type_line"), F.col("oracle_text"), F.col("colors"))
-    rows = table(spark, d, "cards").select("card_no", made.alias("f"))
-    mechanics = F.size(F.array_intersect("f", F.array(*map(F.lit, ["pattern:copy", "pattern:counter", "pattern:token"])))).cast("long")
-    return rows.select("card_no", mechanics.alias("mechanics"), F.filter("f", lambda x: x.startswith("color_combination:"))[0].alias("combination"))
-
-
 _PAIR = "with r as (select case_id, candidate_id as id, -coalesce(output_tokens, 0) as score, not coalesce(hit_token_limit, true) and raw <> '' as good, coalesce(hit_token_limit, false) as bad, sha256(coalesce(raw, '')) as content from candidates where case_id is not null), dis as (select case_id from r group by case_id, content having bool_or(good) and bool_or(bad)), k as (select * from r where case_id not in (select case_id from dis))"
 
 

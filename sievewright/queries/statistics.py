@@ -17,14 +17,6 @@ def _paired(spark, d):
     return joins.paired_arms(rows, "case_id", "arm", "base", "sft", ~F.coalesce("hit_token_limit", F.lit(False)), "family")
 
 
-@query(f"""with {_PAIRED}, f as (select family, sum(after - before) as d, count(*) as c from q group by 1), o as (select row_number() over (order by family) - 1 as i, d, c from f), n as (select count(*) as n from f),
-g as (select b, ('0x' || substr(sha256('43:' || b || ':' || k), 1, 8))::bigint % n.n as i from n, range(500) t(b), lateral (select unnest(range(n.n)) as k)),
-s as (select b, 100.0::double * sum(d) / sum(c) as s from g join o on o.i = g.i group by b), l as (select list_sort(list(s)) as s from s)
-select (select n from n) as families, (select count(*) from q) as cases, round((select 100.0::double * sum(d) / sum(c) from f), 6) as estimate, round(l.s[13], 6) as lower, round(l.s[488], 6) as upper from l""")
-def l01_family_bootstrap(spark, d):
-    return statistics.family_bootstrap(_paired(spark, d), "family", F.col("after") - F.col("before"), replicates=500, low=12, high=487)
-
-
 def _paired_by_group(spark, d):
     """As `_paired`, but the family is the source group of the case's example, else its family, else the case alone."""
     key = lambda c, kind: F.concat(F.lit(kind), F.min(F.lower(F.trim(c))))

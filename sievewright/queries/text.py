@@ -35,11 +35,6 @@ def i04_without_reminder(spark, d):
     return table(spark, d, "cards").select("card_no", text.without_parentheses(F.col("oracle_text")).alias("bare"))
 
 
-@query()
-def i05_self_reference(spark, d):
-    return table(spark, d, "cards").select("card_no", text.self_reference(F.col("oracle_text"), F.col("name")).alias("rules"))
-
-
 @query(rf"""with b as (select card_no, type_line, {BARE_SQL.format('oracle_text')} as t from cards),
 s0 as (select card_no, lower(type_line) as ty, lower(translate({STRIP_SQL.format('t')}, '−’“”', '-''""')) as t from b where not regexp_matches(t, '[()]')),
 {''.join(f"s{i + 1} as (select card_no, ty, case when contains(ty, '{k}') then replace(t, 'this {k}', 'cardname') else t end as t from s{i})," for i, k in enumerate(text.SELF_TYPES))}
@@ -59,17 +54,6 @@ def i07_modernize_with_diff(spark, d):
     return docs.select("doc_id", F.sha2("before", 256).alias("before_hash"), F.sha2("after", 256).alias("after_hash"))
 
 
-@query(r"""with a as (select card_no, oracle_text as t0, regexp_replace(oracle_text, '\b([Ee]nters?) the battlefield\b', '\1', 'g') as t1 from cards),
-b as (select *, regexp_replace(t1, '[“”]', '"', 'g') as t2 from a),
-c as (select *, regexp_replace(t2, '(?m)^(\[?)-([0-9X]+\]?:)', '\1−\2', 'g') as t3 from b)
-select card_no, sha256(t3) as text_hash, array_to_string(list_filter([case when t1 <> t0 then 'enters' end, case when t2 <> t1 then 'quotes' end, case when t3 <> t2 then 'loyalty-minus' end], lambda x: x is not null), ',') as rules
-from c where t0 is not null""")
-def i08_wording_rules(spark, d):
-    after, rules = text.normalize_wording(F.col("oracle_text"))
-    cards = table(spark, d, "cards").filter("oracle_text is not null")
-    return cards.select("card_no", F.sha2(after, 256).alias("text_hash"), F.array_join(rules, ",").alias("rules"))
-
-
 @query(r"""with base as (select distinct name from cards where name is not null),
 x as (select card_id, draft.name as name, regexp_replace(draft.name, ' (of|the) [^ ]+$', '') as stripped from custom_cards)
 select card_id, case when b.name is not null then x.stripped else x.name end as name from x left join base b on b.name = x.stripped""")
@@ -114,12 +98,6 @@ def i14_symbol_extractors(spark, d):
     return table(spark, d, "examples").filter("description is not null").select("row_id", every(r"(?:\{[0-9A-Z/]+\})+").alias("costs"), every("[0-9]+/[0-9]+").alias("stats"))
 
 
-@query("""select card_no, array_to_string(list_transform(card_faces, lambda f: replace(coalesce(f.oracle_text, ''), f.name, 'CARDNAME')), ' // ') as rules from cards where len(card_faces) > 0""")
-def i15_bind_face_names(spark, d):
-    bound = F.transform("card_faces", lambda f: F.replace(F.coalesce(f["oracle_text"], F.lit("")), f["name"], F.lit("CARDNAME")))
-    return table(spark, d, "cards").filter("size(card_faces) > 0").select("card_no", F.array_join(bound, " // ").alias("rules"))
-
-
 @query("""select card_no, sha256(case when len(card_faces) > 0 then array_to_string(list_transform(card_faces, lambda f: concat_ws(chr(10), f.name, f.mana_cost, f.type_line, f.oracle_text)), chr(10) || '//' || chr(10))
 else concat_ws(chr(10), name, mana_cost, type_line, oracle_text) end) as document from cards""")
 def i18_render_document(spark, d):
@@ -151,12 +129,6 @@ def _corruption_sql(k, p, r):
     return f"select card_no, '{k}' as kind, regexp_replace(oracle_text, '{p}', '{r.replace('$2', chr(92) + '1')}') as text, oracle_text from cards"
 
 
-@query("select card_no, kind, sha256(text) as text_hash from (" + " union all ".join(_corruption_sql(*c) for c in text.CORRUPTIONS) + ") where text <> oracle_text")
-def i22_corruptions(spark, d):
-    made = table(spark, d, "cards").select("card_no", F.explode(text.corruptions(F.col("oracle_text"))).alias("c"))
-    return made.select("card_no", "c.kind", F.sha2("c.text", 256).alias("text_hash"))
-
-
 @query("""select card_no, 'power_edit' as kind, cast(cast(power as bigint) + 1 as varchar) as value from cards where contains(type_line, 'Creature') and regexp_full_match(power, '[0-9]+')
 union all select card_no, 'loyalty_edit', cast(cast(loyalty as bigint) + 1 as varchar) from cards where contains(type_line, 'Planeswalker') and regexp_full_match(loyalty, '[0-9]+')
 union all select card_no, 'keyword_edit', 'Flying' || case when oracle_text <> '' then chr(10) || oracle_text else '' end from cards where contains(type_line, 'Creature') and not regexp_matches(coalesce(oracle_text, ''), '(?i)\\bflying\\b')""".replace("\\\\b", "\\b"))
@@ -181,40 +153,16 @@ def i24_token_windows(spark, d):
     return docs.select("doc_id", "n", F.explode(text.word_windows(F.col("n"))).alias("first_word")).select("doc_id", "first_word", F.least(F.col("n") - F.col("first_word"), F.lit(480)).alias("words"))
 
 
-@query(r"""select card_no, len(list_filter(card_faces, lambda f: contains(name, f.name))) as faces_named, len(card_faces) as faces from cards where len(card_faces) > 0""")
-def j01_faces_to_draft(spark, d):
-    named = F.filter("card_faces", lambda f: F.contains(F.col("name"), f["name"]))
-    return table(spark, d, "cards").filter("size(card_faces) > 0").select("card_no", F.size(named).cast("long").alias("faces_named"), F.size("card_faces").cast("long").alias("faces"))
-
-
 _STYLES = {"minimal": ["type_line"], "concept": ["type_line", "rarity"], "mechanics": ["oracle_text"], "shorthand": ["mana_cost", "type_line"], "complete": ["mana_cost", "oracle_text", "rarity", "type_line"]}
 _FIELDS = ["mana_cost", "oracle_text", "power", "rarity", "toughness", "type_line"]
 
 
-@query("""with p as (select card_no, unnest([{style: 'minimal', want: ['type_line']}, {style: 'concept', want: ['type_line', 'rarity']}, {style: 'mechanics', want: ['oracle_text']}, {style: 'shorthand', want: ['mana_cost', 'type_line']}, {style: 'complete', want: ['mana_cost', 'oracle_text', 'rarity', 'type_line']}]) as s,
-list_filter([case when mana_cost is not null then 'mana_cost' end, case when oracle_text is not null then 'oracle_text' end, case when power is not null then 'power' end, case when rarity is not null then 'rarity' end, case when toughness is not null then 'toughness' end, case when type_line is not null then 'type_line' end], lambda x: x is not null) as have from cards where oracle_id is not null)
-select card_no, s.style as style, array_to_string(list_filter(have, lambda x: list_contains(s.want, x)), ',') as specified, array_to_string(list_filter(have, lambda x: not list_contains(s.want, x)), ',') as proposed from p""")
-def j02_detail_levels(spark, d):
-    have = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in _FIELDS)))
-    levels = F.array(*(F.struct(F.lit(s).alias("style"), F.array(*map(F.lit, want)).alias("want")) for s, want in _STYLES.items()))
-    rows = table(spark, d, "cards").filter("oracle_id is not null").select("card_no", have.alias("have"), F.explode(levels).alias("s"))
-    return rows.select(
-        "card_no", "s.style", F.array_join(F.array_intersect("have", "s.want"), ",").alias("specified"), F.array_join(F.array_except("have", "s.want"), ",").alias("proposed")
-    )
-
-
 @query("""select row_id, array_to_string(list_filter([case when target.name is not null then 'name' end, case when target.rarity is not null then 'rarity' end, case when target.type_line is not null then 'type_line' end, case when target.oracle_text is not null then 'oracle_text' end, case when target.power is not null then 'power' end, case when target.toughness is not null then 'toughness' end, case when target.mana_cost is not null then 'mana_cost' end], lambda x: x is not null), ',') as paths from examples""")
 def j04_leaf_paths(spark, d):
     names = ["name", "rarity", "type_line", "oracle_text", "power", "toughness", "mana_cost"]
     return table(spark, d, "examples").select("row_id", F.array_join(F.array_compact(F.array(*(F.when(F.col(f"target.{n}").isNotNull(), F.lit(n)) for n in names))), ",").alias("paths"))
 
 
-@query(r"""with s as (select card_no, mana_cost, regexp_extract_all(mana_cost, '\{([^}]+)\}', 1) as sy from cards where mana_cost is not null)
-select card_no, cast(case when list_has_any(sy, ['X', 'Y', 'Z']) then 3 else coalesce(list_sum(list_transform(sy, lambda s: coalesce(try_cast(s as integer), 1))), 0) end as integer) as mana_value from s""")
-def j05_mana_value_default(spark, d):
-    return table(spark, d, "cards").filter("mana_cost is not null").select("card_no", text.mana_value(F.col("mana_cost")).cast("int").alias("mana_value"))
-
-
 @query("""select row_id, sha256('{' || concat_ws(',', '"type_line":' || to_json(target.type_line)::varchar, '"oracle_text":' || to_json(target.oracle_text)::varchar) || '}') as design from examples where target.type_line is not null""")
 def j07_allow_list_without_nulls(spark, d):
     design = F.to_json(F.struct("target.type_line", "target.oracle_text"))

@@ -94,7 +94,7 @@ def e09_alternating_halves(spark, d):
 
 @query("""select row_id, split, cast(floor((row_number() over (partition by split, style order by row_id) - 1) / 12) as bigint) as batch from examples""")
 def e10_batching(spark, d):
-    return windows.batches(table(spark, d, "examples"), ["split", "style"], [F.col("row_id")], 12).select("row_id", "split", "batch")
+    return windows.batches(table(spark, d, "examples"), ["split", "style"], "row_id", 12).select("row_id", "split", "batch")
 
 
 @query(f"""select candidate_id, arm, cast(floor((row_number() over (partition by arm order by sha256('["judge", ' || to_json(case_id)::varchar || ']'), candidate_id) - 1) / 9) as bigint) as batch from candidates where case_id is not null""")
@@ -155,9 +155,10 @@ def f07_hard_cases(spark, d):
 
 @query("""with r as (select row_id, style, row_number() over (partition by style order by row_id) as n, count(*) over (partition by style) as c from examples) select row_id, style from r where n <= c - c % 8""")
 def f09_multiple_of_8(spark, d):
-    w = Window.partitionBy("style")
-    rows = table(spark, d, "examples").select("row_id", "style", F.row_number().over(w.orderBy("row_id")).alias("n"), F.count(F.lit(1)).over(w).alias("c"))
-    return rows.filter("n <= c - c % 8").select("row_id", "style")
+    rows = table(spark, d, "examples").select("row_id", "style")
+    counts = rows.groupBy("style").agg(F.count(F.lit(1)).alias("c")).withColumnRenamed("style", "s")
+    placed = windows.range_ranks(rows, ["style"], "row_id", []).join(F.broadcast(counts), F.col("style").eqNullSafe(F.col("s")))  # a row a style
+    return placed.filter("place <= c - c % 8").select("row_id", "style")
 
 
 @query("""select doc_id, length(text) as n from documents where text is not null order by length(text), doc_id limit 64""")

@@ -45,9 +45,9 @@ def test_compatibility_key(spark):
 
 def test_self_reference_keeps_named_clauses_and_longer_words(spark):
     df = spark.createDataFrame([("Ann, Bold attacks. Annie stays. A card named Ann, Bold wins. Ann draws.", "Ann, Bold")], "t string, n string")
-    assert df.select(text.self_reference(F.col("t"), F.col("n"))).first()[0] == "CARDNAME attacks. Annie stays. A card named Ann, Bold wins. CARDNAME draws."
+    assert df.select(text.bind_names(F.col("t"), F.col("n"))).first()[0] == "CARDNAME attacks. Annie stays. A card named Ann, Bold wins. CARDNAME draws."
     empty = spark.createDataFrame([(None, "a"), ("x", None), ("x", "")], "t string, n string")
-    assert [r[0] for r in empty.select(text.self_reference(F.col("t"), F.col("n"))).collect()] == [None, "x", "x"]
+    assert [r[0] for r in empty.select(text.bind_names(F.col("t"), F.col("n"))).collect()] == [None, "x", "x"]
 
 
 def test_family_key_ignores_numbers_symbols_and_colours(spark):

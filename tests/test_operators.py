@@ -28,16 +28,6 @@ def test_overlay_patches_only_what_it_has(spark):
     assert got == {1: ("a", "x", False), 2: ("B", "y", True)}
 
 
-def test_compact_refuses_more_than_it_may_hold(spark):
-    with pytest.raises(ValueError):
-        selection.compact(spark.range(20), 10)
-
-
-def test_covering_pick():
-    rows = [("a", ["x"], "3"), ("b", ["x", "y"], "2"), ("c", ["z"], "1"), ("d", [], "0")]
-    assert selection.choose_covering(rows, 3) == ["b", "c", "d"]
-
-
 def test_replay_mix_takes_one_per_family(spark):
     rows = spark.createDataFrame([(i, f"f{i % 15}", i % 15 == 3) for i in range(30)], "id int, fam string, walker boolean")
     out = spark.createDataFrame([("f0",), ("f1",)], "fam string")
@@ -49,9 +39,9 @@ def test_sign_test_and_bootstrap(spark):
     df = spark.createDataFrame([(0, 4)], "g long, l long")
     assert df.select(statistics.sign_test(F.col("g"), F.col("l"))).first()[0] == 0.125
     paired = spark.createDataFrame([(0, 1), (0, 1), (1, -1), (1, -1)], "family int, d int")
-    r = statistics.family_bootstrap(paired, "family", F.col("d"), replicates=400, low=9, high=389).first()
+    r = statistics.class_bootstrap(paired, "family", F.col("d"), replicates=400, low=9, high=389).first()
     assert (r["families"], r["cases"], r["estimate"], r["lower"], r["upper"]) == (2, 4, 0.0, -100.0, 100.0)
-    assert statistics.family_bootstrap(paired.limit(0), "family", F.col("d"), replicates=10).first()["families"] == 0
+    assert statistics.class_bootstrap(paired.limit(0), "family", F.col("d"), replicates=10).first()["families"] == 0
 
 
 def test_nearest_ranks_do_not_interpolate(spark):
