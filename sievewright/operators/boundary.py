@@ -85,6 +85,29 @@ def line_process(command: list[str], timeout: float = 60.0) -> Callable[[], Call
     return make
 
 
+def blank_tokens() -> Callable[[list], list]:
+    """A maker of a tokenizer that loses nothing: runs of blanks and runs of other characters."""
+    import re
+
+    cut = re.compile(r"\s+|\S+")
+    return lambda texts: [cut.findall(t) for t in texts]
+
+
+def verified_tokens(df: DataFrame, key: str, value: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """(`key`, `tokens`, `exact`) of a batch tokenizer over texts: how many tokens, and whether they make up the text again."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = make()
+        for pdf in batches:
+            made = call(pdf[value].tolist())
+            if len(made) != len(pdf):
+                raise ValueError("the tokenizer gave another number of texts")
+            yield pd.DataFrame({key: pdf[key].to_numpy(), "tokens": [len(t) for t in made], "exact": ["".join(t) == x for t, x in zip(made, pdf[value])]})
+
+    return df.select(key, value).mapInPandas(run, f"{key} {kind}, tokens long, exact boolean")
+
+
 def cached(df: DataFrame, key: str, value: str, cache: DataFrame, make: Callable[[], Callable[[list], list]], pin: str) -> tuple[DataFrame, DataFrame]:
     """(results for every row, new cache rows): distinct contents are evaluated once and never twice under one pin.
 

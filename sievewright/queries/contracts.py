@@ -142,12 +142,6 @@ def i17_bind_every_leaf(spark, d):
     return table(spark, d, "examples").filter("target.name <> ''").select("row_id", bound(F.col("description")).alias("description"), bound(F.col("target.oracle_text")).alias("oracle_text"))
 
 
-@query("""select card_id, draft.name as name, upper(substr(draft.rarity, 1, 1)) as rarity_code, draft.set_code || '-' || cast(card_id as varchar) as code from custom_cards where draft.name is not null""")
-def j08_convert_export(spark, d):
-    code = F.concat("draft.set_code", F.lit("-"), F.col("card_id").cast("string"))
-    return table(spark, d, "custom_cards").filter("draft.name is not null").select("card_id", "draft.name", F.upper(F.substring("draft.rarity", 1, 1)).alias("rarity_code"), code.alias("code"))
-
-
 @query("""select sha256(case_id) as blind_id, raw from candidates where case_id is not null and raw is not null""")
 def j10_blinded_cases(spark, d):
     return table(spark, d, "candidates").filter("case_id is not null and raw is not null").select(F.sha2("case_id", 256).alias("blind_id"), "raw")
@@ -167,25 +161,12 @@ def j15_chat_validate(spark, d):
     return table(spark, d, "examples").select("row_id", contracts.roles_valid(chat).alias("valid"))
 
 
-@query("""select count(*) as prompts, count(distinct example_id) as ids, count_if(description is null or trim(description) = '') as blank from examples where split = 'test'""")
-def j21_prompt_table(spark, d):
-    rows = table(spark, d, "examples").filter("split = 'test'")
-    return rows.agg(F.count(F.lit(1)).alias("prompts"), F.countDistinct("example_id").alias("ids"), F.count_if(F.expr("description is null or trim(description) = ''")).alias("blank"))
-
-
 @query("""select w.wording_id as wording_id, substr(sha256('["pair", ' || to_json(w.oracle_id)::varchar || ', ' || to_json(w.oracle_text)::varchar || ']'), 1, 24) as pair_id from printed_wordings w where w.oracle_id is not null and w.oracle_text <> ''""")
 def j22_identity_pairs(spark, d):
     rows = table(spark, d, "printed_wordings").filter("oracle_id is not null and oracle_text <> ''")
     return rows.select("wording_id", F.substring(canon.digest_list(F.lit("pair"), F.col("oracle_id"), F.col("oracle_text")), 1, 24).alias("pair_id"))
 
 
-@query("""select case_id, count_if(hit_token_limit is not true) = 3 and count_if(hit_token_limit) = 1 as valid, count(*) as n from candidates where case_id is not null group by 1""")
-def k08_control_pattern(spark, d):
-    cut = F.coalesce("hit_token_limit", F.lit(False))
-    rows = table(spark, d, "candidates").filter("case_id is not null")
-    return rows.groupBy("case_id").agg(((F.count_if(~cut) == 3) & (F.count_if(cut) == 1)).alias("valid"), F.count(F.lit(1)).alias("n"))
-
-
 @query("""select row_id from examples where split in ('train', 'validation') and coalesce(origin, '') <> 'replay'""")
 def k21_never_the_test_split(spark, d):
     return table(spark, d, "examples").filter("split in ('train', 'validation') and coalesce(origin, '') <> 'replay'").select("row_id")

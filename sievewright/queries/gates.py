@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions import text
 from sievewright.operators import gates
 from sievewright.queries.registry import query
-from sievewright.queries.text import WORDS_SQL
 from sievewright.sources.tables import table
 
 
@@ -18,38 +16,6 @@ def k01_layout_routing(spark, d):
     return table(spark, d, "cards").select("card_no", route.alias("route"))
 
 
-def _codes(e):
-    return {
-        "missing_cost": (F.col("target.mana_cost") != "") & ~F.contains("description", F.col("target.mana_cost")),
-        "missing_stats": F.col("target.power").isNotNull() & ~F.contains(F.replace("description", F.lit(" ")), F.concat("target.power", F.lit("/"), "target.toughness")),
-        "leaked_cost": F.col("style").isin("minimal", "concept") & F.col("description").rlike(r"\{[^}]+\}"),
-        "length": (F.length("description") > 12000) | (F.trim("description") == ""),
-    }
-
-
-_CODES = r"""list_sort(list_filter([case when target.mana_cost <> '' and not contains(description, target.mana_cost) then 'missing_cost' end,
-case when target.power is not null and not contains(replace(description, ' ', ''), target.power || '/' || target.toughness) then 'missing_stats' end,
-case when style in ('minimal', 'concept') and regexp_matches(description, '\{[^}]+\}') then 'leaked_cost' end, case when length(description) > 12000 or trim(description) = '' then 'length' end], lambda x: x is not null))"""
-
-
-@query(f"select row_id, array_to_string({_CODES}, ',') as issues from examples where description is not null")
-def k02_issue_codes(spark, d):
-    rows = table(spark, d, "examples").filter("description is not null")
-    return rows.select("row_id", F.array_join(gates.issues(_codes(rows)), ",").alias("issues"))
-
-
-@query(f"""select row_id, contains(' ' || {WORDS_SQL.format('description')} || ' ', ' ' || {WORDS_SQL.format('target.name')} || ' ') as leaks from examples where description is not null and target.name is not null""")
-def k03_name_leak(spark, d):
-    rows = table(spark, d, "examples").filter("description is not null and target.name is not null")
-    return rows.select("row_id", text.holds_phrase(text.words(F.col("description")), text.words(F.col("target.name"))).alias("leaks"))
-
-
-@query(f"select route, count(*) as n from (select case when origin = 'replay' then 'blocked' when len({_CODES}) > 0 then 'quarantined' else 'accepted' end as route from examples where description is not null) group by 1")
-def k05_admission_gate(spark, d):
-    rows = table(spark, d, "examples").filter("description is not null")
-    return rows.groupBy(gates.route(gates.issues(_codes(rows)), F.col("origin") == "replay").alias("route")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""select row_id, 'no_description' as violation from examples where coalesce(description, '') = '' union all select row_id, 'no_split' from examples where split is null""")
 def k06_release_violations(spark, d):
     codes = gates.issues({"no_description": F.coalesce("description", F.lit("")) == "", "no_split": F.col("split").isNull()})

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import canon, text
 from sievewright.operators import gates, selection, statistics
-from sievewright.queries.gates import _CODES, _codes
 from sievewright.queries.registry import query
 from sievewright.queries.statistics import _paired_by_group
 from sievewright.queries.windows import GROUP, SHA
@@ -70,27 +69,6 @@ def h10_one_to_one_replay(spark, d):
     return first.select("f.h", "f.row_id").orderBy("h", "row_id").limit(192).select("row_id")
 
 
-@query(r"""with m as (select row_id, description as prompt, target.oracle_text as chosen, target.name as rejected from examples where split = 'train')
-select row_id, coalesce(prompt <> '' and chosen <> '' and rejected <> '' and chosen <> rejected and len(regexp_extract_all(prompt || ' ' || chosen, '[^\s]+', 0)) <= 160, false) as usable from m""")
-def j18_preference_rows(spark, d):
-    rows = table(spark, d, "examples").filter("split = 'train'").select("row_id", F.col("description").alias("p"), F.col("target.oracle_text").alias("c"), F.col("target.name").alias("r"))
-    size = F.size(F.regexp_extract_all(F.concat("p", F.lit(" "), "c"), F.lit(r"[^\s]+"), F.lit(0)))
-    return rows.select("row_id", F.coalesce((F.col("p") != "") & (F.col("c") != "") & (F.col("r") != "") & (F.col("c") != F.col("r")) & (size <= 160), F.lit(False)).alias("usable"))
-
-
-@query(f"select style, count(*) as n, count_if(len({_CODES}) = 0) as clean, cast(sum(len({_CODES})) as bigint) as issues from examples where description is not null group by 1")
-def k04_combined_checks(spark, d):
-    codes = gates.issues(_codes(None))
-    rows = table(spark, d, "examples").filter("description is not null").select("style", F.size(codes).alias("k"))
-    return rows.groupBy("style").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == 0).alias("clean"), F.sum("k").alias("issues"))
-
-
-@query("""select count(*) as cards, count_if(validation.parse_complete) as target_pass, count_if(draft.rarity is not null) as style_pass, count_if(validation.parse_complete and draft.rarity is not null) as admitted from custom_cards""")
-def k23_joint_admission(spark, d):
-    n = lambda e: F.count_if(F.expr(e))
-    return table(spark, d, "custom_cards").agg(F.count(F.lit(1)).alias("cards"), n("validation.parse_complete").alias("target_pass"), n("draft.rarity is not null").alias("style_pass"), n("validation.parse_complete and draft.rarity is not null").alias("admitted"))
-
-
 @query()
 def l02_several_metrics(spark, d):
     p = _paired_by_group(spark, d)

@@ -169,14 +169,6 @@ def j07_allow_list_without_nulls(spark, d):
     return table(spark, d, "examples").filter("target.type_line is not null").select("row_id", F.sha2(design, 256).alias("design"))
 
 
-@query("""select row_id, 'user' as role, description as content, 0 as pos from examples where description <> '' and target.name is not null union all select row_id, 'assistant', '{"name":' || to_json(target.name)::varchar || '}', 1 from examples where description <> '' and target.name is not null""")
-def j09_chat_messages(spark, d):
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    messages = F.array(message("user", F.col("description")), message("assistant", F.to_json(F.struct("target.name"))))
-    rows = table(spark, d, "examples").filter("description <> '' and target.name is not null")
-    return rows.select("row_id", F.posexplode(messages).alias("pos", "m")).select("row_id", "m.role", "m.content", "pos")
-
-
 @query("""select row_id, substr(sha256('["names-1", ' || to_json(example_id)::varchar || ', ' || to_json(target.name)::varchar || ']'), 1, 24) as new_id from examples where example_id is not null and target.name is not null""")
 def j11_enriched_identity(spark, d):
     rows = table(spark, d, "examples").filter("example_id is not null and target.name is not null")
@@ -190,11 +182,3 @@ def j12_literal_evidence(spark, d):
     rows = table(spark, d, "examples").select("row_id", "description", F.explode(claims).alias("c"))
     return rows.filter("c.value <> '' and contains(lower(description), lower(c.value))").select("row_id", "c.field", "c.value")
 
-
-@query(r"""with w as (select row_id, len(regexp_extract_all(description, '[^\s]+', 0)) as p, len(regexp_extract_all(target.oracle_text, '[^\s]+', 0)) as c from examples where description is not null and target.oracle_text is not null)
-select row_id, repeat('0', p) || repeat('1', c) as mask, p + c <= 120 as fits from w""")
-def j16_completion_mask(spark, d):
-    n = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"[^\s]+"), F.lit(0)))
-    rows = table(spark, d, "examples").filter("description is not null and target.oracle_text is not null").select("row_id", n("description").alias("p"), n("target.oracle_text").alias("c"))
-    mask = F.array_join(F.concat(F.array_repeat(F.lit("0"), F.col("p")), F.array_repeat(F.lit("1"), F.col("c"))), "")
-    return rows.select("row_id", mask.alias("mask"), (F.col("p") + F.col("c") <= 120).alias("fits"))
