@@ -20,11 +20,6 @@ def d04_breakdowns(spark, d):
     return table(spark, d, "cards").groupingSets([[F.col("rarity")], [F.col("layout")], [F.col("rarity"), F.col("layout")]], F.col("rarity"), F.col("layout")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(" union all ".join(f"select '{c}' as dimension, cast({c} as varchar) as value, count(*) as n from examples group by 2" for c in ("style", "origin", "split")))
-def d05_coverage_histogram(spark, d):
-    return aggregates.histograms(table(spark, d, "examples"), ["style", "origin", "split"])
-
-
 _FEATURES = "with f as (select card_no, oracle_id, unnest(list_filter([" + ", ".join(f"case when regexp_matches(oracle_text, '{p.replace(chr(39), chr(39) * 2)}') then 'pattern:{k}' end" for k, p in text.FEATURE_PATTERNS.items()) + "], lambda x: x is not null)) as feature from cards)"
 
 
@@ -78,29 +73,11 @@ def d13_map_sum(spark, d):
     return aggregates.map_sums(rows, ["event_type"], "m")
 
 
-@query("""select event_id, user_id, round(value - lag(value, 1, 0.0) over (partition by user_id order by ts, event_id), 6) as delta from events""")
-def d14_usage_delta(spark, d):
-    before = F.lag("value", 1, 0.0).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", "user_id", F.round(F.col("value") - before, 6).alias("delta"))
-
-
-@query("""with s as (select arm, output_tokens as v, row_number() over (partition by arm order by output_tokens) - 1 as i, count(*) over (partition by arm) as n from candidates where output_tokens is not null)
-select arm, min(case when i = floor((n - 1) * 0.5) then v end) as p50, min(case when i = floor((n - 1) * 0.95) then v end) as p95, min(case when i = floor((n - 1) * 0.99) then v end) as p99, max(v) as p100, max(n) as n from s group by 1""")
-def d15_nearest_rank_percentiles(spark, d):
-    return aggregates.nearest_ranks(table(spark, d, "candidates"), ["arm"], "output_tokens", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0})
-
-
 @query("""select split, count(distinct source_group_id) as groups, count(distinct source.oracle_id) as cards, count(distinct example_id) as examples from examples group by 1""")
 def d16_distinct_cardinality(spark, d):
     return table(spark, d, "examples").groupBy("split").agg(F.countDistinct("source_group_id").alias("groups"), F.countDistinct("source.oracle_id").alias("cards"), F.countDistinct("example_id").alias("examples"))
 
 
-@query("""select coalesce(cast(validation.parse_complete as varchar), 'unknown') as state, count(*) as n, count_if(author is null) as anonymous from custom_cards group by 1""")
-def d17_state_progress(spark, d):
-    state = F.coalesce(F.col("validation.parse_complete").cast("string"), F.lit("unknown"))
-    return table(spark, d, "custom_cards").groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("author is null")).alias("anonymous"))
-
-
 @query("""select case_id, count(*) as errors from candidates where hit_token_limit or raw is null or raw = '' group by 1""")
 def d19_errors_per_case(spark, d):
     return table(spark, d, "candidates").filter("hit_token_limit or raw is null or raw = ''").groupBy("case_id").agg(F.count(F.lit(1)).alias("errors"))

@@ -38,26 +38,6 @@ def a17_complete_predictions(spark, d):
     return table(spark, d, "candidates").filter("arm is not null").groupBy("arm").agg(n.alias("receipts"), m.alias("cases"), (n == m).alias("complete"))
 
 
-@query("""select row_id, shape from examples, (select unnest(['records', 'messages', 'sft']) as shape) where split is not null and description <> ''""")
-def b04_three_formats(spark, d):
-    rows = table(spark, d, "examples").filter("split is not null and description <> ''")
-    return rows.select("row_id", F.explode(F.array(*map(F.lit, ["records", "messages", "sft"]))).alias("shape"))
-
-
-@query(f"""select row_id, case when split = 'test' and ('0x' || substr({SHA.format('example_id')}, 1, 8))::bigint % 2 = 0 then 'reserve' when split is null then 'unrouted' else split end as sink from examples where example_id is not null""")
-def b05_reserve_route(spark, d):
-    held = (F.col("split") == "test") & (canon.hash_bucket(canon.digest_string("example_id"), 2) == 0)
-    sink = F.when(held, "reserve").when(F.col("split").isNull(), "unrouted").otherwise(F.col("split"))
-    return table(spark, d, "examples").filter("example_id is not null").select("row_id", sink.alias("sink"))
-
-
-@query("""select coalesce(a.i, b.i) as i, a.i is not null and b.i is not null as both, a.name is not distinct from b.name as equal from (select card_no as i, name from cards) a full join (select card_id as i, draft.name as name from custom_cards where card_id % 5 <> 0) b on a.i = b.i""")
-def c22_zip_by_index(spark, d):
-    a = table(spark, d, "cards").select(F.col("card_no").alias("i"), "name")
-    b = table(spark, d, "custom_cards").filter("card_id % 5 <> 0").select(F.col("card_id").alias("i"), F.col("draft.name").alias("other"))
-    return contracts.zip_by_index(a, b, "i").select("i", "both", F.col("name").eqNullSafe(F.col("other")).alias("equal"))
-
-
 @query("""with a as (select distinct example_id as k from examples where split = 'validation' and example_id is not null), n as (select case_id as k, count(*) as n from candidates where arm = 'sft' and case_id is not null group by 1)
 select coalesce(a.k, n.k) as case_id, case when n.k is null then 'missing' when a.k is null then 'unknown' else 'repeated' end as state from a full join n on a.k = n.k where a.k is null or n.k is null or n.n > 1""")
 def c26_align_replies(spark, d):
@@ -65,27 +45,6 @@ def c26_align_replies(spark, d):
     return contracts.align_replies(asked, table(spark, d, "candidates").filter("arm = 'sft' and case_id is not null"), "case_id")
 
 
-@query("""with a as (select set_code, count(*) as n, min(lang) as lang from printed_wordings where set_code is not null group by 1), b as (select set_code, count(*) as n, min(lang) as lang from printed_wordings where set_code is not null and wording_id % 97 <> 0 group by 1)
-select a.set_code as set_code, a.n is not distinct from b.n and a.lang is not distinct from b.lang as same from a join b on a.set_code = b.set_code""")
-def c30_reuse_only_if_identical(spark, d):
-    rows = table(spark, d, "printed_wordings").filter("set_code is not null")
-    per = lambda df: df.groupBy("set_code").agg(F.count(F.lit(1)).alias("n"), F.min("lang").alias("lang"))
-    return contracts.same_identity(per(rows), per(rows.filter("wording_id % 97 <> 0")), "set_code", ["n", "lang"])
-
-
-@query("""select origin, count(*) as n, count_if(split is null) as unassigned, count_if(description is null or description = '') as blank, count(distinct style) as styles from examples group by 1""")
-def d18_recovery_progress(spark, d):
-    return table(spark, d, "examples").groupBy("origin").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.expr("split is null")).alias("unassigned"), F.count_if(F.expr("description is null or description = ''")).alias("blank"), F.countDistinct("style").alias("styles")
-    )
-
-
-@query("""with x as (select unnest(colors) as feature from cards union all select rarity from cards) select feature, count(*) as n from x where feature is not null group by 1""")
-def d27_pilot_coverage(spark, d):
-    both = F.concat(F.coalesce("colors", F.array().cast("array<string>")), F.array("rarity"))
-    return table(spark, d, "cards").select(F.explode(both).alias("feature")).filter("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""select row_id, row_number() over (partition by split, style order by {SHA.format('example_id')}, row_id) as place from examples where example_id is not null""")
 def f01_hash_shuffle(spark, d):
     rows = table(spark, d, "examples").filter("example_id is not null").select("row_id", "split", "style", canon.digest_string("example_id").alias("h"))
@@ -172,13 +131,6 @@ def k21_never_the_test_split(spark, d):
     return table(spark, d, "examples").filter("split in ('train', 'validation') and coalesce(origin, '') <> 'replay'").select("row_id")
 
 
-@query("""select candidate_id, coalesce(p.raw, c.raw) as raw_kept, p.candidate_id is not null as adopted from candidates c left join (select candidate_id, raw from candidates where raw <> '' and candidate_id % 4 = 0) p using (candidate_id)""".replace("select candidate_id, coalesce", "select c.candidate_id as candidate_id, coalesce").replace("using (candidate_id)", "on p.candidate_id = c.candidate_id"))
-def m07_adopt_prior(spark, d):
-    rows = table(spark, d, "candidates").select("candidate_id", "raw")
-    prior = rows.filter("raw <> '' and candidate_id % 4 = 0").select("candidate_id", F.col("raw").alias("prior"), F.lit(True).alias("has"))
-    return rows.join(prior, "candidate_id", "left").select("candidate_id", F.coalesce("prior", "raw").alias("raw_kept"), F.coalesce("has", F.lit(False)).alias("adopted"))
-
-
 @query("""select o_orderkey, least(greatest(ceil(o_totalprice / 10), 1800), 12600) as seconds, o_totalprice + 2 * o_totalprice / 8 >= 200000 as exhausted from orders""")
 def m15_clamped_limits(spark, d):
     seconds = F.least(F.greatest(F.ceil(F.col("o_totalprice") / 10).cast("double"), F.lit(1800.0)), F.lit(12600.0))

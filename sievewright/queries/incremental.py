@@ -19,12 +19,6 @@ def m02_incremental_refresh(spark, d):
     return table(spark, d, "candidates").filter("case_id is not null").join(seen, "case_id", "left_anti").select("candidate_id", "arm")
 
 
-@query("""select event_id, user_id from (select *, row_number() over (partition by user_id, event_type, date_trunc('hour', ts) order by ts, event_id) as n from events) where n = 1""")
-def m05_append_once(spark, d):
-    hour = F.date_trunc("hour", "ts")
-    return table(spark, d, "events").groupBy("user_id", "event_type", hour.alias("h")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("event_id", "user_id")
-
-
 @query("""with g as (select distinct case_id from candidates where case_id is not null), s as (select case_id, row_number() over (partition by case_id order by candidate_id) - 1 as slot from candidates where case_id is not null)
 select g.case_id as case_id, cast(k as integer) as slot from g, (select unnest(range(4)) as k) where not exists (select 1 from s where s.case_id = g.case_id and s.slot = k)""")
 def m06_resume_grid(spark, d):
@@ -33,24 +27,11 @@ def m06_resume_grid(spark, d):
     return incremental.missing_slots(rows, done, "case_id", 4)
 
 
-@query("""select candidate_id, sha256('pin-1' || chr(10) || raw) as cache_key, row_number() over (partition by sha256(raw) order by candidate_id) > 1 as hit from candidates where raw <> ''""")
-def m09_content_cache(spark, d):
-    rows = table(spark, d, "candidates").filter("raw <> ''").select("candidate_id", F.sha2(F.concat(F.lit("pin-1\n"), F.col("raw")), 256).alias("cache_key"))
-    first = rows.groupBy("cache_key").agg(F.min("candidate_id").alias("first"))
-    return rows.join(first, "cache_key").select("candidate_id", "cache_key", (F.col("candidate_id") > F.col("first")).alias("hit"))
-
-
 @query("""with r as (select event_id, user_id, round(sum(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), 6) as reserved from events) select event_id, reserved, reserved > 5 as over_limit from r""")
 def m10_budget_ledger(spark, d):
     return incremental.running_budget(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", 5).select("event_id", "reserved", "over_limit")
 
 
-@query("""select o_orderkey, least(o_totalprice, (ceil(o_totalprice / 1000) + 2) * 900) as settled from orders""")
-def m13_settlement_bound(spark, d):
-    price = incremental.settled(F.col("o_totalprice") / 1000, F.lit(900.0), F.col("o_totalprice"))
-    return table(spark, d, "orders").select("o_orderkey", price.alias("settled"))
-
-
 @query("""select time_bucket(interval '1 hour', ts) as hour, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2""")
 def m_tumbling_hours(spark, d):
     rows = table(spark, d, "events")
@@ -63,11 +44,6 @@ def b06_split_map(spark, d):
     return sinks.key_map(table(spark, d, "examples").filter("split is not null"), "example_id", "split")
 
 
-@query("""select split, style, count(*) as rows from examples group by 1, 2""")
-def b07_manifest_counts(spark, d):
-    return sinks.manifest(table(spark, d, "examples").select("row_id", "split", "style"), ["split", "style"]).drop("digest")
-
-
 @query(f"""with k as (select row_id, {KEY_SQL.format('description')} as key, example_id, split, target.rarity as rarity from examples where description <> '' and split is not null),
 r as (select *, row_number() over (partition by key order by case split when 'test' then 0 when 'validation' then 1 else 2 end, example_id nulls first, row_id) as n from k)
 select split, coalesce(rarity, 'none') as rarity, count(*) as rows, count_if(('0x' || substr(sha256(to_json(example_id)::varchar), 1, 8))::bigint % 5 = 0) as variants from r where n = 1 group by 1, 2""")

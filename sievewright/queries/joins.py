@@ -133,14 +133,6 @@ def c16_regex_theta_join(spark, d):
     return joins.theta_rules(table(spark, d, "cards"), _RULES, F.col("oracle_text"), F.col("oracle_text")).select("card_no", "rule")
 
 
-@query("""with k as (select lower(name) as key, min(card_no) as card_no from cards where name is not null group by 1)
-select card_id, coalesce(k.card_no, -1) as evidence from custom_cards c left join k on k.key = lower(c.draft.name)""")
-def c17_overlap_with_evidence(spark, d):
-    known = table(spark, d, "cards").filter("name is not null").groupBy(F.lower("name").alias("key")).agg(F.min("card_no").alias("evidence"))
-    rows = table(spark, d, "custom_cards").select("card_id", F.lower("draft.name").alias("key"))
-    return rows.join(known, "key", "left").select("card_id", F.coalesce("evidence", F.lit(-1).cast("long")).alias("evidence"))
-
-
 @query(r"""select doc_id, len(regexp_extract_all(text, '[^\s]+', 0)) as words from documents where text is not null""")
 def c18_distinct_eval_fanout(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -158,21 +150,6 @@ def c19_reused_and_pending(spark, d):
     return both.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select coalesce(a.doc_id, b.doc_id) as doc_id, case when a.doc_id is null then 'added' when b.doc_id is null then 'removed' else 'changed' end as change
-from (select doc_id, lang, source from documents where doc_id % 7 <> 0) a full join (select doc_id, lower(trim(lang)) as lang, source from documents where doc_id % 11 <> 0) b on a.doc_id = b.doc_id
-where a.doc_id is null or b.doc_id is null or a.lang is distinct from b.lang or a.source is distinct from b.source""")
-def c24_before_and_after(spark, d):
-    docs = table(spark, d, "documents")
-    after = docs.filter("doc_id % 11 <> 0").withColumn("lang", F.lower(F.trim("lang")))
-    return joins.changed_rows(docs.filter("doc_id % 7 <> 0"), after, "doc_id", ["lang", "source"])
-
-
-@query("""select row_id, regexp_replace(trim(source_group_id), '\\s+', '') as fixed from examples where lower(trim(source_group_id)) is distinct from source_group_id""".replace("regexp_replace(trim(source_group_id), '\\s+', '')", "lower(trim(source_group_id))"))
-def c25_recompute_and_keep_changed(spark, d):
-    rows = table(spark, d, "examples").select("row_id", "source_group_id", F.lower(F.trim("source_group_id")).alias("fixed"))
-    return rows.filter(~F.col("source_group_id").eqNullSafe(F.col("fixed"))).select("row_id", "fixed")
-
-
 @query("""with l as (select row_id, 'case-' || cast(row_number() over (partition by style order by sha256(to_json(example_id)::varchar), row_id) as varchar) as label, style from examples where example_id is not null)
 select row_id, style, label from l""")
 def c28_opaque_labels(spark, d):
@@ -181,13 +158,6 @@ def c28_opaque_labels(spark, d):
     return ranked.select("row_id", "style", F.concat(F.lit("case-"), F.col("place").cast("string")).alias("label"))
 
 
-@query("""select distinct lower(x) as name from (select name as x from cards union all select f.name from (select unnest(card_faces) as f from cards)) where x is not null""")
-def c29_name_index(spark, d):
-    cards = table(spark, d, "cards")
-    faces = cards.select(F.explode("card_faces").alias("f")).select("f.name")
-    return cards.select("name").unionByName(faces).filter("name is not null").select(F.lower("name").alias("name")).distinct()
-
-
 @query("""select example_id, count(*) as n, count(distinct sha256(coalesce(description, ''))) as contents from examples where example_id is not null group by 1 having count(*) > 1""")
 def g01_merge_conflicts(spark, d):
     rows = table(spark, d, "examples").filter("example_id is not null")
@@ -208,14 +178,6 @@ def g04_cross_split_leak(spark, d):
     return per.filter("splits > 1")
 
 
-@query("""select set_code, 'only printed' as side from (select distinct set_code from printed_wordings where set_code is not null except select set_code from card_sets)
-union all select set_code, 'only listed' from (select set_code from card_sets except select set_code from printed_wordings)""")
-def g05_set_equality(spark, d):
-    printed = table(spark, d, "printed_wordings").select("set_code").filter("set_code is not null").distinct()
-    listed = table(spark, d, "card_sets").select("set_code")
-    return printed.subtract(listed).withColumn("side", F.lit("only printed")).unionByName(listed.subtract(printed).withColumn("side", F.lit("only listed")))
-
-
 @query("""select r.split as split, r.style as style from (select s.split, t.style from (select distinct split from examples where split is not null) s, (select distinct style from examples where style is not null) t) r
 left join (select distinct split, style from examples where description <> '' and target.loyalty is null) x on x.split = r.split and x.style = r.style where x.split is null""".replace(" and target.loyalty is null", " and origin = 'replay'"))
 def g06_required_coverage(spark, d):
@@ -233,27 +195,6 @@ def g07_union_last_wins(spark, d):
     return pools.groupBy("row_id").agg(F.max_by("pool", "rank").alias("pool"))
 
 
-@query("""select sha256(description) as prompt, count(distinct target.name) as targets from examples where description <> '' group by 1 having count(distinct target.name) > 1""")
-def g08_ambiguous_prompts(spark, d):
-    rows = table(spark, d, "examples").filter("description <> ''")
-    return rows.groupBy(F.sha2("description", 256).alias("prompt")).agg(F.countDistinct("target.name").alias("targets")).filter("targets > 1")
-
-
-@query("""select distinct e.target.rarity as rarity, e.style as style from examples e where e.split = 'test' and e.target.rarity is not null and not exists (select 1 from examples t where t.split = 'train' and t.origin = 'repair' and t.target.rarity = e.target.rarity and t.style = e.style)""")
-def g09_missing_features(spark, d):
-    rows = table(spark, d, "examples").select("split", "origin", "style", "target.rarity").filter("rarity is not null")
-    return rows.filter("split = 'test'").select("rarity", "style").distinct().join(rows.filter("split = 'train' and origin = 'repair'"), ["rarity", "style"], "left_anti")
-
-
-@query("""with s as (select distinct case_id, arm from candidates where arm is not null), g as (select c.case_id, a.arm from (select distinct case_id from s) c, (select distinct arm from s) a)
-select arm, count(*) as lacking from (select * from g except select case_id, arm from s) group by 1""")
-def g10_schedule_grid(spark, d):
-    done = table(spark, d, "candidates").select("case_id", "arm").filter("arm is not null").distinct()
-    arms = done.select("arm").distinct()
-    cases = done.select("case_id").distinct()
-    return arms.crossJoin(cases).select("case_id", "arm").subtract(done).groupBy("arm").agg(F.count(F.lit(1)).alias("lacking"))
-
-
 @query("""with t as (select count(distinct case_id) as all_cases from candidates) select arm, count(distinct case_id) as cases, count(distinct case_id) = max(all_cases) as complete, count(distinct max_tokens) = 1 as one_setting from candidates, t where arm is not null group by 1""")
 def g11_arms_cover_cases(spark, d):
     rows = table(spark, d, "candidates")
@@ -261,12 +202,3 @@ def g11_arms_cover_cases(spark, d):
     per = rows.filter("arm is not null").groupBy("arm").agg(F.countDistinct("case_id").alias("cases"), F.countDistinct("max_tokens").alias("settings"))
     return per.crossJoin(total).select("arm", "cases", (F.col("cases") == F.col("all_cases")).alias("complete"), (F.col("settings") == 1).alias("one_setting"))
 
-
-@query("""select l_returnflag as flag, count(*) as n, round(sum(l_quantity), 2) as total, true as agrees from lineitem group by 1""")
-def g12_recomputed_totals(spark, d):
-    rows = table(spark, d, "lineitem")
-    published = rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"))
-    fine = rows.groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("total"))
-    again = fine.groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum("n").alias("n2"), F.round(F.sum("total"), 2).alias("total2"))
-    same = F.col("n").eqNullSafe(F.col("n2")) & F.col("total").eqNullSafe(F.col("total2"))
-    return published.join(again, F.col("l_returnflag") == F.col("flag")).select("flag", "n", "total", same.alias("agrees"))

@@ -12,13 +12,6 @@ from sievewright.queries.windows import GROUP, SHA
 from sievewright.sources.tables import table
 
 
-@query("""select card_no, name is not distinct from n2 and type_line is not distinct from t2 as equal from (select card_no, name, type_line from cards) a join (select card_no as i, trim(name) as n2, type_line as t2 from cards) b on a.card_no = b.i""")
-def c23_zip_content_equality(spark, d):
-    a = table(spark, d, "cards").select("card_no", "name", "type_line")
-    b = table(spark, d, "cards").select("card_no", F.trim("name").alias("n2"), F.col("type_line").alias("t2"))
-    return a.join(b, "card_no").select("card_no", (F.col("name").eqNullSafe(F.col("n2")) & F.col("type_line").eqNullSafe(F.col("t2"))).alias("equal"))
-
-
 @query("""select coalesce(max_tokens, -1) as condition, count(*) as n, count_if(hit_token_limit) as limited, round(count_if(hit_token_limit) / count(*), 6) as share from candidates group by 1""")
 def d25_rescore_by_condition(spark, d):
     return table(spark, d, "candidates").groupBy(F.coalesce("max_tokens", F.lit(-1)).alias("condition")).agg(
@@ -61,14 +54,6 @@ def h04_release_panel(spark, d):
     return rows.select("row_id").join(F.broadcast(panel), "row_id", "left").select("row_id", F.coalesce("sink", F.lit("reserve")).alias("sink"))
 
 
-@query(f"""with f as (select family_id, min_by(row_id, row(h, row_id)) as row_id, min(h) as h from (select family_id, row_id, {SHA.format('example_id')} as h from examples where family_id is not null and example_id is not null and origin in ('official', 'custom')) group by 1)
-select row_id from f order by h, row_id limit 192""".replace("min_by(row_id, row(h, row_id))", "arg_min(row_id, row(h, row_id))"))
-def h10_one_to_one_replay(spark, d):
-    rows = table(spark, d, "examples").filter("family_id is not null and example_id is not null and origin in ('official', 'custom')").select("family_id", "row_id", canon.digest_string("example_id").alias("h"))
-    first = rows.groupBy("family_id").agg(F.min(F.struct("h", "row_id")).alias("f"))
-    return first.select("f.h", "f.row_id").orderBy("h", "row_id").limit(192).select("row_id")
-
-
 @query()
 def l02_several_metrics(spark, d):
     p = _paired_by_group(spark, d)
@@ -87,12 +72,6 @@ def l04_wide_interval(spark, d):
     return statistics.class_bootstrap(_paired_by_group(spark, d), "family", F.col("after") - F.col("before"), seed=1709)
 
 
-@query("""select l_orderkey, round(sum(l_quantity) / nullif(count(*), 0), 6) as per_line, sum(l_quantity) < 100 and count(*) < 5 as look_ahead from lineitem group by 1""")
-def m11_look_ahead(spark, d):
-    q, n = F.sum("l_quantity"), F.count(F.lit(1))
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.round(q / n, 6).alias("per_line"), ((q < 100) & (n < 5)).alias("look_ahead"))
-
-
 @query("""select sha256(description) as input_hash, min(row_id) as first_row, count(*) as calls_saved from examples where description <> '' group by 1 having count(*) > 1""")
 def m16_content_addressed_calls(spark, d):
     rows = table(spark, d, "examples").filter("description <> ''").groupBy(F.sha2("description", 256).alias("input_hash"))

@@ -116,14 +116,6 @@ def h11_stable_augment(spark, d):
     return rows.filter("n % 5 = 0").selectExpr("row_id", "(n div 5) % 8 as payload")
 
 
-@query("""with h as (select row_id, ('0x' || substr(sha256(to_json(example_id)::varchar), 1, 8))::bigint as n from examples where example_id is not null)
-select row_id, ['Amber', 'Birch', 'Cinder', 'Dawn'][n % 4 + 1] || ' ' || ['Path', 'Gate', 'Watch', 'Hold'][(n // 16) % 4 + 1] as name from h where n % 4 = 0""")
-def h12_composed_variation(spark, d):
-    n = canon.hash_number(canon.digest_string("example_id"))
-    rows = table(spark, d, "examples").filter("example_id is not null").select("row_id", n.alias("n")).filter("n % 4 = 0")
-    return rows.selectExpr("row_id", "array('Amber', 'Birch', 'Cinder', 'Dawn')[int(n % 4)] || ' ' || array('Path', 'Gate', 'Watch', 'Hold')[int((n div 16) % 4)] as name")
-
-
 _PAIR = "with r as (select case_id, candidate_id as id, -coalesce(output_tokens, 0) as score, not coalesce(hit_token_limit, true) and raw <> '' as good, coalesce(hit_token_limit, false) as bad, sha256(coalesce(raw, '')) as content from candidates where case_id is not null), dis as (select case_id from r group by case_id, content having bool_or(good) and bool_or(bad)), k as (select * from r where case_id not in (select case_id from dis))"
 
 
@@ -153,9 +145,3 @@ def h19_merged_pairs(spark, d):
     n = one.count()
     return one.orderBy("h", "row_id").limit(min(n - n % 8, 400)).select("row_id")
 
-
-@query("""select c.card_id, coalesce(upper(c.draft.rarity), 'NONE') as rarity from custom_cards c where c.card_id % 10 <> 0""")
-def h20_refine(spark, d):
-    dropped = table(spark, d, "custom_cards").filter("card_id % 10 = 0").select("card_id")
-    rows = table(spark, d, "custom_cards").select("card_id", F.coalesce(F.upper("draft.rarity"), F.lit("NONE")).alias("rarity"))
-    return rows.join(dropped, "card_id", "left_anti")
