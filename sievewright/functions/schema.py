@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = {"object": dict, "array": list, "string": str}
-KNOWN = {"type", "required", "enum", "additionalProperties", "properties", "items", "minItems", "uniqueItems", "$ref", "$defs", "$schema", "title"}
+KINDS = {"object": dict, "array": list, "string": str, "null": type(None), "boolean": bool, "integer": int, "number": (int, float)}
+KNOWN = {"type", "anyOf", "required", "enum", "additionalProperties", "properties", "items", "minItems", "uniqueItems", "$ref", "$defs", "$schema", "title"}
 
 _TEXT, _TEXTS = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
 _FIELDS = {
@@ -40,10 +40,10 @@ def validator(schema: dict) -> Callable[[object], list[str]]:
     def refuse(s: dict) -> None:
         if unknown := s.keys() - KNOWN:
             raise ValueError(f"unknown keywords {sorted(unknown)}")
-        for sub in [*s.get("properties", {}).values(), *s.get("$defs", {}).values(), *([s["items"]] if "items" in s else [])]:
+        for sub in [*s.get("anyOf", []), *s.get("properties", {}).values(), *s.get("$defs", {}).values(), *([s["items"]] if "items" in s else [])]:
             refuse(sub)
         if "type" in s and s["type"] not in KINDS or s.get("additionalProperties", False) is not False:
-            raise ValueError("only object, array and string, and no schema of further properties")
+            raise ValueError("only the plain kinds, and no schema of further properties")
 
     def resolve(s: dict) -> dict:
         while "$ref" in s:
@@ -55,8 +55,10 @@ def validator(schema: dict) -> Callable[[object], list[str]]:
 
     def errors(v, s: dict, path: str) -> Iterator[str]:
         s = resolve(s)
-        if "type" in s and not isinstance(v, KINDS[s["type"]]):
+        if "type" in s and (not isinstance(v, KINDS[s["type"]]) or (isinstance(v, bool) and s["type"] in ("integer", "number"))):
             yield f"{path}:type"
+        if "anyOf" in s and all(any(True for _ in errors(v, sub, path)) for sub in s["anyOf"]):
+            yield f"{path}:anyOf"
         if "enum" in s and _same(v) not in map(_same, s["enum"]):
             yield f"{path}:enum"
         if isinstance(v, dict):
@@ -78,6 +80,12 @@ def validator(schema: dict) -> Callable[[object], list[str]]:
     return lambda v: sorted(errors(v, schema, ""))
 
 
+def keyed_schema(key: str, labels: list[str], value: dict) -> dict:
+    """The schema of a reply that has under `key` one `value` for each label and no other, or null."""
+    entries = {"type": "object", "additionalProperties": False, "required": list(labels), "properties": {label: value for label in labels}}
+    return {"type": "object", "additionalProperties": False, "required": [key], "properties": {key: {"anyOf": [{"type": "null"}, entries]}}}
+
+
 def check_json(df: DataFrame, key: str, value: str, schema: dict = DRAFT, fields: tuple[str, ...] = ()) -> DataFrame:
     """(`key`, `is_json`, `is_object`, `schema_valid`, `schema_errors`) and the text `fields` of every row whose `value` is not null.
 

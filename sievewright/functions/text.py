@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, digits and signs that count in a description key (portable class: the same in Java and RE2).
 KEY_CHARS = r"\p{L}\p{N}_{}/*+\-"
@@ -272,3 +274,36 @@ def word_windows(n: Column, width: int = 480, stride: int = 448) -> Column:
     """First places of overlapping windows over `n` tokens; the last one reaches the end. No token, no window."""
     count = F.greatest(F.ceil((n - width) / stride) + 1, F.lit(1))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1), lambda i: i * stride))
+
+
+#: Parts of composed names, sixteen of each.
+PARTS = [
+    "Amber Birch Cinder Dawn Ember Fallow Gale Harrow Iron Juniper Kestrel Linden Marrow Nettle Onyx Plover".split(),
+    "Ash Brook Crag Dell Elm Fen Glen Heath Isle Knoll Lea Moor Nook Peak Ridge Shore".split(),
+    "Archer Brewer Carver Drover Envoy Forger Gleaner Herald Joiner Keeper Lancer Miller Notary Painter Reaper Scribe".split(),
+]
+
+
+def composed_name(number: Column) -> Column:
+    """A name of three parts, each chosen by four bits of a number."""
+    part = lambda i, words: F.element_at(F.array(*map(F.lit, words)), (F.floor(number / 16**i) % 16 + 1).cast("int"))
+    return F.concat_ws(" ", *(part(i, p) for i, p in enumerate(PARTS)))
+
+
+def map_strings(value: Column, kind: T.DataType, f: Callable[[Column], Column]) -> Column:
+    """A nested value with `f` applied to every string in it; nulls stay null."""
+    if isinstance(kind, T.StringType):
+        return f(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: map_strings(x, kind.elementType, f))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(map_strings(value[c.name], c.dataType, f).alias(c.name) for c in kind.fields)))
+    return value
+
+
+def pooled(vectors: Column, dimensions: int) -> Column:
+    """The mean of an array of vectors, brought to length 1; no vectors, or a mean of zero, give null."""
+    mean = lambda k: F.aggregate(vectors, F.lit(0.0), lambda s, v: s + F.get(v, F.lit(k))) / F.size(vectors)
+    means = F.array(*(mean(k) for k in range(dimensions)))
+    scaled = lambda m: F.transform(m, lambda x: x / F.nullif(F.sqrt(F.aggregate(m, F.lit(0.0), lambda s, y: s + y * y)), F.lit(0.0)))
+    return F.when(F.size(vectors) > 0, F.transform(F.array(means), scaled)[0])

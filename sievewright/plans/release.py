@@ -22,9 +22,28 @@ def deduplicated(df: DataFrame) -> DataFrame:
     return best.select("key", "r.*")
 
 
+def named(df: DataFrame) -> DataFrame:
+    """A composed name in place of the own one for a quarter of the rows, by the hash of their identifier."""
+    n = canon.hash_number(canon.digest_string("example_id"))
+    return df.withColumn("name", F.when(n % 4 == 0, text.composed_name(n)).otherwise(F.col("target.name")))
+
+
+def validated(df: DataFrame) -> DataFrame:
+    """Whether a row has what a release needs."""
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    return df.withColumn("valid", filled(F.col("name")) & filled(F.col("target.type_line")) & F.col("target.oracle_text").isNotNull())
+
+
+def exported(df: DataFrame) -> DataFrame:
+    """Prompt and compact JSON completion."""
+    design = F.struct("name", *(F.col(f"target.{f}") for f in ("type_line", "oracle_text", "mana_cost")))
+    return df.select("row_id", "split", "rarity", "valid", F.col("description").alias("prompt"), F.to_json(design).alias("completion"))
+
+
 def release(df: DataFrame) -> DataFrame:
-    """gate, key, label and deduplicate in one lazy plan."""
-    return df.select("row_id", "example_id", "split", "description", "target").transform(labelled).transform(deduplicated)
+    """gate, key, label, deduplicate, name, validate and export in one lazy plan."""
+    rows = df.select("row_id", "example_id", "split", "description", "target")
+    return rows.transform(labelled).transform(deduplicated).transform(named).transform(validated).transform(exported)
 
 
 def minimum_slice(docs: DataFrame) -> DataFrame:

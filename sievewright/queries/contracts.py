@@ -95,12 +95,6 @@ def i16_display_binding(spark, d):
     return table(spark, d, "cards").filter("name <> ''").select("card_no", F.replace(F.coalesce("oracle_text", F.lit("")), "name", F.lit("this card")).alias("shown"))
 
 
-@query("""select row_id, replace(description, target.name, 'CARDNAME') as description, replace(target.oracle_text, target.name, 'CARDNAME') as oracle_text from examples where target.name <> ''""")
-def i17_bind_every_leaf(spark, d):
-    bound = lambda c: F.replace(c, F.col("target.name"), F.lit("CARDNAME"))
-    return table(spark, d, "examples").filter("target.name <> ''").select("row_id", bound(F.col("description")).alias("description"), bound(F.col("target.oracle_text")).alias("oracle_text"))
-
-
 @query("""select sha256(case_id) as blind_id, raw from candidates where case_id is not null and raw is not null""")
 def j10_blinded_cases(spark, d):
     return table(spark, d, "candidates").filter("case_id is not null and raw is not null").select(F.sha2("case_id", 256).alias("blind_id"), "raw")

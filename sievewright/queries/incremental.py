@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions import canon
+from sievewright.functions import text
 from sievewright.plans.release import release
 from sievewright.queries.registry import query
 from sievewright.queries.text import KEY_SQL
@@ -44,13 +44,18 @@ def b06_split_map(spark, d):
     return sinks.key_map(table(spark, d, "examples").filter("split is not null"), "example_id", "split")
 
 
-@query(f"""with k as (select row_id, {KEY_SQL.format('description')} as key, example_id, split, target.rarity as rarity from examples where description <> '' and split is not null),
-r as (select *, row_number() over (partition by key order by case split when 'test' then 0 when 'validation' then 1 else 2 end, example_id nulls first, row_id) as n from k)
-select split, coalesce(rarity, 'none') as rarity, count(*) as rows, count_if(('0x' || substr(sha256(to_json(example_id)::varchar), 1, 8))::bigint % 5 = 0) as variants from r where n = 1 group by 1, 2""")
+_JSON = "'{' || concat_ws(',', " + ", ".join(f"""'"{f}":' || to_json({f})::varchar""" for f in ("name", "type_line", "oracle_text", "mana_cost")) + ") || '}'"
+_NAME = " || ' ' || ".join(f"{p}[(h // {16**i}) % 16 + 1]" for i, p in enumerate(text.PARTS))
+
+
+@query(f"""with k as (select row_id, {KEY_SQL.format('description')} as key, example_id, split, target, description from examples where description <> '' and split is not null),
+r as (select *, row_number() over (partition by key order by case split when 'test' then 0 when 'validation' then 1 else 2 end, example_id nulls first, row_id) as n from k),
+h as (select *, ('0x' || substr(sha256(to_json(example_id)::varchar), 1, 8))::bigint as h from r where n = 1),
+e as (select row_id, split, coalesce(target.rarity, 'none') as rarity, description, case when h % 4 = 0 then {_NAME} else target.name end as name, target.type_line as type_line, target.oracle_text as oracle_text, target.mana_cost as mana_cost from h)
+select row_id, split, rarity, coalesce(name, '') <> '' and coalesce(type_line, '') <> '' and oracle_text is not null as valid, description as prompt, {_JSON} as completion from e""")
 def n11_release_pipeline(spark, d):
-    made = release(table(spark, d, "examples"))
-    twice = canon.hash_bucket(canon.digest_string("example_id"), 5) == 0
-    return made.groupBy("split", "rarity").agg(F.count(F.lit(1)).alias("rows"), F.count_if(twice).alias("variants"))
+    """Names, rarity, deduplication, validation and export of the examples in one lazy plan."""
+    return release(table(spark, d, "examples"))
 
 
 @query(f"""with k as (select doc_id, lower(trim(lang)) as lang, {KEY_SQL.format('text')} as key from documents where text is not null), f as (select key, arg_min(lang, doc_id) as lang0, min(doc_id) as doc_id from k group by 1), g as (select f.key, k.lang from f join k on k.doc_id = f.doc_id)

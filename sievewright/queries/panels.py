@@ -72,12 +72,6 @@ def l04_wide_interval(spark, d):
     return statistics.class_bootstrap(_paired_by_group(spark, d), "family", F.col("after") - F.col("before"), seed=1709)
 
 
-@query("""select sha256(description) as input_hash, min(row_id) as first_row, count(*) as calls_saved from examples where description <> '' group by 1 having count(*) > 1""")
-def m16_content_addressed_calls(spark, d):
-    rows = table(spark, d, "examples").filter("description <> ''").groupBy(F.sha2("description", 256).alias("input_hash"))
-    return rows.agg(F.min("row_id").alias("first_row"), F.count(F.lit(1)).alias("calls_saved")).filter("calls_saved > 1")
-
-
 @query(f"""select {GROUP} as g, count(*) as n from examples where source_group_id is not null group by 1 order by n desc, g limit 20""")
 def f_largest_families(spark, d):
     rows = table(spark, d, "examples").filter("source_group_id is not null").groupBy(F.lower(F.trim("source_group_id")).alias("g")).agg(F.count(F.lit(1)).alias("n"))

@@ -275,21 +275,12 @@ def h10_one_to_one_replay(spark, d):
     return a.withColumn("stratum", F.lit("walker")).unionByName(b.withColumn("stratum", F.lit("rest")))
 
 
-#: Parts of composed names, sixteen of each.
-PARTS = [
-    "Amber Birch Cinder Dawn Ember Fallow Gale Harrow Iron Juniper Kestrel Linden Marrow Nettle Onyx Plover".split(),
-    "Ash Brook Crag Dell Elm Fen Glen Heath Isle Knoll Lea Moor Nook Peak Ridge Shore".split(),
-    "Archer Brewer Carver Drover Envoy Forger Gleaner Herald Joiner Keeper Lancer Miller Notary Painter Reaper Scribe".split(),
-]
-
-
-@query("with h as (select row_id, ('0x' || substr(sha256(to_json(example_id)::varchar), 1, 8))::bigint as n from examples where example_id is not null) select row_id, " + " || ' ' || ".join(f"{p}[(n // {16**i}) % 16 + 1]" for i, p in enumerate(PARTS)) + " as name from h where n % 4 = 0")
+@query("with h as (select row_id, ('0x' || substr(sha256(to_json(example_id)::varchar), 1, 8))::bigint as n from examples where example_id is not null) select row_id, " + " || ' ' || ".join(f"{p}[(n // {16**i}) % 16 + 1]" for i, p in enumerate(text.PARTS)) + " as name from h where n % 4 = 0")
 def h12_composed_variation(spark, d):
     """A name of three parts for a quarter of the rows, each part by four bits of the identifier's hash."""
     n = canon.hash_number(canon.digest_string("example_id"))
     rows = table(spark, d, "examples").filter("example_id is not null").select("row_id", n.alias("n")).filter("n % 4 = 0")
-    part = lambda i, words: F.element_at(F.array(*map(F.lit, words)), (F.expr(f"n div {16**i}") % 16 + 1).cast("int"))
-    return rows.select("row_id", F.concat_ws(" ", *(part(i, p) for i, p in enumerate(PARTS))).alias("name"))
+    return rows.select("row_id", text.composed_name(F.col("n")).alias("name"))
 
 
 @query(f"""with {_JUDGED}, b as (select * from w where arm = 'base' and gate <> 'judge_abstention'), mended as (select case_id, candidate_id as rid, gate as rgate from w where arm = 'repair' and schema_valid)
@@ -311,3 +302,40 @@ def m07_adopt_prior(spark, d):
     adopt = ~F.col("schema_valid") & F.coalesce("ok", F.lit(False))
     both = rows.filter("arm = 'dpo'").select("case_id", "candidate_id", "schema_valid").join(prior, "case_id", "left")
     return both.select("case_id", F.when(adopt, F.col("prior")).otherwise(F.col("candidate_id")).alias("kept"), adopt.alias("adopted"))
+
+
+@query(f"""select card_id, replace(draft.type_line, draft.name, 'CARDNAME') as type_line, replace(draft.oracle_text, draft.name, 'CARDNAME') as oracle_text, replace(draft.rarity, draft.name, 'CARDNAME') as rarity, array_to_string(list_transform(draft.colors, lambda c: replace(c, draft.name, 'CARDNAME')), '') as colors from custom_cards where draft.name <> ''""")
+def i17_bind_every_leaf(spark, d):
+    """A design's name replaced in every string of its nested record."""
+    rows = table(spark, d, "custom_cards").filter("draft.name <> ''")
+    bound = text.map_strings(F.col("draft"), rows.schema["draft"].dataType, lambda c: F.replace(c, F.col("draft.name"), F.lit("CARDNAME")))
+    return rows.select("card_id", bound.alias("b")).select("card_id", "b.type_line", "b.oracle_text", "b.rarity", F.array_join("b.colors", "").alias("colors"))
+
+
+_DIM = "avg(('0x' || substr(md5(tok), {0}, 1))::bigint / 15.0::double)"
+
+
+@query(f"""with w as (select doc_id, regexp_extract_all(text, '[^\\s]+', 0) as t from documents where text is not null), x as (select doc_id, t, i, unnest(t[i * 448 + 1:i * 448 + 480]) as tok from w, lateral (select unnest(generate_series(0, greatest(cast(ceil((len(t) - 480) / 448.0) as bigint), 0))) as i) where len(t) > 0),
+p as (select doc_id, i, count(*) as tokens, {", ".join(f"{_DIM.format(k)} as v{k}" for k in range(1, 5))} from x group by 1, 2), n as (select *, sqrt(v1 * v1 + v2 * v2 + v3 * v3 + v4 * v4) as norm from p)
+select doc_id, i as "window", tokens, round(v1 / nullif(norm, 0), 4) as v1, round(v2 / nullif(norm, 0), 4) as v2, round(v3 / nullif(norm, 0), 4) as v3, round(v4 / nullif(norm, 0), 4) as v4 from n""".replace("\\\\", "\\"))
+def i24_token_windows(spark, d):
+    """Overlapping windows over the tokens of a text, their token vectors averaged and brought to length 1.
+
+    No encoder is shipped: a token's vector is made of the first digits of its digest.
+    """
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0)).alias("t"))
+    windows_ = docs.select("doc_id", "t", F.explode(text.word_windows(F.size("t").cast("long"))).alias("first")).select("doc_id", F.expr("first div 448").alias("window"), F.expr("slice(t, int(first) + 1, 480)").alias("t"))
+    digits = lambda tok: F.array(*(F.conv(F.substring(F.md5(tok.cast("binary")), k, 1), 16, 10).cast("double") / 15 for k in range(1, 5)))
+    pooled = text.pooled(F.transform("t", digits), 4)
+    return windows_.select("doc_id", "window", F.size("t").cast("long").alias("tokens"), pooled.alias("v")).select("doc_id", "window", "tokens", *(F.round(F.get("v", F.lit(k - 1)), 4).alias(f"v{k}") for k in range(1, 5)))
+
+
+@query("""select row_id, length(description)::varchar as result, 'done' as status from examples where description <> ''""")
+def m16_content_addressed_calls(spark, d):
+    """A call for each distinct description only; its result is found by the hash of its input, pin included."""
+    from sievewright.operators import boundary
+
+    rows = table(spark, d, "examples").filter("description <> ''").select("row_id", "description")
+    none = spark.createDataFrame([], "content_hash string, status string, result string")
+    found, _ = boundary.cached(rows, "row_id", "description", none, lambda: lambda items: [str(len(x)) for x in items], "pin-2")
+    return found.select("row_id", "result", "status")

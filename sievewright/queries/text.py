@@ -145,14 +145,6 @@ def i23_edits(spark, d):
     return table(spark, d, "cards").select("card_no", F.explode(every).alias("e")).select("card_no", "e.kind", "e.value")
 
 
-@query(r"""with w as (select doc_id, len(regexp_extract_all(text, '[^\s]+', 0)) as n from documents where text is not null)
-select doc_id, i * 448 as first_word, least(n - i * 448, 480) as words from w, lateral (select unnest(generate_series(0, greatest(cast(ceil((n - 480) / 448.0) as bigint), 0))) as i) where n > 0""")
-def i24_token_windows(spark, d):
-    n = F.size(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))).cast("long")
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", n.alias("n"))
-    return docs.select("doc_id", "n", F.explode(text.word_windows(F.col("n"))).alias("first_word")).select("doc_id", "first_word", F.least(F.col("n") - F.col("first_word"), F.lit(480)).alias("words"))
-
-
 _STYLES = {"minimal": ["type_line"], "concept": ["type_line", "rarity"], "mechanics": ["oracle_text"], "shorthand": ["mana_cost", "type_line"], "complete": ["mana_cost", "oracle_text", "rarity", "type_line"]}
 _FIELDS = ["mana_cost", "oracle_text", "power", "rarity", "toughness", "type_line"]
 

@@ -55,11 +55,12 @@ def e04_collapse_provenance(spark, d):
     return rows.groupBy(F.lower("draft.name").alias("key")).agg(F.min("card_id").alias("card_id"), F.array_join(F.array_sort(F.collect_set("author")), ",").alias("authors"))
 
 
-@query(f"""with k as (select card_no, {KEY_SQL.format('oracle_text')} as key from cards where oracle_text <> '') select card_no, min(card_no) over (partition by key) as representative from k""")
+@query(f"""with k as (select card_no, {KEY_SQL.format('oracle_text')} as key from cards where oracle_text <> '') select card_no, min(card_no) over (partition by key) as representative, case when card_no = min(card_no) over (partition by key) then count(*) over (partition by key) - 1 else 0 end as equivalents from k""")
 def e05_point_to_representative(spark, d):
     rows = table(spark, d, "cards").filter("oracle_text <> ''").select("card_no", text.description_key(F.col("oracle_text")).alias("key"))
-    first = rows.groupBy("key").agg(F.min("card_no").alias("representative"))
-    return rows.join(first, "key").select("card_no", "representative")
+    first = rows.groupBy("key").agg(F.min("card_no").alias("representative"), F.count(F.lit(1)).alias("n"))
+    here = F.when(F.col("card_no") == F.col("representative"), F.col("n") - 1).otherwise(F.lit(0))
+    return rows.join(first, "key").select("card_no", "representative", here.alias("equivalents"))
 
 
 @query(f"""with f as (select {GROUP} as g, style, row_id, {SHA.format('example_id')} as h from examples where example_id is not null and style is not null and source_group_id is not null),

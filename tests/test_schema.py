@@ -46,3 +46,13 @@ def test_equality_is_that_of_json():
 def test_an_unknown_keyword_is_refused():
     with pytest.raises(ValueError):
         schema.validator({"properties": {"a": {"pattern": "x"}}})
+
+
+def test_keyed_replies_have_every_label():
+    verdict = {"type": "object", "additionalProperties": False, "required": ["pass", "style"], "properties": {"pass": {"type": "boolean"}, "style": {"type": "integer", "enum": [0, 1, 2]}}}
+    check = schema.validator(schema.keyed_schema("reviews", ["a", "b"], verdict))
+    good = {"pass": True, "style": 2}
+    assert check({"reviews": {"a": good, "b": good}}) == [] == check({"reviews": None})
+    for bad in ({"a": good}, {"a": good, "b": good, "c": good}, {"a": good, "b": {"pass": 1, "style": 2}}, {"a": good, "b": {"pass": True, "style": True}}):
+        assert check({"reviews": bad}) == ["/reviews:anyOf"]
+    assert check({}) == ["/reviews:required"] and check({"reviews": None, "more": 1}) == [":additionalProperties"]
