@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.sources.shared import materialize
 
-#: Vectors of a block in the search; blocks of queries times blocks of the index are multiplied.
-BLOCK = 4096
+
+#: Queries that are sent to the tasks of an index at once, and those multiplied at once.
+PIECE, BLOCK = 65_536, 1024
 
 
 def class_bootstrap(paired: DataFrame, family: str, difference: Column, replicates: int = 5000, seed: int = 43, low: int = 124, high: int = 4874, most: int = 1_000_000) -> DataFrame:
@@ -66,61 +68,105 @@ def _unit(df: DataFrame, ident: str, vector: str) -> DataFrame:
     return df.filter(F.col(vector).isNotNull()).withColumn("_n", norm).filter("_n > 0").select(F.col(ident).cast("long").alias("id"), F.transform(vector, lambda v: v.cast("double") / F.col("_n")).alias("v"))
 
 
-def _products(queries: DataFrame, index: DataFrame, query_id: str, item_id: str, vector: str, reduce: Callable, columns: dict[str, str]) -> DataFrame:
-    """Rows of `reduce(query ids, item ids, similarities)` for every pair of blocks; the own similarity is NaN.
+class Nearest:
+    """The k best items of each query among the blocks seen so far; ties go to the smaller item."""
 
-    Both sides are cut into blocks of at most BLOCK vectors; each pair of blocks is one matrix product in Arrow batches.
-    """
-    q, x = _unit(queries, query_id, vector), _unit(index, item_id, vector)
-    cut = lambda df, n: df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n).cast("long")))
-    nq, nx = -(-max(queries.count(), 1) // BLOCK), -(-max(index.count(), 1) // BLOCK)
-    ql = cut(q, nq).select("id", "v", F.col("block").alias("bq"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nx - 1).cast("long"))).alias("bx"), F.lit(True).alias("asks"))
-    xl = cut(x, nx).select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("bq"), F.col("block").alias("bx"), F.lit(False).alias("asks"))
+    columns = {"query": "long", "item": "long", "similarity": "double"}
+
+    def __init__(self, asking: np.ndarray, k: int) -> None:
+        self.asking, self.k = asking, k
+        self.s, self.item = np.full((len(asking), k), -np.inf), np.full((len(asking), k), np.iinfo(np.int64).max)
 
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks, has = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values("id")
-        if asks.empty or has.empty:
-            return pd.DataFrame({c: [] for c in columns}).astype({c: {"long": "int64", "double": "float64"}[t] for c, t in columns.items()})
-        s = np.round(np.stack(asks["v"].to_numpy()) @ np.stack(has["v"].to_numpy()).T, 9)
-        asking, ids = asks["id"].to_numpy(), has["id"].to_numpy()
-        s[asking[:, None] == ids[None, :]] = np.nan
-        return pd.DataFrame(reduce(asking, ids, s))
+    def add(self, ids: np.ndarray, s: np.ndarray) -> None:
+        s = np.where(np.isnan(s), -np.inf, s)
+        at = np.argsort(-s, axis=1, kind="stable")[:, : self.k]  # items come in order
+        s, item = np.hstack([self.s, np.take_along_axis(s, at, 1)]), np.hstack([self.item, ids[at]])
+        by = np.lexsort((item, -s), axis=1)[:, : self.k]
+        self.s, self.item = np.take_along_axis(s, by, 1), np.take_along_axis(item, by, 1)
 
-    return ql.unionByName(xl).groupBy("bq", "bx").applyInPandas(multiply, ", ".join(f"{c} {t}" for c, t in columns.items()))
+    def rows(self) -> dict:
+        row, place = np.nonzero(np.isfinite(self.s))
+        return {"query": self.asking[row], "item": self.item[row, place], "similarity": self.s[row, place]}
 
 
-def top_k_similar(queries: DataFrame, index: DataFrame, k: int, query_id: str = "qid", item_id: str = "id", vector: str = "vector") -> DataFrame:
-    """Exact cosine top-k of every query against all of `index`: (`query`, `item`, `similarity`, `rank`).
+class Counts:
+    """Of each query, over the blocks seen so far: items, those above a similarity, the least and the greatest."""
+
+    columns = {"query": "long", "items": "long", "near": "long", "low": "double", "most": "double"}
+
+    def __init__(self, asking: np.ndarray, above: float) -> None:
+        n = len(asking)
+        self.asking, self.above, self.items, self.near, self.low, self.most = asking, above, np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, np.inf), np.full(n, -np.inf)
+
+    def add(self, ids: np.ndarray, s: np.ndarray) -> None:
+        own = np.isnan(s)
+        self.items += (~own).sum(axis=1)
+        self.near += (s > self.above).sum(axis=1)
+        self.low = np.minimum(self.low, np.where(own, np.inf, s).min(axis=1))
+        self.most = np.maximum(self.most, np.where(own, -np.inf, s).max(axis=1))
+
+    def rows(self) -> dict:
+        some = self.items > 0
+        return {"query": self.asking[some], "items": self.items[some], "near": self.near[some], "low": self.low[some], "most": self.most[some]}
 
-    Each pair of blocks keeps k per query, and the blocks' winners are merged by a window. Zero and null vectors are like
-    nothing. Ties go to the smaller item. A query is not its own neighbour.
+
+def _search(queries: DataFrame, index: DataFrame, query_id: str, item_id: str, vector: str, state: Callable[[np.ndarray], Nearest | Counts], columns: dict[str, str]) -> DataFrame:
+    """What `state` has of each query after all vectors of a task of `index`, one set of rows a task; the own similarity is NaN.
+
+    The index stays where it is. Queries are sent to its tasks in pieces of at most PIECE vectors, each multiplied with the
+    vectors of a task block by block; a task keeps only the state of a piece. Each piece is one job whose result is written.
     """
+    q, x = materialize(_unit(queries, query_id, vector), "queries"), _unit(index, item_id, vector)
+    spark, shape = queries.sparkSession, ", ".join(f"{c} {t}" for c, t in columns.items())
+    n = -(-q.count() // PIECE)
+    piece = F.pmod(F.xxhash64("id"), F.lit(max(n, 1)).cast("long"))
+    parts = []
+    for i in range(n):
+        rows = q.filter(piece == i).toPandas()  # about PIECE vectors
+        if rows.empty:
+            continue
+        held = spark.sparkContext.broadcast((rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())))
+
+        def multiply(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            asking, v = held.value
+            seen = [state(asking[a : a + BLOCK]) for a in range(0, len(asking), BLOCK)]
+            for pdf in batches:
+                pdf = pdf.sort_values("id")
+                ids = pdf["id"].to_numpy()
+                if not len(ids):
+                    continue
+                items = np.stack(pdf["v"].to_numpy()).T
+                for at, block in zip(range(0, len(asking), BLOCK), seen):
+                    s = np.round(v[at : at + BLOCK] @ items, 9)
+                    s[asking[at : at + BLOCK, None] == ids[None, :]] = np.nan
+                    block.add(ids, s)
+            for block in seen:
+                yield pd.DataFrame(block.rows())
+
+        parts.append(materialize(x.mapInPandas(multiply, shape), "found"))
+    out = spark.createDataFrame([], shape)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
-    def best(asking: np.ndarray, ids: np.ndarray, s: np.ndarray) -> dict:
-        s = np.where(np.isnan(s), -np.inf, s)
-        at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(asking)), at.shape[1])
-        real = np.isfinite(s[rows, at.ravel()])
-        return {"query": asking[rows][real], "item": ids[at.ravel()][real], "similarity": s[rows, at.ravel()][real]}
 
-    won = _products(queries, index, query_id, item_id, vector, best, {"query": "long", "item": "long", "similarity": "double"})
+def top_k_similar(queries: DataFrame, index: DataFrame, k: int, query_id: str = "qid", item_id: str = "id", vector: str = "vector") -> DataFrame:
+    """Exact cosine top-k of every query against all of `index`: (`query`, `item`, `similarity`, `rank`).
+
+    Each task keeps k per query, and the tasks' winners are merged by a window. Zero and null vectors are like nothing. Ties
+    go to the smaller item. A query is not its own neighbour.
+    """
+    won = _search(queries, index, query_id, item_id, vector, lambda asking: Nearest(asking, k), Nearest.columns)
     return won.selectExpr("query", "item", "similarity", "row_number() over (partition by query order by similarity desc, item) as rank").filter(F.col("rank") <= k)
 
 
 def similarity_counts(queries: DataFrame, index: DataFrame, above: float, query_id: str = "qid", item_id: str = "id", vector: str = "vector") -> DataFrame:
     """Over all of `index`, not the nearest only: (`query`, `items`, `near`, `low`, `most`).
 
-    `near` counts the similarities greater than `above`. Every pair of blocks gives one row per query; these are summed.
-    A query that has no other item gets no row.
+    `near` counts the similarities greater than `above`. Every task gives one row per query; these are summed. A query that
+    has no other item gets no row.
     """
-
-    def part(asking: np.ndarray, ids: np.ndarray, s: np.ndarray) -> dict:
-        own = np.isnan(s)
-        some = ~own.all(axis=1)
-        low, most = np.where(own, np.inf, s).min(axis=1), np.where(own, -np.inf, s).max(axis=1)
-        return {"query": asking[some], "items": (~own).sum(axis=1)[some], "near": (s > above).sum(axis=1)[some], "low": low[some], "most": most[some]}
-
-    parts = _products(queries, index, query_id, item_id, vector, part, {"query": "long", "items": "long", "near": "long", "low": "double", "most": "double"})
+    parts = _search(queries, index, query_id, item_id, vector, lambda asking: Counts(asking, above), Counts.columns)
     return parts.groupBy("query").agg(F.sum("items").alias("items"), F.sum("near").alias("near"), F.min("low").alias("low"), F.max("most").alias("most"))
 
 
