@@ -26,6 +26,14 @@ def _paired_by_group(spark, d):
     return pairs.withColumn("family", F.coalesce("known", F.concat(F.lit("case:"), "case_id"))).drop("known")
 
 
+@query(f"""with {_PAIRED}, kn as (select example_id as case_id, coalesce('group:' || min(lower(trim(source_group_id))), 'family:' || min(lower(trim(family_id)))) as known from examples where example_id is not null group by 1),
+fm as (select coalesce(known, 'case:' || p.case_id) as family, after - before as diff from p left join kn on kn.case_id = p.case_id where before is not null and after is not null)
+select count(distinct family) as families, count(*) as cases, round(100.0::double * sum(diff) / count(*), 6) as estimate from fm""")
+def l01_point_estimate(spark, d):
+    """What the intervals of L01 to L04 are about, without the random limits."""
+    return l01_group_bootstrap(spark, d).select("families", "cases", "estimate")
+
+
 @query()
 def l01_group_bootstrap(spark, d):
     return statistics.class_bootstrap(_paired_by_group(spark, d), "family", F.col("after") - F.col("before"))
@@ -67,25 +75,24 @@ def c20_vector_topk(spark, d):
     return _neighbours(spark, d, 5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"with {_COS} select query, count(*) as near, round(max(similarity), 6) as most from r where similarity > 0.2 and rank <= 10 group by 1")
-def c21_similarity_threshold(spark, d):
-    return _neighbours(spark, d, 10).filter("similarity > 0.2").groupBy("query").agg(F.count(F.lit(1)).alias("near"), F.round(F.max("similarity"), 6).alias("most"))
+def _half(lo: int, hi: int) -> str:
+    unit = f"list_transform(embedding[{lo}:{hi}], lambda v: v::double / sqrt(list_sum(list_transform(embedding[{lo}:{hi}], lambda w: w::double * w::double))))"
+    return f"(select query, list(item order by rank) as l from (select q.id as query, x.id as item, row_number() over (partition by q.id order by round(list_dot_product(q.v, x.v), 9) desc, x.id) as rank from (select vec_id as id, {unit} as v from embeddings) q, (select vec_id as id, {unit} as v from embeddings) x where q.id % 50 = 0 and x.id <> q.id) where rank <= 5 group by 1)"
 
 
-@query(f"""with {_COS}, a as (select query, list(item order by rank) as f from r where rank <= 5 group by 1), b as (select query, list(item order by rank) as s from (select query, item, row_number() over (partition by query order by rank) as rank from r where item % 2 = 0 and rank <= 40) where rank <= 5 group by 1),
-m as (select a.query, list_concat(f[1:2], s[1:1], f[3:5], s[2:5]) as m from a join b on a.query = b.query), p as (select query, unnest(m) as x, generate_subscripts(m, 1) as i from m), u as (select query, x, min(i) as i from p group by 1, 2), o as (select query, x, row_number() over (partition by query order by i) as n from u)
+@query(f"""with a as {_half(1, 32)}, b as {_half(33, 64)}, m as (select a.query, list_concat(a.l[1:2], b.l[1:1], a.l[3:5], b.l[2:5]) as m from a join b on a.query = b.query), p as (select query, unnest(m) as x, generate_subscripts(m, 1) as i from m), u as (select query, x, min(i) as i from p group by 1, 2), o as (select query, x, row_number() over (partition by query order by i) as n from u)
 select query, string_agg(cast(x as varchar), ',' order by n) as items from o where n <= 3 group by 1""")
 def f08_interleaved_topk(spark, d):
-    near = _neighbours(spark, d, 40)
-    ranked = lambda cond, name: F.transform(F.array_sort(F.collect_list(F.when(F.expr(cond), F.struct("rank", "item")))), lambda s: s["item"]).alias(name)
-    both = near.groupBy("query").agg(ranked("rank <= 5", "f"), F.slice(ranked("item % 2 = 0", "s"), 1, 5).alias("s")).filter("size(s) > 0")
-    return both.select("query", F.array_join(statistics.interleave(F.col("f"), F.col("s")), ",").alias("items"))
+    """Two rankings of all items, by the first and by the second half of the vectors, merged."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
+    def ranked(first: int, name: str):
+        of = rows.select("id", F.slice("embedding", first, 32).alias("vector"))
+        top = statistics.top_k_similar(of.filter("id % 50 = 0").withColumnRenamed("id", "qid"), of, 5)
+        return top.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda s: s["item"]).alias(name))
 
-@query(f"""with {_COS} select n.label as label, round(min(similarity), 6) as low, round(max(similarity), 6) as high, count_if(similarity > 0.9) as above from r join n on n.id = r.query where rank <= 10 group by 1""")
-def l08_similarity_range(spark, d):
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("query"), "label")
-    return _neighbours(spark, d, 10).join(labels, "query").groupBy("label").agg(F.round(F.min("similarity"), 6).alias("low"), F.round(F.max("similarity"), 6).alias("high"), F.count_if(F.expr("similarity > 0.9")).alias("above"))
+    both = ranked(1, "f").join(ranked(33, "s"), "query")
+    return both.select("query", F.array_join(statistics.interleave(F.col("f"), F.col("s")), ",").alias("items"))
 
 
 def _with_references(spark, d):
