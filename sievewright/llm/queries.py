@@ -90,7 +90,8 @@ def p2_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _eligible(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "custom_cards").select("card_id", "draft.type_line", "draft.oracle_text").filter("trim(oracle_text, ' \t\n\r') <> ''")
+    rows = table(spark, d, "custom_cards").select("card_id", "draft.type_line", "draft.oracle_text")
+    return rows.filter(F.col("oracle_text").rlike(r"(?U)\S"))  # not blank
 
 
 def _designs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +105,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per design whose rules text is not null: its group (itself if it is like no other), how many distinct designs it is like, and the size of its class of equal ones."""
+    """One row per design whose rules text is not blank: its group (itself if it is like no other), how many distinct designs it is like, and the size of its class of equal ones."""
     pairs, members = _designs(spark, d)
     return design_groups(_eligible(spark, d).select("card_id").distinct(), pairs.select("a", "b"), members)
 
