@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.llm.splits import HOT_SHARE, spread_join
 from sievewright.sources.shared import materialize
 
 FENCE = re.compile(r"```[\w+-]*[ \t]*\r?\n?")
@@ -178,7 +179,10 @@ def cut_outputs(df: DataFrame, id_col: str, raw_col: str, source_col: str, flag_
     known = scanned.select(F.explode("seen").alias("part")).select(kind.alias("kind"), word.alias("word")).groupBy("word").agg(*map(has, "ktwo"))
     asked = scanned.filter("state = 'look'").select("id", F.explode("parts").alias("part")).select("id", kind.alias("kind"), word.alias("word"))
     found = F.when(F.col("kind") == "t", F.col("t")).otherwise(F.col("k") | (F.col("w") & ~F.col("o")))
-    unknown = asked.join(known, "word", "left").filter(~F.coalesce(found, F.lit(False))).groupBy("id").agg(F.lit("sentence").alias("missing"))
+    bound = F.lit(scanned.filter("state = 'look'").count() * HOT_SHARE)
+    hot = materialize(asked.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("word"), "hot")
+    told = spread_join(asked, materialize(known, "known"), "word", hot)
+    unknown = told.filter(~F.coalesce(found, F.lit(False))).groupBy("id").agg(F.lit("sentence").alias("missing"))
     baseline = scanned.groupBy("source").agg(F.try_divide(F.sum("loose"), F.sum("n")).alias("loose_share")).withColumnRenamed("source", "s2")
     judged = scanned.join(unknown, "id", "left").join(baseline, F.col("source").eqNullSafe(F.col("s2")), "left")
     lacking = F.col("missing").isNotNull() & ~(F.coalesce(F.col("loose_share"), F.lit(0.0)) > usual)
