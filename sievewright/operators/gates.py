@@ -1,4 +1,4 @@
-"""Row-level gates: issue codes, ladders and routing (inventory K). Nothing is dropped silently: every row gets a route."""
+"""Row-level gates: issue codes, ladders and routing (inventory K). Nothing is dropped silently."""
 
 from __future__ import annotations
 
@@ -11,21 +11,6 @@ def issues(checks: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items()))))
 
 
-def ladder(steps: list[tuple[str, Column, float | None]], otherwise: tuple[str, Column | None]) -> tuple[Column, Column]:
-    """(gate, reward) of the first step whose condition holds, in order."""
-    gate = reward = None
-    for name, condition, value in steps:
-        v = F.lit(value).cast("double")
-        gate = F.when(condition, name) if gate is None else gate.when(condition, name)
-        reward = F.when(condition, v) if reward is None else reward.when(condition, v)
-    return gate.otherwise(otherwise[0]), reward.otherwise(F.lit(None).cast("double") if otherwise[1] is None else otherwise[1])
-
-
-def route(codes: Column, blocked: Column) -> Column:
-    """accepted, blocked or quarantined."""
-    return F.when(F.coalesce(blocked, F.lit(False)), "blocked").when(F.size(codes) > 0, "quarantined").otherwise("accepted")
-
-
 def with_controls(rows: DataFrame, batch: str, controls: DataFrame) -> DataFrame:
     """Known-answer rows added to every batch; `controls` has the columns of `rows` but the batch, and is small by design."""
     return rows.withColumn("control", F.lit(False)).unionByName(rows.select(batch).distinct().crossJoin(controls).withColumn("control", F.lit(True)))

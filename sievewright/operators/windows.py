@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievewright.sources.shared import materialize
+
 
 def first_per_group(df: DataFrame, group: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """The first row of each group in `order`, by one aggregate with partial results on the map side."""
@@ -30,7 +32,7 @@ def priority_dedup(df: DataFrame, key: str, order: list[Column], ident: str) ->
     together, however many they are. Null keys are one key; identifiers must be unique.
     """
     first = F.min_by(ident, F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias(ident)
-    kept = df.groupBy(key).agg(first).select(ident)
+    kept = materialize(df.groupBy(key).agg(first).select(ident), "kept")
     return df.join(kept, ident, "left_semi"), df.join(kept, ident, "left_anti")
 
 

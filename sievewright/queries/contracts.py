@@ -76,10 +76,10 @@ def g03_exclusive_keys(spark, d):
     return contracts.exclusive(table(spark, d, "examples"), {"prompt": prompt, "family": F.col("family_id")}, "split")
 
 
-@query("""select row_id, case when row_id % 2 = 0 then split = 'validation' and style = 'complete' else split in ('validation', 'test') end as allowed from examples where split is not null and style is not null""")
+@query("""select row_id, case when family_id is null then split = 'validation' and style = 'complete' else split in ('validation', 'test') end as allowed from examples where split is not null and style is not null""")
 def h08_evaluation_gate(spark, d):
     rows = table(spark, d, "examples").filter("split is not null and style is not null")
-    return rows.select("row_id", contracts.may_evaluate(F.col("split"), F.col("row_id") % 2 == 0, F.col("style") == "complete").alias("allowed"))
+    return rows.select("row_id", contracts.may_evaluate(F.col("split"), F.col("family_id").isNull(), F.col("style") == "complete").alias("allowed"))
 
 
 @query(f"""with c as (select row_id, ('0x' || substr(sha256('["rarity", ' || to_json(example_id)::varchar || ']'), 1, 8))::bigint % 5 = 0 as explicit, target.rarity as rarity from examples where example_id is not null and target.rarity is not null)
@@ -100,9 +100,10 @@ def j10_blinded_cases(spark, d):
     return table(spark, d, "candidates").filter("case_id is not null and raw is not null").select(F.sha2("case_id", 256).alias("blind_id"), "raw")
 
 
-@query("""select e.row_id, coalesce(a.type_line, e.target.type_line) as type_line, a.oracle_id is not null as corrected from examples e left join (select oracle_id, min(type_line) as type_line from cards where oracle_id is not null and card_no % 2 = 0 group by 1) a on a.oracle_id = e.source.oracle_id""")
+@query("""select e.row_id, coalesce(a.type_line, e.target.type_line) as type_line, a.oracle_id is not null as corrected from examples e left join (select oracle_id, min(json_extract_string(record, '$.type_line')) as type_line from printed_wordings where oracle_id is not null group by 1) a on a.oracle_id = e.source.oracle_id""")
 def j13_audited_correction(spark, d):
-    audit = table(spark, d, "cards").filter("oracle_id is not null and card_no % 2 = 0").groupBy("oracle_id").agg(F.min("type_line").alias("fixed"), F.lit(True).alias("has"))
+    """Type lines as printed in place of those of the target, where the card was printed at all."""
+    audit = table(spark, d, "printed_wordings").filter("oracle_id is not null").groupBy("oracle_id").agg(F.min(F.get_json_object("record", "$.type_line")).alias("fixed"), F.lit(True).alias("has"))
     rows = table(spark, d, "examples").select("row_id", F.col("source.oracle_id").alias("oracle_id"), "target.type_line")
     return rows.join(audit, "oracle_id", "left").select("row_id", F.coalesce("fixed", "type_line").alias("type_line"), F.coalesce("has", F.lit(False)).alias("corrected"))
 

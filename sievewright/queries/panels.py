@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievewright.functions import canon, text
-from sievewright.operators import gates, selection, statistics
+from sievewright.functions import canon
+from sievewright.operators import selection, statistics
 from sievewright.queries.registry import query
 from sievewright.queries.statistics import _paired_by_group
 from sievewright.queries.windows import GROUP, SHA

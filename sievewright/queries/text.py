@@ -125,10 +125,6 @@ def i21_type_and_color_labels(spark, d):
     return table(spark, d, "cards").filter("type_line is not null and colors is not null").select("card_no", F.trim(F.split("type_line", "—")[0]).alias("card_type"), group.alias("color_group"))
 
 
-def _corruption_sql(k, p, r):
-    return f"select card_no, '{k}' as kind, regexp_replace(oracle_text, '{p}', '{r.replace('$2', chr(92) + '1')}') as text, oracle_text from cards"
-
-
 @query("""select card_no, 'power_edit' as kind, cast(cast(power as bigint) + 1 as varchar) as value from cards where contains(type_line, 'Creature') and regexp_full_match(power, '[0-9]+')
 union all select card_no, 'loyalty_edit', cast(cast(loyalty as bigint) + 1 as varchar) from cards where contains(type_line, 'Planeswalker') and regexp_full_match(loyalty, '[0-9]+')
 union all select card_no, 'keyword_edit', 'Flying' || case when oracle_text <> '' then chr(10) || oracle_text else '' end from cards where contains(type_line, 'Creature') and not regexp_matches(coalesce(oracle_text, ''), '(?i)\\bflying\\b')""".replace("\\\\b", "\\b"))
@@ -145,10 +141,6 @@ def i23_edits(spark, d):
     return table(spark, d, "cards").select("card_no", F.explode(every).alias("e")).select("card_no", "e.kind", "e.value")
 
 
-_STYLES = {"minimal": ["type_line"], "concept": ["type_line", "rarity"], "mechanics": ["oracle_text"], "shorthand": ["mana_cost", "type_line"], "complete": ["mana_cost", "oracle_text", "rarity", "type_line"]}
-_FIELDS = ["mana_cost", "oracle_text", "power", "rarity", "toughness", "type_line"]
-
-
 @query("""select row_id, array_to_string(list_filter([case when target.name is not null then 'name' end, case when target.rarity is not null then 'rarity' end, case when target.type_line is not null then 'type_line' end, case when target.oracle_text is not null then 'oracle_text' end, case when target.power is not null then 'power' end, case when target.toughness is not null then 'toughness' end, case when target.mana_cost is not null then 'mana_cost' end], lambda x: x is not null), ',') as paths from examples""")
 def j04_leaf_paths(spark, d):
     names = ["name", "rarity", "type_line", "oracle_text", "power", "toughness", "mana_cost"]
