@@ -105,9 +105,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per design whose rules text is not blank: its group (itself if it is like no other), how many distinct designs it is like, and the size of its class of equal ones."""
+    """One row per design whose rules text is not null (a blank one is like nothing): its group (itself if it is like no other), how many distinct designs it is like, and the size of its class of equal ones."""
     pairs, members = _designs(spark, d)
-    return design_groups(_eligible(spark, d).select("card_id").distinct(), pairs.select("a", "b"), members)
+    every = table(spark, d, "custom_cards").filter("draft.oracle_text is not null").select("card_id").distinct()
+    return design_groups(every, pairs.select("a", "b"), members)
 
 
 def design_groups(designs: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
