@@ -149,7 +149,7 @@ def m11_look_ahead(spark, d):
     return g.select("set_code", incremental.look_ahead(F.col("i"), 40, F.col("approved"), F.col("n"), F.lit(1000)).alias("ahead"))
 
 
-@query("""select arm, max(max_tokens) as minutes, round(max(max_tokens) * 0.02, 6) as cap, max(max_tokens) * 0.02 <= 10 as allowed from candidates where arm is not null group by 1""")
+@query("""select arm, max(max_tokens) as minutes, round(max(max_tokens) * 0.02::double, 6) as cap, max(max_tokens) * 0.02::double <= 10 as allowed from candidates where arm is not null group by 1""")
 def m17_cost_cap(spark, d):
     """The longest limit of an arm as minutes at a price, and whether that is within the budget."""
     per = table(spark, d, "candidates").filter("arm is not null").groupBy("arm").agg(F.max("max_tokens").alias("minutes"))

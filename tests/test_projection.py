@@ -38,8 +38,8 @@ def test_names_are_bound_and_bound_back(spark):
 def test_families_ignore_numbers_and_tell_faces_apart(spark):
     two = lambda a, b: [face("X", a), face("Y", b)]
     df = frame(
-        spark, card("a", "A", "Draw 2 red cards"), card("b", "B", "Draw three  blue cards"), card("c", "C", "Draw cards"), card("d", "D // E", None, two("One", "Gain 1 life"), layout="split"),
-        card("e", "F // G", None, two("Nine", "Gain 7 life"), layout="split"), card("f", "F // G", None, two("Nine", "Lose 7 life"), layout="split"), card("g", "F // G", None, two("Nine", "Gain 7 life"), layout="transform"),
+        spark, card("a", "A", "Draw 2 red cards"), card("b", "B", "Draw three  blue cards"), card("c", "C", "Draw cards"), card("d", "D // E", None, two("Draw one", "Gain 1 life"), layout="split"),
+        card("e", "F // G", None, two("Draw nine", "Gain 7 life"), layout="split"), card("f", "F // G", None, two("Draw nine", "Lose 7 life"), layout="split"), card("g", "F // G", None, two("Draw nine", "Gain 7 life"), layout="transform"),
     )
     of = {r["id"]: r["f"] for r in df.select("id", projection.family().alias("f")).collect()}
     assert of["a"] == of["b"] and of["d"] == of["e"] and len(set(of.values())) == 5
@@ -97,7 +97,7 @@ def test_descriptions_are_checked(spark):
         ("A 2/3 fox artifact for {1}{R}", "complete", t, []),
         ("An artifact fox", "complete", t, ["missing_or_changed_mana_cost:{1}{R}", "missing_or_changed_stats"]),
         ("A {1}{R} 2/3 thing", "complete", t, ["missing_type_word:Artifact", "missing_type_word:Fox"]),
-        ("Foxes with a mana rock, 2 / 3, {2}", "minimal", ("Ann", "Artifact Creature — Fox", None, None, None, ""), ["detail_level_leaked_exact_stats", "detail_level_leaked_mana_cost"]),
+        ("A fox with a mana rock, 2 / 3, {2}", "minimal", ("Ann", "Artifact Creature — Fox", None, None, None, ""), ["detail_level_leaked_exact_stats", "detail_level_leaked_mana_cost"]),
         ("A walker", "complete", ("Ann", "Planeswalker", None, None, None, ""), []),
         (" ", "complete", (None, None, None, None, None, None), ["invalid_description_length"]),
         (None, "complete", t, None),
