@@ -115,6 +115,7 @@ MODERN = [
     ("he or she", "they"),
     ("to your mana pool", ""),
 ]
+# The types by which a text names its own record.
 SELF_TYPES = ["creature", "artifact", "enchantment", "land", "planeswalker", "battle", "aura"]
 
 
