@@ -27,30 +27,36 @@ def description_issues(description: Column, style: Column, target: str = "target
     The sparse styles must not tell a cost or stats that their target has not. Null descriptions have null issues.
     """
     t = lambda f: F.col(f"{target}.{f}")
-    joined = text.words(description)
-    costs = F.regexp_extract_all(description, F.lit(r"(?:\{[0-9A-Z/]+\})+"), F.lit(0))
     kind = F.coalesce(t("type_line"), F.lit(""))
     subtypes = F.when(F.contains(kind, F.lit(" — ")), F.filter(F.split(F.substring_index(kind, " — ", -1), r"\s+"), lambda w: w != "")).otherwise(F.array().cast(_NONE))
-    stats = description.rlike(r"\b[0-9]+\s*/\s*[0-9]+\b")
-    told = lambda w: said(F.lit(w), joined)
-    implied = stats | (F.contains(kind, F.lit("Creature")) & (F.size(subtypes) > 0) & F.forall(subtypes, lambda w: said(w, joined)))
-    flier = description.rlike(r"(?i)\b(?:flyer|flier)s?\b")
-    excused = lambda w: (
-        ((w == "Creature") & (implied | flier)) | ((w == "Planeswalker") & told("walker"))
-        | ((w == "Artifact") & (description.rlike(r"(?i)\bmana rocks?\b") | (F.array_contains(subtypes, "Equipment") & told("Equipment"))))
-        | ((w == "Enchantment") & F.exists(F.array(*map(F.lit, ENCHANTMENT_KINDS)), lambda k: F.array_contains(subtypes, k) & said(k, joined)))
-    )
-    words = F.filter(F.split(kind, r"\s+|—|//"), lambda w: w != "")
-    missing = F.transform(F.filter(words, lambda w: ~excused(w) & ~said(w, joined)), lambda w: F.concat(F.lit("missing_type_word:"), w))
     sparse = style.isin("minimal", "concept")
-    single = F.array_compact(F.array(
-        F.when((t("mana_cost") != "") & ~F.array_contains(costs, t("mana_cost")), F.concat(F.lit("missing_or_changed_mana_cost:"), t("mana_cost"))),
-        F.when(t("power").isNotNull() & ~F.contains(F.replace(description, F.lit(" ")), F.concat(t("power"), F.lit("/"), F.coalesce(t("toughness"), F.lit("")))), F.lit("missing_or_changed_stats")),
-        F.when(sparse & t("mana_cost").isNull() & description.rlike(r"\{[^}]+\}"), F.lit("detail_level_leaked_mana_cost")),
-        F.when(sparse & t("power").isNull() & stats, F.lit("detail_level_leaked_exact_stats")),
-        F.when((F.length(description) > 12000) | (F.trim(description) == ""), F.lit("invalid_description_length")),
-    ))
-    return F.when(description.isNotNull(), F.array_sort(F.array_distinct(F.concat(single, missing))))
+
+    def issues(read: Column) -> Column:
+        joined, stats, kinds = read["joined"], read["stats"], read["subtypes"]
+        told = lambda w: said(F.lit(w), joined)
+        implied = stats | (F.contains(kind, F.lit("Creature")) & (F.size(kinds) > 0) & F.forall(kinds, lambda w: said(w, joined))) | description.rlike(r"(?i)\b(?:flyer|flier)s?\b")
+        named = F.exists(F.array(*map(F.lit, ENCHANTMENT_KINDS)), lambda k: F.array_contains(kinds, k) & said(k, joined))
+        excused = lambda w: (
+            ((w == "Creature") & implied) | ((w == "Planeswalker") & told("walker")) | ((w == "Enchantment") & named)
+            | ((w == "Artifact") & (description.rlike(r"(?i)\bmana rocks?\b") | (F.array_contains(kinds, "Equipment") & told("Equipment"))))
+        )
+        words = F.filter(F.split(kind, r"\s+|—|//"), lambda w: (w != "") & ~said(w, joined))  # the excuses only of what is not said
+        missing = F.transform(F.filter(words, lambda w: ~excused(w)), lambda w: F.concat(F.lit("missing_type_word:"), w))
+        single = F.array_compact(F.array(
+            F.when((t("mana_cost") != "") & ~F.array_contains(read["costs"], t("mana_cost")), F.concat(F.lit("missing_or_changed_mana_cost:"), t("mana_cost"))),
+            F.when(t("power").isNotNull() & ~F.contains(F.replace(description, F.lit(" ")), F.concat(t("power"), F.lit("/"), F.coalesce(t("toughness"), F.lit("")))), F.lit("missing_or_changed_stats")),
+            F.when(sparse & t("mana_cost").isNull() & description.rlike(r"\{[^}]+\}"), F.lit("detail_level_leaked_mana_cost")),
+            F.when(sparse & t("power").isNull() & stats, F.lit("detail_level_leaked_exact_stats")),
+            F.when((F.length(description) > 12000) | (F.trim(description) == ""), F.lit("invalid_description_length")),
+        ))
+        return F.array_sort(F.array_distinct(F.concat(single, missing)))
+
+    # What several checks read is bound by an outer transform, or each of them would read the description again.
+    read = F.struct(
+        text.words(description).alias("joined"), description.rlike(r"\b[0-9]+\s*/\s*[0-9]+\b").alias("stats"), subtypes.alias("subtypes"),
+        F.regexp_extract_all(description, F.lit(r"(?:\{[0-9A-Z/]+\})+"), F.lit(0)).alias("costs"),
+    )
+    return F.when(description.isNotNull(), F.transform(F.array(read), issues)[0])
 
 
 def name_leak(description: Column, name: Column, type_line: Column, colors: Column, rules: Column) -> Column:

@@ -15,19 +15,19 @@ from sievewright.sources.tables import table
 def _families_of_rules(spark, d):
     """(`family`, `card`) of every delivery of a card, and (`family`, `card`, `feature`) of all its sides."""
     rows = table(spark, d, "cards").withColumn("card", F.coalesce("oracle_id", F.concat(F.lit("#"), F.col("card_no").cast("string")))).withColumn("family", projection.family())
+    rows = materialize(rows.select("family", "card", "layout", "card_faces", *projection.SIDE), "families")  # families are dear and read several times
     return rows.select("family", "card"), card_features(rows, ["family", "card"])
 
 
-def _holdout_groups(spark, d):
-    """Families with their distinct cards, features and rank, and whether they share a card with another."""
-    cards, rows = _families_of_rules(spark, d)
+def _holdout_groups(cards, rows):
+    """Families with their distinct cards, features and rank, the card that represents them, and whether they share a card with another."""
     distinct = materialize(cards.distinct(), "cards")
     feats = rows.select("family", "feature").distinct().groupBy("family").agg(F.array_sort(F.collect_list("feature")).alias("features"))  # bounded by the kinds
     shared = distinct.groupBy("card").agg(F.min("family").alias("a"), F.max("family").alias("b")).filter("a <> b").select("card")
     stay = distinct.join(shared, "card", "left_semi").select("family").distinct().withColumn("stays", F.lit(True))
-    sizes = distinct.groupBy("family").agg(F.count(F.lit(1)).alias("cards"))
+    sizes = distinct.groupBy("family").agg(F.count(F.lit(1)).alias("cards"), F.min("card").alias("first"))
     groups = sizes.join(feats, "family").join(stay, "family", "left")
-    return materialize(groups.select(F.col("family").alias("id"), "cards", "features", canon.digest_list(F.lit("seed"), F.col("family")).alias("rank"), "stays"), "groups")
+    return materialize(groups.select(F.col("family").alias("id"), "cards", "features", canon.digest_list(F.lit("seed"), F.col("family")).alias("rank"), "stays", "first"), "groups")
 
 
 @query()
@@ -36,11 +36,10 @@ def h03_protected_holdout(spark, d):
 
     A stratum of one family is in training only. Families that share a card with another stay there too.
     """
-    groups = _holdout_groups(spark, d)
+    groups = _holdout_groups(*_families_of_rules(spark, d))
     taken = selection.protected_holdout(groups, max(20, groups.count() // 50), lone_stays=True)
-    chosen = spark.createDataFrame([(f,) for f in taken], "family string")
-    first = _families_of_rules(spark, d)[0].groupBy("family").agg(F.min("card").alias("card"))
-    return first.join(F.broadcast(chosen), "family")  # `count` rows
+    chosen = spark.createDataFrame([(f,) for f in taken], "id string")
+    return groups.join(F.broadcast(chosen), "id").select(F.col("id").alias("family"), F.col("first").alias("card"))  # `count` rows
 
 
 @query()
