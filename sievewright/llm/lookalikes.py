@@ -132,6 +132,7 @@ def own_alphabet(word: str) -> str:
     if len(kinds) < 2:
         return min(kinds, default="")
     own: dict[str, int] = {}
+    word = unicodedata.normalize("NFD", word)
     for ch in word:
         if (a := alphabet(ch)) and ch not in LETTERS and a != "LATIN":
             own[a] = own.get(a, 0) + 1
@@ -155,8 +156,17 @@ def in_alphabet(ch: str, target: str) -> str:
 def plain_form(text: str) -> str:
     """The skeleton's prototypes, composed, each word in its own alphabet: one consistent form of all that looks alike.
 
-    Marks that no letter of Latin, Greek or Cyrillic takes in are dropped.
+    Marks that no letter of Latin, Greek or Cyrillic takes in are dropped. What one step leaves may have another alphabet as
+    its own, Latin at last, so steps go on until nothing changes, which takes two or three.
     """
+    for _ in range(8):
+        if (made := one_step(text)) == text:
+            break
+        text = made
+    return text
+
+
+def one_step(text: str) -> str:
     flat = unicodedata.normalize("NFC", "".join(map(simple, text)))
     made = []
     for w in words(flat):

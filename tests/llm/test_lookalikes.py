@@ -36,6 +36,18 @@ def test_forms_decide_as_the_definition_does(text):
     assert (form == text and not mixed_for_good) == is_plain(text)
 
 
+@pytest.mark.parametrize("text, form", [("éеόό", "éeóó"), ("xιιжж", "хііжж"), ("жжо", "жжо"), ("жжo", "жжо")])
+def test_forms_of_several_alphabets_settle(text, form):
+    assert la.plain_form(text) == form == la.plain_form(form)
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aeoеоοόιжяωxй́̂Ꭰꓐ"), max_size=9))
+def test_forms_always_settle(text):
+    form = la.plain_form(text)
+    assert la.plain_form(form) == form
+
+
 def test_prototypes_are_single_and_files_add_to_them(tmp_path):
     assert all(len(b) == 1 and la.alphabet(a) != "" for a, b in la.LETTERS.items())
     file = tmp_path / "table.txt"
